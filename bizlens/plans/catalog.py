@@ -7,10 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from bizlens.plans import oracle as O
 from bizlens.sources.profile import build_profile
 
+from pyspark.sql import functions as F
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def rounded(df: DataFrame, cols, digits: int = 9) -> DataFrame:
+    """Round columns computed with log/exp/cos; their last bit differs by engine."""
+    return df.withColumns({c: F.bround(c, digits) for c in cols})
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
@@ -26,3 +33,42 @@ def q_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FLAGSHIP = "s6_profile"
+
+
+# ------------------------------------------------------------------ features
+
+from bizlens.operators import features as FT  # noqa: E402
+
+TRANSCENDENTAL_FF = ["log_revenue"]
+TRANSCENDENTAL_GF = ["marketing_efficiency"]
+
+
+@register("ff_funding_features",
+          O.with_profile(O.rounded(O.funding_sql("profile"), TRANSCENDENTAL_FF)))
+def q_funding_features(spark, sf_dir):
+    return rounded(FT.funding_features(build_profile(spark, sf_dir)), TRANSCENDENTAL_FF)
+
+
+@register("hf_health_features", O.with_profile(O.health_sql("profile")))
+def q_health_features(spark, sf_dir):
+    return FT.health_features(build_profile(spark, sf_dir))
+
+
+@register("gf_growth_features",
+          O.with_profile(O.rounded(O.growth_sql("profile"), TRANSCENDENTAL_GF)))
+def q_growth_features(spark, sf_dir):
+    return rounded(FT.growth_features(build_profile(spark, sf_dir)), TRANSCENDENTAL_GF)
+
+
+@register("hf_health_features_noise", O.with_profile(
+    O.rounded(O.health_sql("profile", noise_on=True), ["health_probability"])))
+def q_health_features_noise(spark, sf_dir):
+    return rounded(FT.health_features(build_profile(spark, sf_dir), noise_on=True),
+                   ["health_probability"])
+
+
+@register("gf_growth_features_noise", O.with_profile(
+    O.rounded(O.growth_sql("profile", noise_on=True), TRANSCENDENTAL_GF)))
+def q_growth_features_noise(spark, sf_dir):
+    return rounded(FT.growth_features(build_profile(spark, sf_dir), noise_on=True),
+                   TRANSCENDENTAL_GF)

@@ -233,3 +233,171 @@ def with_profile(body: str, extra_ctes: Sequence[tuple[str, str]] = ()) -> str:
     """``WITH profile AS (...) [, name AS (...)]* body``."""
     ctes = [("profile", profile_sql())] + list(extra_ctes)
     return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in ctes) + "\n" + body
+
+
+# ------------------------------------------------------------------ features
+
+
+def _bands(name):
+    from bizlens.operators import features as FT
+    return getattr(FT, name)
+
+
+def funding_sql(src: str, drop_nulls: bool = True) -> str:
+    """FF1-FF19 over relation ``src``; returns a SELECT."""
+    liquid = "(bank_balance + m_pesa_balance)"
+    stage1 = ",\n    ".join([
+        f"ln(1 + revenue) AS log_revenue",
+        f"{ratio('revenue', 'employee_count')} AS profit_per_employee",
+        f"{ratio('late_payments', 'age_of_business')} AS late_payment_rate",
+        f"{ratio_or_null('debt_ratio', 'profit_margin')} AS debt_profit_ratio",
+        f"{ratio('revenue', 'marketing_spend')} AS marketing_efficiency",
+        f"{ratio('funding_requested_amount', 'revenue')} AS funding_request_ratio",
+        f"{ratio('repeat_customers', 'active_customers')} AS customer_retention_rate",
+        f"{ratio('paid_invoices', 'paid_invoices + pending_invoices')} AS invoice_completion_rate",
+        f"{ratio(liquid, 'revenue')} AS liquidity_ratio",
+        f"{ratio('total_payroll', 'revenue')} AS payroll_to_revenue",
+        f"{ratio('conversions', 'clicks')} AS marketing_conversion_rate",
+    ])
+    bands = [("profitability", "profit_margin", "PROFITABILITY"),
+             ("financial_health", "debt_profit_ratio", "FINANCIAL_HEALTH"),
+             ("payment_behavior", "late_payment_rate", "PAYMENT_BEHAVIOR"),
+             ("operational_efficiency", "profit_per_employee", "OPERATIONAL_EFFICIENCY"),
+             ("marketing_roi", "marketing_efficiency", "MARKETING_ROI_BANDS"),
+             ("business_maturity", "age_of_business", "BUSINESS_MATURITY"),
+             ("customer_base_size", "total_customers", "CUSTOMER_BASE_SIZE"),
+             ("funding_size_category", "funding_requested_amount", "FUNDING_SIZE")]
+    stage2 = ",\n    ".join(f"{cut(x, *_bands(b))} AS {n}" for n, x, b in bands)
+    q = f"(SELECT *, {stage2} FROM (SELECT *, {stage1} FROM {src}))"
+    if not drop_nulls:
+        return f"SELECT * FROM {q}"
+    return f"SELECT * FROM {q} AS t WHERE COLUMNS(*) IS NOT NULL"
+
+
+def health_ratio_cols() -> list[tuple[str, str]]:
+    return [
+        ("cash_months", "liquidity_ratio * 12"),
+        ("revenue_per_employee", ratio("revenue", "employee_count")),
+        ("payroll_to_revenue", ratio("total_payroll", "revenue")),
+        ("invoice_paid_rate", ratio("paid_invoices", "paid_invoices + pending_invoices")),
+        ("staff_retention_rate", "1 - staff_turnover_rate"),
+        ("customer_active_rate", ratio("active_customers", "total_customers")),
+        ("customer_repeat_rate", ratio("repeat_customers", "active_customers")),
+        ("marketing_roi", ratio("revenue", "marketing_spend")),
+        ("conversion_rate", ratio("conversions", "clicks")),
+    ]
+
+
+def risk_flag_cols() -> list[tuple[str, str]]:
+    return [
+        ("low_cash", flag("cash_months < 2")),
+        ("high_debt", flag("debt_ratio > 0.6")),
+        ("low_profit", flag("profit_margin < 0.05")),
+        ("late_payer", flag("late_payments > age_of_business")),
+        ("missing_docs", flag("business_registration_uploaded = 0 OR tax_clearance_uploaded = 0 "
+                              "OR financial_statements_uploaded = 0")),
+        ("tax_noncompliant", flag("tax_registered = 0 OR tax_paid_last_year = 0")),
+        ("license_expired", flag("licenses_up_to_date = 0")),
+    ]
+
+
+def _sel(cols: list[tuple[str, str]]) -> str:
+    return ",\n    ".join(f"{e} AS {n}" for n, e in cols)
+
+
+def health_sql(src: str, noise_on: bool = False, key: str = "sme_id") -> str:
+    from bizlens.operators import features as FT
+    d = lit
+    base = clip01(
+        f"(profit_margin / {d(0.30)}) * {d(0.20)}"
+        f" + (cash_months / 12) * {d(0.20)}"
+        f" + ((1 - debt_ratio) / {d(1.0)}) * {d(0.15)}"
+        f" + invoice_paid_rate * {d(0.10)}"
+        f" + customer_repeat_rate * {d(0.10)}"
+        f" + {clip01(f'revenue / 500000')} * {d(0.10)}"
+        f" + (1 - missing_docs) * {d(0.08)}"
+        f" + (1 - tax_noncompliant) * {d(0.07)}")
+    prob = "base_health"
+    if noise_on:
+        prob = f"base_health + {noise(key, 'health', 0.0, FT.HEALTH_NOISE_SD)}"
+    liquid = "(bank_balance + m_pesa_balance)"
+    s1 = f"SELECT *, {ratio(liquid, 'revenue')} AS liquidity_ratio FROM {src}"
+    s2 = f"SELECT *, {_sel(health_ratio_cols())} FROM ({s1})"
+    s3 = f"SELECT *, {_sel(risk_flag_cols())} FROM ({s2})"
+    s4 = f"SELECT *, {base} AS base_health FROM ({s3})"
+    s5 = f"SELECT * EXCLUDE (base_health), {clip01(prob)} AS health_probability FROM ({s4})"
+    cat = threshold_label("health_probability", FT.HEALTH_LIMITS, S.HEALTH_CATEGORIES)
+    return f"SELECT *, {cat} AS health_category FROM ({s5})"
+
+
+def growth_sql(src: str, noise_on: bool = False, key: str = "sme_id") -> str:
+    from bizlens.operators import features as FT
+    d = lit
+    delta = "(total_customers - customers_6m_ago)"
+    liquid = "(bank_balance + m_pesa_balance)"
+    g1 = [
+        ("revenue_growth_6m", ratio("revenue - revenue_6m_ago", "revenue_6m_ago")),
+        ("customer_growth_6m", ratio(delta, "customers_6m_ago")),
+        ("customer_retention_rate", ratio("repeat_customers", "active_customers")),
+        ("customer_activation_rate", ratio("active_customers", "total_customers")),
+        ("customer_acquisition_rate", f"{delta} / 6"),
+        ("cash_runway_months", ratio(liquid, "revenue / 12")),
+        ("debt_capacity", clip01("1 - debt_ratio")),
+        ("reinvestment_capacity", "profit_margin * revenue"),
+        ("revenue_per_employee", ratio("revenue", "employee_count")),
+        ("staff_stability", "1 - staff_turnover_rate"),
+        ("customer_base_growth", ratio(delta, "customers_6m_ago")),
+        ("marketing_roi", ratio("revenue", "marketing_spend")),
+        ("marketing_intensity", ratio("marketing_spend", "revenue")),
+        ("conversion_rate", ratio("conversions", "clicks")),
+        ("has_funding_track", "CAST(previous_funding_received AS INTEGER)"),
+        ("funding_growth_boost", f"CASE WHEN previous_funding_received = 1 THEN "
+                                 f"{clip01(ratio('previous_funding_amount', 'revenue'))} ELSE 0.0 END"),
+    ]
+    g2 = [
+        ("revenue_velocity", "revenue_growth_6m / 6"),
+        ("customer_velocity", "customer_growth_6m / 6"),
+        ("operational_leverage", clip("revenue_per_employee / 50000", 0, 5)),
+        ("market_penetration_velocity", "customer_base_growth / 6"),
+        ("marketing_efficiency", clip01("ln(1 + marketing_roi) / 10")),
+        ("marketing_growth_potential", clip01("marketing_roi * marketing_intensity")),
+    ]
+    score = bround(clip(
+        "(revenue_velocity * 6) * 20"
+        " + (customer_velocity * 6) * 15"
+        f" + {clip01('cash_runway_months / 6')} * 15"
+        " + debt_capacity * 15"
+        f" + {clip01('operational_leverage / 2')} * 15"
+        " + marketing_efficiency * 20", 0, 100), 1)
+    q = f"SELECT *, {_sel(g1)} FROM {src}"
+    q = f"SELECT *, {_sel(g2)} FROM ({q})"
+    q = f"SELECT *, {score} AS composite_growth_score FROM ({q})"
+    return growth_targets_sql(f"({q})", noise_on, key)
+
+
+def growth_targets_sql(src: str, noise_on: bool = False, key: str = "sme_id") -> str:
+    from bizlens.operators import features as FT
+    d = lit
+    market = noise(key, "market", 0.0, FT.MARKET_NOISE_SD) if noise_on else d(0.0)
+    boost = (f"(CASE WHEN profit_margin > {d(0.10)} AND debt_ratio < {d(0.4)} THEN {d(0.05)} "
+             f"WHEN profit_margin < 0 THEN {d(-0.10)} ELSE {d(0.0)} END)")
+    parts = []
+    for below, mean, sd in FT.STAGE_FACTOR:
+        val = noise(key, f"stage{below}", mean, sd) if noise_on else d(float(mean))
+        parts.append(f"ELSE {val}" if below is None else f"WHEN age_of_business < {below} THEN {val}")
+    stage = "(CASE " + " ".join(parts) + " END)"
+    raw = f"({clip('revenue_growth_6m', -0.30, 0.50)} * {d(0.40)} + {boost} + {stage} + {market})"
+    rate = bround(clip(f"{raw} * {d(0.70)} + {d(FT.MEAN_GROWTH * 0.30)}", -0.30, 0.40), 3)
+    q = f"SELECT *, {rate} AS predicted_6m_growth_rate FROM {src}"
+    q = f"SELECT *, revenue * (1 + predicted_6m_growth_rate) AS predicted_6m_revenue FROM ({q})"
+    q = (f"SELECT *, {cut('revenue', *FT.REVENUE_SIZE)} AS current_revenue_category, "
+         f"{cut('predicted_6m_revenue', *FT.REVENUE_SIZE)} AS predicted_revenue_category, "
+         f"{cut('predicted_6m_growth_rate', *FT.GROWTH_STAGE_BINS)} AS growth_stage FROM ({q})")
+    jump = flag(differs("predicted_revenue_category", "current_revenue_category"))
+    return f"SELECT *, {jump} AS will_jump_category FROM ({q})"
+
+
+def rounded(sql: str, cols: Sequence[str], digits: int = 9) -> str:
+    """Round columns computed with log/exp/cos, whose last bit differs by engine."""
+    rep = ", ".join(f"round_even({c}, {digits}) AS {c}" for c in cols)
+    return f"SELECT * REPLACE ({rep}) FROM ({sql})"

@@ -106,13 +106,20 @@ def profile_from_frames(customer: DataFrame, orders: DataFrame, lineitem: DataFr
                         months: int = PERIOD_MONTHS) -> DataFrame:
     stats = customer_order_stats(orders, lineitem, start, months)
     ev = customer_event_stats(events)
-    c = customer.select(F.col("c_custkey").alias("custkey"), "c_name", "c_acctbal")
-    base = c.join(stats, "custkey", "left").join(ev, "custkey", "left")
-    return base.select(*profile_columns(F.col("custkey")))
+    # Attributes that depend on the customer row alone are computed before the
+    # joins, so later filters never re-inline them.
+    k = F.col("custkey")
+    attrs = customer.select(F.col("c_custkey").alias("custkey"), "c_name", "c_acctbal") \
+        .select("custkey", *[e.alias(n) for n, e in key_attributes(k).items()])
+    base = attrs.join(stats, "custkey", "left").join(ev, "custkey", "left")
+    post = fact_attributes()
+    return base.select(*[
+        (post[f.name] if f.name in post else F.col(f.name)).cast(f.dataType).alias(f.name)
+        for f in S.PROFILE_SCHEMA.fields])
 
 
-def profile_columns(k: Column) -> list[Column]:
-    """The SME columns of a profile row, in contract order plus history."""
+def key_attributes(k: Column) -> dict[str, Column]:
+    """Profile columns derived from the customer row (key hashes, balance)."""
 
     def h(salt: str) -> Column:
         return hash01(k, salt)
@@ -120,12 +127,6 @@ def profile_columns(k: Column) -> list[Column]:
     def floor_of(salt: str, n: int, offset: int = 0) -> Column:
         return (F.lit(offset) + F.floor(h(salt) * n)).cast("bigint")
 
-    def money(name: str) -> Column:
-        return F.coalesce(F.col(name).cast("double"), F.lit(0.0)) / F.lit(REVENUE_DIVISOR)
-
-    def count(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(0)).cast("bigint")
-
     no_marketing = h("z") < 0.1
 
     def spend(salt: str) -> Column:
@@ -134,10 +135,9 @@ def profile_columns(k: Column) -> list[Column]:
     def flag_col(name: str) -> Column:
         return (h(name) < F.lit(FLAG_RATES[name])).cast("int")
 
-    cols = {
+    return {
         "sme_id": k.cast("bigint"),
         "business_name": F.col("c_name"),
-        "revenue": money("net_cur"),
         "profit_margin": h("pm") * 0.35 - 0.03,
         "debt_ratio": h("dr") * 0.9,
         "collateral_value": h("cv") * 200000,
@@ -169,15 +169,8 @@ def profile_columns(k: Column) -> list[Column]:
         "staff_turnover_rate": h("tr") * 0.3,
         "bank_balance": F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") * 20).otherwise(F.lit(0.0)),
         "m_pesa_balance": h("mp") * 50000,
-        "pending_invoices": count("n_o"),
-        "paid_invoices": count("n_f"),
-        "late_payments": count("n_r"),
         "campaign_spend": spend("cs"),
-        "clicks": count("n_click"),
-        "impressions": count("n_view"),
-        "conversions": count("n_purchase"),
         "target_segment": pick(k, "target_segment", S.TARGET_SEGMENTS),
-        "total_customers": count("parts_cur") * CUSTOMERS_PER_PART,
         "active_customers": floor_of("ac", 600),
         "repeat_customers": floor_of("rc", 500),
         "channels_used": pick(k, "channels_used", S.CHANNELS),
@@ -186,14 +179,31 @@ def profile_columns(k: Column) -> list[Column]:
         "education_level": pick(k, "education_level", S.EDUCATION_LEVELS),
         "employment_status": pick(k, "employment_status", S.EMPLOYMENT_STATUSES),
         "location": pick(k, "location", S.LOCATIONS),
+        "marketing_spend_6m_ago": spend("mq"),
+    }
+
+
+def fact_attributes() -> dict[str, Column]:
+    """Profile columns derived from the order and event aggregates."""
+
+    def money(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("double"), F.lit(0.0)) / F.lit(REVENUE_DIVISOR)
+
+    def count(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(0)).cast("bigint")
+
+    return {
+        "revenue": money("net_cur"),
         "revenue_6m_ago": money("net_prev"),
+        "pending_invoices": count("n_o"),
+        "paid_invoices": count("n_f"),
+        "late_payments": count("n_r"),
+        "clicks": count("n_click"),
+        "impressions": count("n_view"),
+        "conversions": count("n_purchase"),
+        "total_customers": count("parts_cur") * CUSTOMERS_PER_PART,
         "customers_6m_ago": count("parts_prev") * CUSTOMERS_PER_PART,
-        "marketing_spend_6m_ago": spend("mq"),
     }
-    out = []
-    for field in S.PROFILE_SCHEMA.fields:
-        out.append(cols[field.name].cast(field.dataType).alias(field.name))
-    return out
 
 
 def build_profile(spark: SparkSession, sf_dir: str, start: str = PERIOD_START,
