@@ -81,16 +81,17 @@ def cut(c: ColumnOrName, edges: Sequence[float], labels: Sequence[str]) -> Colum
     """Right-closed binning: label i for ``edges[i] < x <= edges[i+1]``.
 
     The lowest edge is excluded and values outside every bin (or null) give
-    null, as in a right-closed histogram cut (F8).
+    null, as in a right-closed histogram cut (F8). Written as one ascending
+    ``x <= edge`` ladder so ``x`` is referenced once per edge: a pushed-down
+    filter that inlines ``x`` stays small. NaN fails every ``<=`` (Spark
+    orders NaN above +inf) and falls out as null.
     """
     if len(edges) != len(labels) + 1:
         raise ValueError("need one more edge than labels")
     c = col(c)
-    out = None
-    for lo, hi, label in zip(edges[:-1], edges[1:], labels):
-        # ``x <= +inf`` also keeps NaN out (Spark orders NaN above +inf)
-        cond = (c > F.lit(float(lo))) & (c <= F.lit(float(hi)))
-        out = F.when(cond, F.lit(label)) if out is None else out.when(cond, F.lit(label))
+    out = F.when(c <= F.lit(float(edges[0])), F.lit(None).cast("string"))
+    for hi, label in zip(edges[1:], labels):
+        out = out.when(c <= F.lit(float(hi)), F.lit(label))
     return out
 
 
@@ -152,6 +153,16 @@ def repair_nonfinite(c: ColumnOrName, nan: float = 0.5, posinf: float = 1.0,
             .otherwise(c))
 
 
+def clip01_repaired(c: ColumnOrName, nan: float = 0.5) -> Column:
+    """``clip01(repair_nonfinite(c, nan, 1.0, 0.0))`` with ``c`` referenced once.
+
+    +inf and -inf clip to 1 and 0, the repair values, so only null/NaN need
+    the explicit replacement.
+    """
+    filled = F.coalesce(F.nanvl(col(c).cast("double"), F.lit(nan)), F.lit(nan))
+    return F.least(F.greatest(filled, F.lit(0.0)), F.lit(1.0))
+
+
 # ---------------------------------------------------------------- reproducible draws
 
 

@@ -214,3 +214,21 @@ def growth_targets(df: DataFrame, noise_on: bool = False, key: str = "sme_id") -
     })
     return out.withColumn("will_jump_category",
                           flag(differs("predicted_revenue_category", "current_revenue_category")))
+
+
+# Columns each feature set adds, in order (used to line up joined tables).
+HEALTH_ADDED = ["liquidity_ratio", "cash_months", "revenue_per_employee", "payroll_to_revenue",
+                "invoice_paid_rate", "staff_retention_rate", "customer_active_rate",
+                "customer_repeat_rate", "marketing_roi", "conversion_rate", "low_cash",
+                "high_debt", "low_profit", "late_payer", "missing_docs", "tax_noncompliant",
+                "license_expired", "health_probability", "health_category"]
+GROWTH_ADDED = ["revenue_growth_6m", "customer_growth_6m", "customer_retention_rate",
+                "customer_activation_rate", "customer_acquisition_rate", "cash_runway_months",
+                "debt_capacity", "reinvestment_capacity", "revenue_per_employee",
+                "staff_stability", "customer_base_growth", "marketing_roi",
+                "marketing_intensity", "conversion_rate", "has_funding_track",
+                "funding_growth_boost", "revenue_velocity", "customer_velocity",
+                "operational_leverage", "market_penetration_velocity", "marketing_efficiency",
+                "marketing_growth_potential", "composite_growth_score",
+                "predicted_6m_growth_rate", "predicted_6m_revenue", "current_revenue_category",
+                "predicted_revenue_category", "growth_stage", "will_jump_category"]

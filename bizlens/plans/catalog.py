@@ -32,8 +32,6 @@ def q_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_profile(spark, sf_dir)
 
 
-FLAGSHIP = "s6_profile"
-
 
 # ------------------------------------------------------------------ features
 
@@ -72,3 +70,267 @@ def q_health_features_noise(spark, sf_dir):
 def q_growth_features_noise(spark, sf_dir):
     return rounded(FT.growth_features(build_profile(spark, sf_dir), noise_on=True),
                    TRANSCENDENTAL_GF)
+
+
+# ------------------------------------------------------------------ rules, labels, decisions
+
+from bizlens import schema as S  # noqa: E402
+from bizlens.operators import decisions as D  # noqa: E402
+from bizlens.operators import labels as LB  # noqa: E402
+from bizlens.operators import profiling as PR  # noqa: E402
+from bizlens.operators import quality as QL  # noqa: E402
+
+
+def sme_table(spark: SparkSession, sf_dir: str, noise_on: bool = False,
+              keep_scores: bool = False) -> DataFrame:
+    """The labelled SME table: profile, consistency rules, targets."""
+    return LB.add_targets(QL.apply_rules(build_profile(spark, sf_dir)), noise_on=noise_on,
+                          keep_scores=keep_scores)
+
+
+def sme_ctes(noise_on: bool = False, keep_scores: bool = False) -> list[tuple[str, str]]:
+    return [("repaired", O.repaired_sql("profile")),
+            ("sme", O.targets_sql("repaired", noise_on=noise_on, keep_scores=keep_scores))]
+
+
+def with_sme(body: str, extra=(), **kw) -> str:
+    return O.with_profile(body, sme_ctes(**kw) + list(extra))
+
+
+@register("c7_rule_report", O.with_profile(O.rule_report_sql("profile")))
+def q_rule_report(spark, sf_dir):
+    return QL.rule_report(build_profile(spark, sf_dir))
+
+
+@register("c1_c6_repaired_profile", O.with_profile("SELECT * FROM repaired", sme_ctes()[:1]))
+def q_repaired(spark, sf_dir):
+    return QL.apply_rules(build_profile(spark, sf_dir))
+
+
+@register("c1_c6_rules_idempotent",
+          O.with_profile(O.rule_report_sql("repaired"), sme_ctes()[:1]))
+def q_rules_idempotent(spark, sf_dir):
+    return QL.rule_report(QL.apply_rules(build_profile(spark, sf_dir)))
+
+
+@register("t1_t3_targets", with_sme(
+    "SELECT sme_id, eligible_for_funding, default_risk, business_health_score FROM sme"))
+def q_targets(spark, sf_dir):
+    return sme_table(spark, sf_dir).select(
+        "sme_id", "eligible_for_funding", "default_risk", "business_health_score")
+
+
+@register("t1_t3_targets_noise", with_sme(
+    "SELECT sme_id, eligible_for_funding, default_risk, business_health_score FROM sme",
+    noise_on=True))
+def q_targets_noise(spark, sf_dir):
+    return sme_table(spark, sf_dir, noise_on=True).select(
+        "sme_id", "eligible_for_funding", "default_risk", "business_health_score")
+
+
+def health_table(spark, sf_dir):
+    return FT.health_features(sme_table(spark, sf_dir))
+
+
+def growth_table(spark, sf_dir):
+    return FT.growth_features(sme_table(spark, sf_dir))
+
+
+HEALTH_CTE = ("health", O.health_sql("sme"))
+GROWTH_CTE = ("growth", O.growth_sql("sme"))
+
+
+@register("d3_health_decisions", with_sme(O.health_decisions_sql("health"), [HEALTH_CTE]))
+def q_health_decisions(spark, sf_dir):
+    return D.health_decisions(health_table(spark, sf_dir))
+
+
+@register("d1_d4_growth_decisions", with_sme(O.growth_decisions_sql("growth"), [GROWTH_CTE]))
+def q_growth_decisions(spark, sf_dir):
+    return D.growth_decisions(growth_table(spark, sf_dir))
+
+
+@register("d2_compliance_decisions", with_sme(O.compliance_decisions_sql("sme"), keep_scores=True))
+def q_compliance_decisions(spark, sf_dir):
+    return D.compliance_decisions(sme_table(spark, sf_dir, keep_scores=True), "default_risk_score")
+
+
+SME_COLS = [f.name for f in S.SME_TABLE_SCHEMA.fields]
+J1_LEFT = SME_COLS + FT.HEALTH_ADDED
+J1_RIGHT = SME_COLS + FT.GROWTH_ADDED
+
+
+@register("j1_health_growth_join", with_sme(
+    O.rounded(O.suffix_join_sql("health", "growth", J1_LEFT, J1_RIGHT),
+              ["marketing_efficiency"]), [HEALTH_CTE, GROWTH_CTE]))
+def q_health_growth_join(spark, sf_dir):
+    sme = sme_table(spark, sf_dir)
+    return rounded(D.join_with_suffix(FT.health_features(sme), FT.growth_features(sme)),
+                   ["marketing_efficiency"])
+
+
+# ------------------------------------------------------------------ profiling
+
+
+@register("health_summary", with_sme(f"""
+SELECT c.rank, c.health_category,
+       COUNT(h.sme_id) AS businesses,
+       COUNT(h.sme_id) FILTER (WHERE h.total_risk_flags = 0) AS flags_0,
+       COUNT(h.sme_id) FILTER (WHERE h.total_risk_flags BETWEEN 1 AND 2) AS flags_1_2,
+       COUNT(h.sme_id) FILTER (WHERE h.total_risk_flags >= 3) AS flags_3_plus
+FROM (VALUES {", ".join(f"({i}, '{v}')" for i, v in enumerate(S.HEALTH_CATEGORIES))})
+     AS c(rank, health_category)
+LEFT JOIN ({O.health_decisions_sql("health")}) h ON h.health_category = c.health_category
+GROUP BY c.rank, c.health_category""", [HEALTH_CTE]))
+def q_health_summary(spark, sf_dir):
+    return health_summary(D.health_decisions(health_table(spark, sf_dir)))
+
+
+def health_summary(decisions: DataFrame) -> DataFrame:
+    """Flagship: businesses per health category (fixed order) and their risk-flag bands.
+
+    One aggregate with a conditional count per (category, band), then
+    ``stack`` to one row per category: no join with a category table.
+    """
+    cat, tot = F.col("health_category"), F.col("total_risk_flags")
+    bands = {"businesses": F.lit(True), "flags_0": tot == 0,
+             "flags_1_2": (tot >= 1) & (tot <= 2), "flags_3_plus": tot >= 3}
+    aggs = [F.count_if((cat == v) & b).alias(f"_{i}_{n}")
+            for i, v in enumerate(S.HEALTH_CATEGORIES) for n, b in bands.items()]
+    parts = ", ".join(f"{i}, '{v}', " + ", ".join(f"_{i}_{n}" for n in bands)
+                      for i, v in enumerate(S.HEALTH_CATEGORIES))
+    return decisions.agg(*aggs).select(F.expr(
+        f"stack({len(S.HEALTH_CATEGORIES)}, {parts}) AS (rank, health_category, "
+        + ", ".join(bands) + ")"))
+
+
+FLAGSHIP = "health_summary"
+
+
+@register("a1_value_counts_sector", with_sme(
+    "SELECT sector, COUNT(*) AS count FROM sme WHERE sector IS NOT NULL GROUP BY sector"))
+def q_value_counts(spark, sf_dir):
+    return PR.value_counts(sme_table(spark, sf_dir), "sector")
+
+
+@register("a1_value_counts_default_risk", with_sme(
+    "SELECT default_risk, COUNT(*) AS count FROM sme WHERE default_risk IS NOT NULL "
+    "GROUP BY default_risk"))
+def q_value_counts_risk(spark, sf_dir):
+    return PR.value_counts(sme_table(spark, sf_dir), "default_risk")
+
+
+A2_COLS = ["sector", "business_stage", "location"]
+
+
+@register("a2_row_value_counts", with_sme(
+    f"SELECT {', '.join(A2_COLS)}, COUNT(*) AS count FROM sme WHERE "
+    + " AND ".join(f"{c} IS NOT NULL" for c in A2_COLS) + f" GROUP BY {', '.join(A2_COLS)}"))
+def q_row_value_counts(spark, sf_dir):
+    return PR.row_value_counts(sme_table(spark, sf_dir).select(*A2_COLS))
+
+
+@register("a3_growth_stage_counts", with_sme(f"""
+SELECT c.rank, c.growth_stage, COUNT(g.sme_id) AS count
+FROM (VALUES {", ".join(f"({i}, '{v}')" for i, v in enumerate(S.GROWTH_STAGES))}) AS c(rank, growth_stage)
+LEFT JOIN growth g ON g.growth_stage = c.growth_stage
+GROUP BY c.rank, c.growth_stage""", [GROWTH_CTE]))
+def q_growth_stage_counts(spark, sf_dir):
+    return PR.ordered_counts(growth_table(spark, sf_dir), "growth_stage", S.GROWTH_STAGES)
+
+
+@register("a4_growth_rate_stats", with_sme("""
+SELECT round_even(avg(predicted_6m_growth_rate), 9) AS mean,
+       quantile_cont(predicted_6m_growth_rate, 0.5) AS median,
+       round_even(stddev_samp(predicted_6m_growth_rate), 9) AS std,
+       min(predicted_6m_growth_rate) AS min, max(predicted_6m_growth_rate) AS max
+FROM growth""", [GROWTH_CTE]))
+def q_growth_rate_stats(spark, sf_dir):
+    return PR.column_stats(growth_table(spark, sf_dir), "predicted_6m_growth_rate")
+
+
+A5_COLS = ["revenue", "profit_margin", "debt_ratio", "employee_count", "age_of_business",
+           "bank_balance", "paid_invoices", "late_payments", "total_customers",
+           "business_health_score"]
+
+
+@register("a5_describe", with_sme(" UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS column_name, COUNT({c}) AS count, "
+    f"round_even(avg({c}), 6) AS mean, round_even(stddev_samp({c}), 6) AS std, "
+    f"CAST(min({c}) AS DOUBLE) AS min, quantile_cont({c}, 0.25) AS q25, "
+    f"quantile_cont({c}, 0.5) AS q50, quantile_cont({c}, 0.75) AS q75, "
+    f"CAST(max({c}) AS DOUBLE) AS max FROM sme" for i, c in enumerate(A5_COLS))))
+def q_describe(spark, sf_dir):
+    return PR.describe(sme_table(spark, sf_dir), A5_COLS)
+
+
+@register("a6_jump_share", with_sme(
+    "SELECT CAST(SUM(will_jump_category) AS BIGINT) AS ones, AVG(will_jump_category) AS share, "
+    "COUNT(will_jump_category) AS rows FROM growth", [GROWTH_CTE]))
+def q_jump_share(spark, sf_dir):
+    return PR.flag_share(growth_table(spark, sf_dir), "will_jump_category")
+
+
+@register("a7_risk_bands", with_sme(
+    "SELECT COUNT(*) FILTER (WHERE total_risk_flags = 0) AS flags_0, "
+    "COUNT(*) FILTER (WHERE total_risk_flags BETWEEN 1 AND 2) AS flags_1_2, "
+    "COUNT(*) FILTER (WHERE total_risk_flags >= 3) AS flags_3_plus "
+    f"FROM ({O.health_decisions_sql('health')})", [HEALTH_CTE]))
+def q_risk_bands(spark, sf_dir):
+    return PR.banded_counts(D.health_decisions(health_table(spark, sf_dir)), "total_risk_flags")
+
+
+FF_ALL = [f.name for f in S.PROFILE_SCHEMA.fields] + [
+    "log_revenue", "profit_per_employee", "late_payment_rate", "debt_profit_ratio",
+    "marketing_efficiency", "funding_request_ratio", "customer_retention_rate",
+    "invoice_completion_rate", "liquidity_ratio", "payroll_to_revenue",
+    "marketing_conversion_rate", "profitability", "financial_health", "payment_behavior",
+    "operational_efficiency", "marketing_roi", "business_maturity", "customer_base_size",
+    "funding_size_category"]
+
+
+@register("a8_null_profile", O.with_profile(" UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS nulls, "
+    f"COUNT(*) AS rows FROM ff" for i, c in enumerate(FF_ALL)),
+    [("ff", O.funding_sql("profile", drop_nulls=False))]))
+def q_null_profile(spark, sf_dir):
+    return PR.null_profile(FT.funding_features(build_profile(spark, sf_dir), drop_nulls=False))
+
+
+@register("p7_null_cells", O.with_profile(
+    "SELECT CAST(" + " + ".join(f"COUNT(*) FILTER (WHERE {c} IS NULL)" for c in FF_ALL)
+    + " AS BIGINT) AS null_cells, COUNT(*) FILTER (WHERE "
+    + " OR ".join(f"{c} IS NULL" for c in FF_ALL) + ") AS rows_with_nulls, COUNT(*) AS rows_total "
+    "FROM ff", [("ff", O.funding_sql("profile", drop_nulls=False))]))
+def q_null_cells(spark, sf_dir):
+    return QL.null_cell_count(FT.funding_features(build_profile(spark, sf_dir), drop_nulls=False))
+
+
+A9_COLS = ["sector", "business_stage", "channels_used", "owner_gender", "education_level",
+           "employment_status", "location", "target_segment"]
+
+
+@register("a9_duplicate_rows", with_sme(
+    f"SELECT COUNT(*) AS rows, (SELECT COUNT(*) FROM (SELECT DISTINCT {', '.join(A9_COLS)} FROM sme)) "
+    f"AS distinct_rows, COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT {', '.join(A9_COLS)} "
+    f"FROM sme)) AS duplicates FROM sme"))
+def q_duplicate_rows(spark, sf_dir):
+    return PR.duplicate_rows(sme_table(spark, sf_dir).select(*A9_COLS))
+
+
+SPARK_TYPE_NAMES = {"LongType()": "bigint", "DoubleType()": "double", "IntegerType()": "int",
+                    "StringType()": "string"}
+
+
+@register("a10_schema_profile", with_sme(" UNION ALL ".join(
+    f"SELECT {i} AS position, '{f.name}' AS column_name, "
+    f"'{SPARK_TYPE_NAMES[repr(f.dataType)]}' AS data_type, COUNT({f.name}) AS non_null, "
+    f"COUNT(*) AS rows FROM sme" for i, f in enumerate(S.SME_TABLE_SCHEMA.fields))))
+def q_schema_profile(spark, sf_dir):
+    return PR.schema_profile(sme_table(spark, sf_dir))
+
+
+@register("l1_first_rows", with_sme(
+    f"SELECT * FROM ({O.health_decisions_sql('health')}) ORDER BY sme_id LIMIT 5", [HEALTH_CTE]))
+def q_first_rows(spark, sf_dir):
+    return PR.first_rows(D.health_decisions(health_table(spark, sf_dir)), 5)

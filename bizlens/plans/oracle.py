@@ -401,3 +401,117 @@ def rounded(sql: str, cols: Sequence[str], digits: int = 9) -> str:
     """Round columns computed with log/exp/cos, whose last bit differs by engine."""
     rep = ", ".join(f"round_even({c}, {digits}) AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({sql})"
+
+
+# ------------------------------------------------------------------ rules, labels, decisions
+
+
+def repaired_sql(src: str) -> str:
+    """C1-C6 over ``src``."""
+    rep = ", ".join([
+        "CASE WHEN previous_funding_received = 1 THEN previous_funding_amount ELSE 0.0 END "
+        "AS previous_funding_amount",
+        "CASE WHEN previous_funding_received = 1 THEN default_history ELSE 0 END AS default_history",
+        "CASE WHEN collateral_offered = 1 THEN collateral_value ELSE 0.0 END AS collateral_value",
+        "CASE WHEN staff_count > 0 THEN total_payroll ELSE 0.0 END AS total_payroll",
+        "CASE WHEN campaign_spend = 0 THEN 0 ELSE clicks END AS clicks",
+        "CASE WHEN campaign_spend = 0 THEN 0 ELSE impressions END AS impressions",
+        "CASE WHEN campaign_spend = 0 THEN 0 ELSE conversions END AS conversions",
+        f"{row_min('active_customers', 'total_customers')} AS active_customers",
+    ])
+    q = f"SELECT * REPLACE ({rep}) FROM {src}"
+    q = (f"SELECT * REPLACE ({row_min('repeat_customers', 'active_customers')} AS repeat_customers)"
+         f" FROM ({q})")
+    late = (f"CAST(CASE WHEN age_of_business > 0 THEN "
+            f"{row_min('late_payments', 'age_of_business * 12')} ELSE 0 END AS BIGINT)")
+    return f"SELECT * REPLACE ({late} AS late_payments) FROM ({q})"
+
+
+RULES_SQL = [
+    ("C1_funding", "COALESCE(previous_funding_received <> 1, true) AND "
+                   "(previous_funding_amount <> 0 OR default_history <> 0)"),
+    ("C2_collateral", "COALESCE(collateral_offered <> 1, true) AND collateral_value <> 0"),
+    ("C3_payroll", "COALESCE(NOT (staff_count > 0), true) AND total_payroll <> 0"),
+    ("C4_campaign", "campaign_spend = 0 AND (clicks <> 0 OR impressions <> 0 OR conversions <> 0)"),
+    ("C5_nesting", "active_customers > total_customers OR "
+                   "repeat_customers > least(active_customers, total_customers)"),
+    ("C6_late_payments", "CASE WHEN age_of_business > 0 THEN late_payments > age_of_business * 12 "
+                         "ELSE late_payments <> 0 END"),
+]
+
+
+def rule_report_sql(src: str) -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT '{n}' AS rule, COUNT(*) FILTER (WHERE COALESCE({p}, false)) AS rows_breaking, "
+        f"COUNT(*) AS rows_total FROM {src}" for n, p in RULES_SQL)
+    return parts
+
+
+def targets_sql(src: str, noise_on: bool = False, key: str = "sme_id",
+                keep_scores: bool = False) -> str:
+    from bizlens.operators import labels as LB
+    d = lit
+    elig = (f"{flag('revenue > 100000')} * {d(0.3)} + {flag(f'profit_margin > {d(0.12)}')} * {d(0.2)}"
+            f" + {flag(f'debt_ratio < {d(0.45)}')} * {d(0.2)} + {flag('default_history = 0')} * {d(0.2)}"
+            f" + {flag('tax_registered = 1')} * {d(0.1)}")
+    if noise_on:
+        elig += f" + {noise(key, 'eligibility', 0.0, LB.ELIGIBILITY_NOISE_SD)}"
+    risk = f"debt_ratio * {d(0.4)} + default_history * {d(0.4)} + (1 - profit_margin) * {d(0.2)}"
+    if noise_on:
+        risk += f" + {noise(key, 'risk', 0.0, LB.RISK_NOISE_SD)}"
+    risk = (f"(CASE WHEN ({risk}) IS NULL OR isnan({risk}) THEN {d(0.5)} "
+            f"WHEN ({risk}) = CAST('inf' AS DOUBLE) THEN {d(1.0)} "
+            f"WHEN ({risk}) = CAST('-inf' AS DOUBLE) THEN {d(0.0)} ELSE ({risk}) END)")
+    health = (f"profit_margin * 40 + (1 - debt_ratio) * 30 + ln(1 + revenue) / "
+              f"{d(math.log1p(LB.HEALTH_SCORE_REVENUE_REF))} * 30")
+    if noise_on:
+        health += f" + {noise(key, 'health_score', 0.0, LB.HEALTH_SCORE_NOISE_SD)}"
+    q = (f"SELECT *, {flag(f'({elig}) > {d(LB.ELIGIBILITY_LIMIT)}')} AS eligible_for_funding, "
+         f"{clip01(risk)} AS default_risk_score, "
+         f"{bround(clip(health, 0, 100), 1)} AS business_health_score FROM {src}")
+    q = (f"SELECT * EXCLUDE (business_health_score), "
+         f"{cut('default_risk_score', [float(x) for x in LB.RISK_BINS], S.RISK_LEVELS)} AS default_risk, "
+         f"business_health_score FROM ({q})")
+    return q if keep_scores else f"SELECT * EXCLUDE (default_risk_score) FROM ({q})"
+
+
+def growth_action_sql(r: str) -> str:
+    from bizlens.operators import decisions as D
+    parts = " ".join(f"WHEN ({r}) >= {lit(float(v))} THEN {lit(n)}" for v, n in D.GROWTH_ACTIONS)
+    return f"(CASE {parts} ELSE {lit(D.GROWTH_ACTION_ELSE)} END)"
+
+
+def health_decisions_sql(src: str) -> str:
+    total = " + ".join(f"COALESCE({n}, 0)" for n in S.RISK_FLAG_COLS)
+    return (f"SELECT sme_id, health_category, {', '.join(S.RISK_FLAG_COLS)}, "
+            f"{total} AS total_risk_flags FROM {src}")
+
+
+def growth_decisions_sql(src: str) -> str:
+    r = "predicted_6m_growth_rate"
+    return (f"SELECT sme_id, revenue AS current_revenue, {bround(f'{r} * 100', 1)} AS {r}, "
+            f"{bround(f'revenue * (1 + {r})', 0)} AS predicted_6m_revenue, growth_stage, "
+            f"will_jump_category, current_revenue_category, composite_growth_score, "
+            f"{growth_action_sql(r)} AS growth_action FROM {src}")
+
+
+def compliance_decisions_sql(src: str, p: str = "default_risk_score") -> str:
+    from bizlens.operators import decisions as D
+    ok = "COALESCE(CAST(eligible_for_funding AS BOOLEAN), false)"
+    found = (f"concat_ws('|', CASE WHEN {p} >= {lit(D.HIGH_DEFAULT_RISK_P)} THEN '{D.REASON_DEFAULT}' END, "
+             f"CASE WHEN business_health_score < {D.POOR_HEALTH_SCORE} THEN '{D.REASON_HEALTH}' END)")
+    reasons = (f"CASE WHEN NOT {ok} THEN '{D.REASON_POLICY}' WHEN {found} = '' THEN '{D.REASON_OK}' "
+               f"ELSE {found} END")
+    level = (f"CASE WHEN NOT {ok} THEN 'HIGH' WHEN {found} = '' THEN 'LOW' "
+             f"WHEN {p} >= {lit(D.HIGH_DEFAULT_RISK_P)} THEN 'HIGH' ELSE 'MEDIUM' END")
+    return (f"SELECT sme_id, eligible_for_funding, {bround(p, 3)} AS default_risk_probability, "
+            f"{bround('business_health_score', 1)} AS business_health_score, "
+            f"{level} AS compliance_risk, {reasons} AS reasons FROM {src}")
+
+
+def suffix_join_sql(left: str, right: str, left_cols: Sequence[str], right_cols: Sequence[str],
+                    key: str = "sme_id", suffix: str = "_growth") -> str:
+    clash = set(left_cols) & set(right_cols)
+    rsel = ", ".join(f"r.{c} AS {c + suffix if c in clash else c}" for c in right_cols if c != key)
+    lsel = ", ".join(f"l.{c}" for c in left_cols)
+    return f"SELECT {lsel}, {rsel} FROM {left} l JOIN {right} r ON l.{key} = r.{key}"
