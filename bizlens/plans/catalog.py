@@ -334,3 +334,152 @@ def q_schema_profile(spark, sf_dir):
     f"SELECT * FROM ({O.health_decisions_sql('health')}) ORDER BY sme_id LIMIT 5", [HEALTH_CTE]))
 def q_first_rows(spark, sf_dir):
     return PR.first_rows(D.health_decisions(health_table(spark, sf_dir)), 5)
+
+
+# ------------------------------------------------------------------ encoding
+
+from bizlens.operators import encode as EN  # noqa: E402
+from bizlens.operators import metrics as MT  # noqa: E402
+
+SORTED_VOCAB = {c: sorted(v) for c, v in S.CATEGORICAL_VOCAB.items()}
+SORTED_VOCAB["current_revenue_category"] = sorted(S.SIZE_CATEGORIES)
+
+
+def round_features(df: DataFrame, names, digits: int = 9) -> DataFrame:
+    return df.withColumns({n: F.bround(n, digits) for n in names})
+
+
+@register("a12_scaler_stats", with_sme(" UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS column_name, round_even(avg(CAST({c} AS DOUBLE)), 6) AS mean, "
+    f"round_even(CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) = 0 THEN 1.0 "
+    f"ELSE stddev_pop(CAST({c} AS DOUBLE)) END, 6) AS std FROM sme"
+    for i, c in enumerate(S.FUNDING_FEATURES["numeric"]))))
+def q_scaler_stats(spark, sf_dir):
+    st = EN.scaler_stats(sme_table(spark, sf_dir), S.FUNDING_FEATURES["numeric"])
+    return st.withColumns({"mean": F.bround("mean", 6), "std": F.bround("std", 6)})
+
+
+@register("a13_vocabulary", with_sme(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS position, "
+    f"v AS value FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM sme WHERE {c} IS NOT NULL)"
+    for c in S.FUNDING_FEATURES["onehot"])))
+def q_vocabulary(spark, sf_dir):
+    return EN.vocabulary(sme_table(spark, sf_dir), S.FUNDING_FEATURES["onehot"])
+
+
+def _encoded(df: DataFrame, spec) -> DataFrame:
+    state = EN.fit_encoder(df, spec)
+    return round_features(EN.encode(df, state), state.feature_names())
+
+
+@register("m1_m5_encoded_funding", with_sme(
+    O.encode_sql("sme", S.FUNDING_FEATURES, SORTED_VOCAB, S.ORDINAL_ORDER)))
+def q_encoded_funding(spark, sf_dir):
+    return _encoded(sme_table(spark, sf_dir), S.FUNDING_FEATURES)
+
+
+@register("m1_m5_encoded_health", with_sme(
+    O.encode_sql("health", S.HEALTH_FEATURES, SORTED_VOCAB, S.ORDINAL_ORDER), [HEALTH_CTE]))
+def q_encoded_health(spark, sf_dir):
+    return _encoded(health_table(spark, sf_dir), S.HEALTH_FEATURES)
+
+
+@register("m1_m5_encoded_growth", with_sme(
+    O.encode_sql("growth", S.GROWTH_FEATURES, SORTED_VOCAB, S.ORDINAL_ORDER), [GROWTH_CTE]))
+def q_encoded_growth(spark, sf_dir):
+    return _encoded(growth_table(spark, sf_dir), S.GROWTH_FEATURES)
+
+
+@register("m7_stratified_split", with_sme(
+    O.stratified_split_sql("sme", "default_risk", 0.2)))
+def q_stratified_split(spark, sf_dir):
+    sme = sme_table(spark, sf_dir).where(F.col("default_risk").isNotNull())
+    return EN.split(sme, 0.2, stratify="default_risk").select("sme_id", "default_risk", "is_test")
+
+
+@register("m7_split_shares", with_sme(
+    "SELECT default_risk, COUNT(*) AS rows, COUNT(*) FILTER (WHERE is_test) AS test_rows FROM ("
+    + O.stratified_split_sql("sme", "default_risk", 0.2) + ") GROUP BY default_risk"))
+def q_split_shares(spark, sf_dir):
+    sme = sme_table(spark, sf_dir).where(F.col("default_risk").isNotNull())
+    return EN.split(sme, 0.2, stratify="default_risk").groupBy("default_risk").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("is_test").alias("test_rows"))
+
+
+@register("m7_plain_split", with_sme(
+    f"SELECT sme_id, {O.split_hash_sql()} < {O.lit(0.3)} AS is_test FROM sme"))
+def q_plain_split(spark, sf_dir):
+    return EN.split(sme_table(spark, sf_dir), 0.3).select("sme_id", "is_test")
+
+
+@register("m8_class_weights", with_sme(
+    "SELECT will_jump_category, COUNT(*) AS count, "
+    "SUM(COUNT(*)) OVER () / (COUNT(*) OVER () * COUNT(*)) AS weight "
+    "FROM growth WHERE will_jump_category IS NOT NULL GROUP BY will_jump_category", [GROWTH_CTE]))
+def q_class_weights(spark, sf_dir):
+    return EN.class_weight_table(growth_table(spark, sf_dir), "will_jump_category")
+
+
+@register("m13_label_index", with_sme(
+    "SELECT default_risk, CAST(row_number() OVER (ORDER BY default_risk) - 1 AS INTEGER) AS index "
+    "FROM (SELECT DISTINCT default_risk FROM sme WHERE default_risk IS NOT NULL)"))
+def q_label_index(spark, sf_dir):
+    return EN.label_index_table(sme_table(spark, sf_dir), "default_risk")
+
+
+# ------------------------------------------------------------------ metrics
+
+
+@register("m16_accuracy", with_sme(
+    "SELECT AVG(CAST(COALESCE(current_revenue_category = predicted_revenue_category, false) AS DOUBLE))"
+    " AS accuracy, COUNT(*) AS rows FROM growth", [GROWTH_CTE]))
+def q_accuracy(spark, sf_dir):
+    return MT.accuracy(growth_table(spark, sf_dir), "current_revenue_category",
+                       "predicted_revenue_category")
+
+
+@register("m17_classification_report", with_sme(O.classification_report_sql(
+    "growth", "current_revenue_category", "predicted_revenue_category"), [GROWTH_CTE]))
+def q_classification_report(spark, sf_dir):
+    rep = MT.classification_report(growth_table(spark, sf_dir), "current_revenue_category",
+                                   "predicted_revenue_category")
+    return round_features(rep, ["precision", "recall", "f1"]).withColumn(
+        "support", F.col("support").cast("bigint"))
+
+
+def noise_pair(df: DataFrame) -> DataFrame:
+    """Growth targets without noise (``*_base``) beside the same targets with noise."""
+    base = df.select(*[F.col(c) for c in df.columns if c not in (
+        "predicted_6m_growth_rate", "growth_stage", "predicted_6m_revenue",
+        "predicted_revenue_category", "current_revenue_category", "will_jump_category")],
+        F.col("predicted_6m_growth_rate").alias("rate_base"), F.col("growth_stage").alias("stage_base"))
+    return FT.growth_targets(base, noise_on=True)
+
+
+NOISE_PAIR_CTE = ("pair", O.growth_targets_sql(
+    "(SELECT * EXCLUDE (predicted_6m_growth_rate, growth_stage, predicted_6m_revenue, "
+    "predicted_revenue_category, current_revenue_category, will_jump_category), "
+    "predicted_6m_growth_rate AS rate_base, growth_stage AS stage_base FROM growth)", noise_on=True))
+
+
+@register("m18_confusion_matrix", with_sme(" UNION ALL ".join(
+    f"SELECT {i} AS position, '{a}' AS label, " + ", ".join(
+        f"COUNT(*) FILTER (WHERE stage_base = '{a}' AND growth_stage = '{b}') AS \"pred_{b}\""
+        for b in S.GROWTH_STAGES) + " FROM pair"
+    for i, a in enumerate(S.GROWTH_STAGES)), [GROWTH_CTE, NOISE_PAIR_CTE]))
+def q_confusion(spark, sf_dir):
+    return MT.confusion_matrix(noise_pair(growth_table(spark, sf_dir)), "stage_base",
+                               "growth_stage", S.GROWTH_STAGES)
+
+
+@register("m19_regression_metrics", with_sme(
+    "SELECT round_even(sqrt(avg((rate_base - predicted_6m_growth_rate) * "
+    "(rate_base - predicted_6m_growth_rate))), 9) AS rmse, "
+    "round_even(avg(abs(rate_base - predicted_6m_growth_rate)), 9) AS mae, "
+    "round_even(1 - SUM((rate_base - predicted_6m_growth_rate) * (rate_base - predicted_6m_growth_rate))"
+    " / SUM((rate_base - (SELECT avg(rate_base) FROM pair)) * (rate_base - (SELECT avg(rate_base) FROM pair))), 9)"
+    " AS r2, COUNT(*) AS rows FROM pair", [GROWTH_CTE, NOISE_PAIR_CTE]))
+def q_regression_metrics(spark, sf_dir):
+    m = MT.regression_metrics(noise_pair(growth_table(spark, sf_dir)), "rate_base",
+                              "predicted_6m_growth_rate")
+    return round_features(m, ["rmse", "mae", "r2"])

@@ -515,3 +515,68 @@ def suffix_join_sql(left: str, right: str, left_cols: Sequence[str], right_cols:
     rsel = ", ".join(f"r.{c} AS {c + suffix if c in clash else c}" for c in right_cols if c != key)
     lsel = ", ".join(f"l.{c}" for c in left_cols)
     return f"SELECT {lsel}, {rsel} FROM {left} l JOIN {right} r ON l.{key} = r.{key}"
+
+
+# ------------------------------------------------------------------ encoding and metrics
+
+
+def split_hash_sql(key: str = "sme_id", seed: int = 42) -> str:
+    return (f"(CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || ':split:{seed}'), 1, 13) AS BIGINT)"
+            f" / CAST({2 ** 52} AS DOUBLE))")
+
+
+def encode_sql(src: str, spec: dict, vocab: dict, ordinal_order: dict, digits: int = 9,
+               keep: Sequence[str] = ("sme_id",)) -> str:
+    """M1-M4 with statistics computed over ``src`` itself (fit on all rows)."""
+    cols = list(keep)
+    for c in spec["ordinal"]:
+        ladder = " ".join(f"WHEN CAST({c} AS VARCHAR) = {lit(v)} THEN {lit(float(i))}"
+                          for i, v in enumerate(ordinal_order[c]))
+        cols.append(f"round_even({clean(f'CASE {ladder} ELSE -1.0 END')}, {digits}) AS ord__{c}")
+    for c in spec["onehot"]:
+        for v in vocab[c][1:]:
+            cols.append(f"round_even({clean(f'COALESCE(CAST(CAST({c} AS VARCHAR) = {lit(v)} AS DOUBLE), 0.0)')}"
+                        f", {digits}) AS \"oh__{c}__{v}\"")
+    for c in spec["numeric"]:
+        m = f"(SELECT avg(CAST({c} AS DOUBLE)) FROM {src})"
+        s = (f"(SELECT CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) = 0 THEN 1.0 "
+             f"ELSE stddev_pop(CAST({c} AS DOUBLE)) END FROM {src})")
+        cols.append(f"round_even({clean(f'(CAST({c} AS DOUBLE) - {m}) / {s}')}, {digits}) AS num__{c}")
+    for c in spec["binary"]:
+        cols.append(f"round_even({clean(f'CAST({c} AS DOUBLE)')}, {digits}) AS bin__{c}")
+    return f"SELECT {', '.join(cols)} FROM {src}"
+
+
+def stratified_split_sql(src: str, label: str, test_frac: float, key: str = "sme_id",
+                         seed: int = 42) -> str:
+    u = split_hash_sql(key, seed)
+    return f"""SELECT {key}, {label}, rn <= floor({lit(float(test_frac))} * n + 0.5) AS is_test FROM (
+  SELECT {key}, {label}, row_number() OVER (PARTITION BY {label} ORDER BY {u}) AS rn,
+         COUNT(*) OVER (PARTITION BY {label}) AS n
+  FROM {src} WHERE {label} IS NOT NULL)"""
+
+
+def classification_report_sql(src: str, y: str, p: str) -> str:
+    return f"""SELECT * FROM (WITH cm AS (SELECT CAST({y} AS VARCHAR) AS y, CAST({p} AS VARCHAR) AS p, COUNT(*) AS cnt
+              FROM {src} GROUP BY ALL),
+cls AS (SELECT y AS cls FROM cm WHERE y IS NOT NULL UNION SELECT p FROM cm WHERE p IS NOT NULL),
+per AS (
+  SELECT cls.cls,
+         COALESCE((SELECT SUM(cnt) FROM cm WHERE cm.y = cls.cls AND cm.p = cls.cls), 0) AS tp,
+         COALESCE((SELECT SUM(cnt) FROM cm WHERE cm.y = cls.cls), 0) AS support,
+         COALESCE((SELECT SUM(cnt) FROM cm WHERE cm.p = cls.cls), 0) AS predicted
+  FROM cls),
+pr AS (SELECT cls, tp, support,
+              CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS precision,
+              CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall FROM per),
+f AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0.0
+                     ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM pr),
+t AS (SELECT SUM(support) AS n, SUM(tp) AS tp, avg(precision) AS mp, avg(recall) AS mr,
+             avg(f1) AS mf, SUM(precision * support) / SUM(support) AS wp,
+             SUM(recall * support) / SUM(support) AS wr, SUM(f1 * support) / SUM(support) AS wf
+      FROM f)
+SELECT cls, round_even(precision, 9) AS precision, round_even(recall, 9) AS recall,
+       round_even(f1, 9) AS f1, CAST(support AS BIGINT) AS support, 'class' AS kind FROM f
+UNION ALL SELECT 'accuracy', NULL, NULL, round_even(tp / n, 9), CAST(n AS BIGINT), 'accuracy' FROM t
+UNION ALL SELECT 'macro avg', round_even(mp, 9), round_even(mr, 9), round_even(mf, 9), CAST(n AS BIGINT), 'macro avg' FROM t
+UNION ALL SELECT 'weighted avg', round_even(wp, 9), round_even(wr, 9), round_even(wf, 9), CAST(n AS BIGINT), 'weighted avg' FROM t)"""
