@@ -148,6 +148,18 @@ def scaled_expr(c: str, mean: float, scale: float) -> Column:
 def encode(df: DataFrame, state: EncoderState, keep: Sequence[str] = ("sme_id",),
            clean_values: bool = True) -> DataFrame:
     """Encoded feature columns in block order (M1-M4), ``keep`` columns first."""
+    exprs = encoded_exprs(state, clean_values)
+    kept = [k for k in keep if k in df.columns]
+    return df.select(*kept, *[e.alias(n) for e, n in zip(exprs, state.feature_names())])
+
+
+def feature_vector(state: EncoderState, width: int | None = None) -> Column:
+    """All encoded features as one ``vector`` expression (M5, M6), no extra columns."""
+    arr = F.array(*encoded_exprs(state))
+    return array_to_vector(pad_trim(arr, width) if width is not None else arr)
+
+
+def encoded_exprs(state: EncoderState, clean_values: bool = True) -> list[Column]:
     exprs: list[Column] = []
     for c in state.spec["ordinal"]:
         exprs.append(ordinal_expr(c, state.ordinal_order[c], state.unknown_ordinal))
@@ -157,11 +169,9 @@ def encode(df: DataFrame, state: EncoderState, keep: Sequence[str] = ("sme_id",)
         exprs.append(scaled_expr(c, state.mean[c], state.scale[c]))
     for c in state.spec["binary"]:
         exprs.append(F.col(c).cast("double"))
-    names = state.feature_names()
     if clean_values:  # P10 on every feature
         exprs = [clean(e) for e in exprs]
-    kept = [k for k in keep if k in df.columns]
-    return df.select(*kept, *[e.alias(n) for e, n in zip(exprs, names)])
+    return exprs
 
 
 def assemble(df: DataFrame, names: Sequence[str], out: str = "features",

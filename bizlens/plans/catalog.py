@@ -483,3 +483,44 @@ def q_regression_metrics(spark, sf_dir):
     m = MT.regression_metrics(noise_pair(growth_table(spark, sf_dir)), "rate_base",
                               "predicted_6m_growth_rate")
     return round_features(m, ["rmse", "mae", "r2"])
+
+
+# ------------------------------------------------------------------ models (R: rows-only checks)
+
+from bizlens.plans import jobs as JB  # noqa: E402
+from bizlens.plans import models as MD  # noqa: E402
+
+
+def bundles_for(spark: SparkSession, sf_dir: str) -> dict:
+    """Bundles trained on this folder's tables with the reference settings (once per process)."""
+    return JB.trained_bundles(spark, sme_table(spark, sf_dir), key=sf_dir)
+
+
+@register("m9_m10_funding_scores")
+def q_funding_scores(spark, sf_dir):
+    return JB.score_funding(bundles_for(spark, sf_dir)["funding"], sme_table(spark, sf_dir))
+
+
+@register("m20_compliance_batch")
+def q_compliance_batch(spark, sf_dir):
+    return JB.score_compliance(bundles_for(spark, sf_dir)["funding"], sme_table(spark, sf_dir))
+
+
+@register("m12_health_scores")
+def q_health_scores(spark, sf_dir):
+    return JB.score_health(bundles_for(spark, sf_dir)["health"], sme_table(spark, sf_dir))
+
+
+@register("m11_growth_scores")
+def q_growth_scores(spark, sf_dir):
+    return JB.score_growth(bundles_for(spark, sf_dir)["growth"], sme_table(spark, sf_dir))
+
+
+@register("m21_score_all")
+def q_score_all(spark, sf_dir):
+    return JB.score_all(bundles_for(spark, sf_dir), sme_table(spark, sf_dir))
+
+
+@register("m16_m19_model_metrics")
+def q_model_metrics(spark, sf_dir):
+    return MD.metrics_table(spark, list(bundles_for(spark, sf_dir).values()))
