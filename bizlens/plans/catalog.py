@@ -524,3 +524,90 @@ def q_score_all(spark, sf_dir):
 @register("m16_m19_model_metrics")
 def q_model_metrics(spark, sf_dir):
     return MD.metrics_table(spark, list(bundles_for(spark, sf_dir).values()))
+
+
+# ------------------------------------------------------------------ requests and streams
+
+import uuid  # noqa: E402
+
+from bizlens.session import scratch_path  # noqa: E402
+from bizlens.sources import requests as RQ  # noqa: E402
+from bizlens.streaming import scoring as ST  # noqa: E402
+
+SME_TABLE_COLS = [f.name for f in S.SME_TABLE_SCHEMA.fields]
+
+
+def parsed_requests(spark, sf_dir):
+    return RQ.parse_requests(RQ.request_json(sme_table(spark, sf_dir)))
+
+
+@register("s4_request_parse", with_sme(O.request_parse_sql("sme", SME_TABLE_COLS)))
+def q_request_parse(spark, sf_dir):
+    return parsed_requests(spark, sf_dir)
+
+
+@register("p13_request_validation", with_sme(
+    "SELECT reject_reason, COUNT(*) AS count FROM (" + O.request_parse_sql("sme", SME_TABLE_COLS)
+    + ") GROUP BY reject_reason"))
+def q_request_validation(spark, sf_dir):
+    return parsed_requests(spark, sf_dir).groupBy("reject_reason").count()
+
+
+HF19_COLS = ["liquidity_ratio", "cash_months", "revenue_per_employee", "payroll_to_revenue",
+             "invoice_paid_rate", "staff_retention_rate", "customer_active_rate",
+             "customer_repeat_rate", "marketing_roi", "conversion_rate"] + S.RISK_FLAG_COLS
+
+
+@register("hf19_request_ratios", with_sme(
+    f"SELECT CAST(sme_id AS VARCHAR) AS sme_id, {', '.join(HF19_COLS)} FROM health", [HEALTH_CTE]))
+def q_request_ratios(spark, sf_dir):
+    valid, _ = RQ.split_requests(parsed_requests(spark, sf_dir))
+    return RQ.fill_flags(RQ.fill_ratios(valid)).select("sme_id", *HF19_COLS)
+
+
+def health_result_json(decisions: DataFrame) -> DataFrame:
+    """The health result of each business as one JSON document."""
+    flags = F.struct(*[F.col(n) for n in S.RISK_FLAG_COLS], F.col("total_risk_flags").alias("total"))
+    return decisions.select(F.col("sme_id").cast("string").alias("sme_id"), RQ.to_json_result(
+        [F.col("sme_id").cast("string").alias("sme_id"), "health_category",
+         flags.alias("risk_flags")]).alias("result"))
+
+
+@register("s5_health_result_json", with_sme(
+    "SELECT CAST(sme_id AS VARCHAR) AS sme_id, CAST(to_json({'sme_id': CAST(sme_id AS VARCHAR), "
+    "'health_category': health_category, 'risk_flags': {"
+    + ", ".join(f"'{n}': {n}" for n in S.RISK_FLAG_COLS)
+    + ", 'total': total_risk_flags}}) AS VARCHAR) AS result FROM ("
+    + O.health_decisions_sql("health") + ")", [HEALTH_CTE]))
+def q_health_result_json(spark, sf_dir):
+    return health_result_json(D.health_decisions(health_table(spark, sf_dir)))
+
+
+def _stream_dirs(spark, name):
+    base = scratch_path(spark, f"{name}_{uuid.uuid4().hex}")
+    return {k: f"{base}/{k}" for k in ("requests", "out", "rejected", "checkpoint")}
+
+
+@register("st1_stream_scores")
+def q_stream_scores(spark, sf_dir):
+    bundles = bundles_for(spark, sf_dir)
+    d = _stream_dirs(spark, "st1")
+    RQ.request_json(sme_table(spark, sf_dir)).write.mode("overwrite").text(d["requests"])
+    q = ST.start_scoring_stream(spark, bundles, d["requests"], d["out"], d["checkpoint"])
+    q.awaitTermination()
+    return spark.read.schema("sme_id STRING, result STRING").json(d["out"])
+
+
+@register("st2_stream_with_rejects")
+def q_stream_with_rejects(spark, sf_dir):
+    bundles = bundles_for(spark, sf_dir)
+    d = _stream_dirs(spark, "st2")
+    RQ.request_json(sme_table(spark, sf_dir)).write.mode("overwrite").text(d["requests"])
+    q = ST.start_scoring_stream_with_rejects(spark, bundles, d["requests"], d["out"], d["rejected"],
+                                             d["checkpoint"])
+    q.awaitTermination()
+    res = spark.read.parquet(d["out"]).groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows")) \
+        .withColumn("kind", F.lit("scored"))
+    rej = spark.read.schema("sme_id STRING, reject_reason STRING, batch_id INT").parquet(d["rejected"]) \
+        .groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows")).withColumn("kind", F.lit("rejected"))
+    return res.unionByName(rej)

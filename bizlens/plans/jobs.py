@@ -80,7 +80,11 @@ def score_growth(bundle: Bundle, sme: DataFrame) -> DataFrame:
 
 def score_all(bundles: dict, sme: DataFrame, risk_class: str = RISK_CLASS) -> DataFrame:
     """Every model on every SME, one struct per model."""
-    t = all_features(sme)
+    return score_prepared(bundles, all_features(sme), risk_class)
+
+
+def score_prepared(bundles: dict, t: DataFrame, risk_class: str = RISK_CLASS) -> DataFrame:
+    """All bundles over a table that already carries every feature column."""
     for name in ("funding", "health", "growth"):
         t = bundles[name].add_predictions(t)
     fund = bundles["funding"]

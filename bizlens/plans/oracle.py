@@ -580,3 +580,25 @@ SELECT cls, round_even(precision, 9) AS precision, round_even(recall, 9) AS reca
 UNION ALL SELECT 'accuracy', NULL, NULL, round_even(tp / n, 9), CAST(n AS BIGINT), 'accuracy' FROM t
 UNION ALL SELECT 'macro avg', round_even(mp, 9), round_even(mr, 9), round_even(mf, 9), CAST(n AS BIGINT), 'macro avg' FROM t
 UNION ALL SELECT 'weighted avg', round_even(wp, 9), round_even(wr, 9), round_even(wf, 9), CAST(n AS BIGINT), 'weighted avg' FROM t)"""
+
+
+# ------------------------------------------------------------------ requests
+
+
+def request_parse_sql(src: str, src_cols: Sequence[str]) -> str:
+    """The typed request rows a JSON round trip of ``src`` gives."""
+    from bizlens.sources import requests as RQ
+    types = {"DoubleType()": "DOUBLE", "IntegerType()": "INTEGER", "StringType()": "VARCHAR"}
+    cols = []
+    for n, t, d in RQ.REQUEST_FIELDS:
+        st = types[repr(t)]
+        if n in src_cols:
+            e = f"CAST({n} AS {st})"
+            cols.append(f"COALESCE({e}, CAST({lit(d)} AS {st})) AS {n}" if d is not None else f"{e} AS {n}")
+        else:
+            cols.append(f"CAST({lit(d)} AS {st}) AS {n}")
+    checks = ", ".join(
+        f"CASE WHEN NOT ({n} IN ({', '.join(lit(v) for v in vals)})) THEN '{n} not in {'/'.join(vals)}' END"
+        for n, vals in RQ.REQUEST_VOCAB.items())
+    q = f"SELECT {', '.join(cols)} FROM {src}"
+    return f"SELECT *, NULLIF(concat_ws('; ', {checks}), '') AS reject_reason FROM ({q})"
