@@ -611,3 +611,84 @@ def q_stream_with_rejects(spark, sf_dir):
     rej = spark.read.schema("sme_id STRING, reject_reason STRING, batch_id INT").parquet(d["rejected"]) \
         .groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows")).withColumn("kind", F.lit("rejected"))
     return res.unionByName(rej)
+
+
+# ------------------------------------------------------------------ sources, sinks and null policies
+
+from bizlens.sources import tables as TB  # noqa: E402
+
+
+@register("s1_s2_csv_roundtrip", with_sme("SELECT * FROM sme"))
+def q_csv_roundtrip(spark, sf_dir):
+    """S2 then S1: write the labelled table as CSV with a header, read it back typed."""
+    path = scratch_path(spark, f"sme_csv_{uuid.uuid4().hex}")
+    TB.write_table(sme_table(spark, sf_dir), path, fmt="csv")
+    return TB.read_csv(spark, path, S.SME_TABLE_SCHEMA)
+
+
+# Per-block defaults for absent columns and nulls (growth bundle).
+BLOCK_DEFAULTS = {"ordinal": "startup", "onehot": "unknown", "numeric": 0.0, "binary": 0}
+
+
+def fill_growth_blocks(df: DataFrame) -> DataFrame:
+    """P4 + P5: absent columns get the block default, nulls are filled per block."""
+    spec = S.GROWTH_FEATURES
+    defaults = {c: BLOCK_DEFAULTS[b] for b in spec for c in spec[b]}
+    out = QL.add_missing(df, defaults)
+    out = QL.fill_blocks(out, defaults, as_string=spec["ordinal"] + spec["onehot"])
+    return out.select("sme_id", *[c for b in spec for c in spec[b]])
+
+
+def _fill_growth_sql(src: str) -> str:
+    spec = S.GROWTH_FEATURES
+    cols = []
+    for b in spec:
+        for c in spec[b]:
+            d = BLOCK_DEFAULTS[b]
+            if b in ("ordinal", "onehot"):
+                cols.append(f"CAST(COALESCE({c}, {O.lit(d)}) AS VARCHAR) AS {c}")
+            else:
+                cols.append(f"COALESCE({c}, {O.lit(d)}) AS {c}")
+    return f"SELECT sme_id, {', '.join(cols)} FROM {src}"
+
+
+@register("p4_p5_block_fill", with_sme(
+    O.rounded(_fill_growth_sql("growth"), ["marketing_efficiency"]), [GROWTH_CTE]))
+def q_block_fill(spark, sf_dir):
+    return rounded(fill_growth_blocks(growth_table(spark, sf_dir)), ["marketing_efficiency"])
+
+
+FF_TYPES = {f.name: f.dataType.simpleString() for f in S.PROFILE_SCHEMA.fields}
+FF_TYPES.update({n: "double" for n in FF_ALL[len(S.PROFILE_SCHEMA.fields):len(S.PROFILE_SCHEMA.fields) + 11]})
+FF_TYPES.update({n: "string" for n in FF_ALL[len(S.PROFILE_SCHEMA.fields) + 11:]})
+
+
+@register("p6_fill_zero", O.with_profile(O.rounded("SELECT " + ", ".join(
+    f"COALESCE({c}, '0') AS {c}" if FF_TYPES[c] == "string" else
+    (f"COALESCE({c}, 0.0) AS {c}" if FF_TYPES[c] == "double" else f"COALESCE({c}, 0) AS {c}")
+    for c in FF_ALL) + " FROM ff", ["log_revenue"]), [("ff", O.funding_sql("profile", drop_nulls=False))]))
+def q_fill_zero(spark, sf_dir):
+    ff = FT.funding_features(build_profile(spark, sf_dir), drop_nulls=False)
+    return rounded(QL.fill_all_zero(ff), ["log_revenue"])
+
+
+P10_COLS = ["revenue_growth_6m", "customer_growth_6m", "cash_runway_months", "marketing_roi",
+            "marketing_intensity", "funding_growth_boost", "composite_growth_score"]
+
+
+@register("p10_p11_nonfinite_repair", with_sme(
+    "SELECT sme_id, " + ", ".join(f"{O.clean(c)} AS {c}" for c in P10_COLS)
+    + ", CASE WHEN predicted_6m_growth_rate IS NULL OR isnan(predicted_6m_growth_rate) THEN 0.5 "
+      "WHEN predicted_6m_growth_rate = CAST('inf' AS DOUBLE) THEN 1.0 "
+      "WHEN predicted_6m_growth_rate = CAST('-inf' AS DOUBLE) THEN 0.0 "
+      "ELSE predicted_6m_growth_rate END AS predicted_6m_growth_rate FROM growth", [GROWTH_CTE]))
+def q_nonfinite(spark, sf_dir):
+    g = growth_table(spark, sf_dir)
+    out = QL.repair_columns(QL.clean_columns(g, P10_COLS), ["predicted_6m_growth_rate"])
+    return out.select("sme_id", *P10_COLS, "predicted_6m_growth_rate")
+
+
+@register("l2_first_row_sample", with_sme(
+    f"SELECT * FROM ({O.growth_decisions_sql('growth')}) ORDER BY sme_id LIMIT 1", [GROWTH_CTE]))
+def q_first_row(spark, sf_dir):
+    return PR.first_rows(D.growth_decisions(growth_table(spark, sf_dir)), 1)
