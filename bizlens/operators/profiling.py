@@ -214,7 +214,7 @@ def column_stats(df: DataFrame, col: str, digits: int = 9) -> DataFrame:
     """A4: mean, median, sample std, min, max of one column (one row)."""
     med = exact_quantiles(df, [col], [0.5])[col][0.5]
     return df.agg(F.bround(F.avg(col), digits).alias("mean"),
-                  F.lit(med).cast("double").alias("median"),
+                  F.bround(F.lit(med).cast("double"), digits).alias("median"),
                   F.bround(F.stddev_samp(col), digits).alias("std"),
                   F.min(col).cast("double").alias("min"),
                   F.max(col).cast("double").alias("max"))
@@ -236,7 +236,8 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 6)
     out = agg.select(F.expr(
         f"stack({len(cols)}, {', '.join(parts)}) AS "
         "(position, column_name, count, mean, std, min, q25, q50, q75, max)"))
-    return out.withColumns({"mean": F.bround("mean", digits), "std": F.bround("std", digits)})
+    return out.withColumns({"mean": F.bround("mean", digits), "std": F.bround("std", digits),
+                            **{q: F.bround(q, 9) for q in ("q25", "q50", "q75")}})
 
 
 def sum_columns(cols: Sequence[str]) -> Column:

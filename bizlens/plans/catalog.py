@@ -241,7 +241,7 @@ def q_growth_stage_counts(spark, sf_dir):
 
 @register("a4_growth_rate_stats", with_sme("""
 SELECT round_even(avg(predicted_6m_growth_rate), 9) AS mean,
-       quantile_cont(predicted_6m_growth_rate, 0.5) AS median,
+       round_even(quantile_cont(predicted_6m_growth_rate, 0.5), 9) AS median,
        round_even(stddev_samp(predicted_6m_growth_rate), 9) AS std,
        min(predicted_6m_growth_rate) AS min, max(predicted_6m_growth_rate) AS max
 FROM growth""", [GROWTH_CTE]))
@@ -257,8 +257,8 @@ A5_COLS = ["revenue", "profit_margin", "debt_ratio", "employee_count", "age_of_b
 @register("a5_describe", with_sme(" UNION ALL ".join(
     f"SELECT {i} AS position, '{c}' AS column_name, COUNT({c}) AS count, "
     f"round_even(avg({c}), 6) AS mean, round_even(stddev_samp({c}), 6) AS std, "
-    f"CAST(min({c}) AS DOUBLE) AS min, quantile_cont({c}, 0.25) AS q25, "
-    f"quantile_cont({c}, 0.5) AS q50, quantile_cont({c}, 0.75) AS q75, "
+    f"CAST(min({c}) AS DOUBLE) AS min, round_even(quantile_cont({c}, 0.25), 9) AS q25, "
+    f"round_even(quantile_cont({c}, 0.5), 9) AS q50, round_even(quantile_cont({c}, 0.75), 9) AS q75, "
     f"CAST(max({c}) AS DOUBLE) AS max FROM sme" for i, c in enumerate(A5_COLS))))
 def q_describe(spark, sf_dir):
     return PR.describe(sme_table(spark, sf_dir), A5_COLS)
