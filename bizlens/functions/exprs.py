@@ -166,12 +166,22 @@ def clip01_repaired(c: ColumnOrName, nan: float = 0.5) -> Column:
 # ---------------------------------------------------------------- reproducible draws
 
 
+def hash01_sql(key: str, salt: str) -> str:
+    """SQL text of :func:`hash01` for a key column name."""
+    return (f"(CAST(conv(substring(md5(concat(CAST(`{key}` AS STRING), '{':' + salt}')), 1, 8), 16, 10)"
+            f" AS BIGINT) / 4294967296D)")
+
+
 def hash01(key: ColumnOrName, salt: str) -> Column:
     """Uniform value in [0, 1) from a key and a salt, equal on every engine.
 
     First 32 bits of ``md5(key || ':' || salt)`` divided by 2^32. It depends
-    only on the row's key, never on partitioning or row order.
+    only on the row's key, never on partitioning or row order. For a column
+    name the expression is parsed from SQL text: one call to the JVM instead
+    of one per operator, which matters when dozens are built.
     """
+    if isinstance(key, str):
+        return F.expr(hash01_sql(key, salt))
     text = F.concat(col(key).cast("string"), F.lit(":" + salt))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
@@ -187,7 +197,14 @@ def noise(key: ColumnOrName, salt: str, mean: float = 0.0, sd: float = 1.0) -> C
     return F.lit(float(mean)) + F.lit(float(sd)) * z
 
 
+def pick_sql(key: str, salt: str, values: Sequence[str]) -> str:
+    arr = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return f"element_at(array({arr}), CAST(floor({hash01_sql(key, salt)} * {len(values)}) AS INT) + 1)"
+
+
 def pick(key: ColumnOrName, salt: str, values: Sequence[str]) -> Column:
     """Element ``floor(hash01 * n)`` of a fixed list."""
+    if isinstance(key, str):
+        return F.expr(pick_sql(key, salt, values))
     idx = F.floor(hash01(key, salt) * F.lit(len(values))).cast("int") + F.lit(1)
     return F.element_at(F.array(*[F.lit(v) for v in values]), idx)

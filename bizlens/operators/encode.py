@@ -14,6 +14,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,10 +115,17 @@ def fit_encoder(df: DataFrame, spec: Mapping[str, Sequence[str]],
     """Fit vocabularies and scaler on ``df`` (the training rows by default, Q10)."""
     spec = {k: [c for c in spec[k] if c in df.columns] for k in ("ordinal", "onehot", "numeric",
                                                                   "binary")}
-    mean, scale = fit_scaler(df, spec["numeric"])
+    # the fit reads the input three times: keep just the fitted columns for those passes
+    cols = spec["onehot"] + spec["numeric"]
+    part = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK) if cols else df
+    try:
+        mean, scale = fit_scaler(part, spec["numeric"])
+        vocab = fit_vocabulary(part, spec["onehot"])
+    finally:
+        if cols:
+            part.unpersist()
     return EncoderState(spec=spec, ordinal_order={c: list(ordinal_order[c]) for c in spec["ordinal"]},
-                        vocab=fit_vocabulary(df, spec["onehot"]), mean=mean, scale=scale,
-                        unknown_ordinal=unknown_ordinal)
+                        vocab=vocab, mean=mean, scale=scale, unknown_ordinal=unknown_ordinal)
 
 
 # ------------------------------------------------------------------ transform (M1-M6)

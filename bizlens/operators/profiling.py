@@ -221,23 +221,31 @@ def column_stats(df: DataFrame, col: str, digits: int = 9) -> DataFrame:
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 6) -> DataFrame:
-    """A5: count, mean, std (n-1), min, quartiles, max per numeric column (long form)."""
+    """A5: count, mean, std (n-1), min, quartiles, max per numeric column (long form).
+
+    The statistics pass and the quantile passes read the same projected
+    columns, kept for the duration. The result has one row per column.
+    """
+    from pyspark import StorageLevel
     cols = list(cols or numeric_columns(df))
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
-    agg = df.agg(*[e for i, c in enumerate(cols) for e in (
-        F.count(c).alias(f"_n{i}"), F.avg(c).alias(f"_m{i}"), F.stddev_samp(c).alias(f"_s{i}"),
-        F.min(c).cast("double").alias(f"_lo{i}"), F.max(c).cast("double").alias(f"_hi{i}"))])
-    parts = []
-    for i, c in enumerate(cols):
-        qs = [repr(float(q[c][p])) if q[c][p] is not None else "CAST(NULL AS DOUBLE)"
-              for p in (0.25, 0.5, 0.75)]
-        parts.append(f"{i}, '{c}', _n{i}, _m{i}, _s{i}, _lo{i}, "
-                     f"CAST({qs[0]} AS DOUBLE), CAST({qs[1]} AS DOUBLE), CAST({qs[2]} AS DOUBLE), _hi{i}")
-    out = agg.select(F.expr(
-        f"stack({len(cols)}, {', '.join(parts)}) AS "
-        "(position, column_name, count, mean, std, min, q25, q50, q75, max)"))
-    return out.withColumns({"mean": F.bround("mean", digits), "std": F.bround("std", digits),
-                            **{q: F.bround(q, 9) for q in ("q25", "q50", "q75")}})
+    part = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        q = exact_quantiles(part, cols, [0.25, 0.5, 0.75])
+        row = part.agg(*[e for i, c in enumerate(cols) for e in (
+            F.count(c).alias(f"n{i}"), F.bround(F.avg(c), digits).alias(f"m{i}"),
+            F.bround(F.stddev_samp(c), digits).alias(f"s{i}"),
+            F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}"))]).first()
+    finally:
+        part.unpersist()
+
+    def r9(v):
+        return None if v is None else float(round(v, 9))
+
+    rows = [(i, c, row[f"n{i}"], row[f"m{i}"], row[f"s{i}"], row[f"lo{i}"],
+             r9(q[c][0.25]), r9(q[c][0.5]), r9(q[c][0.75]), row[f"hi{i}"]) for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(
+        rows, "position INT, column_name STRING, count BIGINT, mean DOUBLE, std DOUBLE, min DOUBLE, "
+              "q25 DOUBLE, q50 DOUBLE, q75 DOUBLE, max DOUBLE")
 
 
 def sum_columns(cols: Sequence[str]) -> Column:

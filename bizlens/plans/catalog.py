@@ -5,7 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bizlens.plans import oracle as O
-from bizlens.sources.profile import build_profile
+from bizlens.sources import profile as _profile
+
+_PLANS: dict = {}
+
+
+def _memo(spark: SparkSession, key: tuple, make):
+    """Reuse a logical plan within one session.
+
+    A DataFrame is an immutable plan; reusing it only saves building the same
+    wide projections again on the driver. Every query still runs it in full.
+    """
+    k = (spark.sparkContext.applicationId, id(spark)) + key
+    if k not in _PLANS:
+        _PLANS[k] = make()
+    return _PLANS[k]
+
+
+def build_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _memo(spark, ("profile", sf_dir), lambda: _profile.build_profile(spark, sf_dir))
 
 from pyspark.sql import functions as F
 
@@ -84,8 +102,8 @@ from bizlens.operators import quality as QL  # noqa: E402
 def sme_table(spark: SparkSession, sf_dir: str, noise_on: bool = False,
               keep_scores: bool = False) -> DataFrame:
     """The labelled SME table: profile, consistency rules, targets."""
-    return LB.add_targets(QL.apply_rules(build_profile(spark, sf_dir)), noise_on=noise_on,
-                          keep_scores=keep_scores)
+    return _memo(spark, ("sme", sf_dir, noise_on, keep_scores), lambda: LB.add_targets(
+        QL.apply_rules(build_profile(spark, sf_dir)), noise_on=noise_on, keep_scores=keep_scores))
 
 
 def sme_ctes(noise_on: bool = False, keep_scores: bool = False) -> list[tuple[str, str]]:
@@ -129,11 +147,11 @@ def q_targets_noise(spark, sf_dir):
 
 
 def health_table(spark, sf_dir):
-    return FT.health_features(sme_table(spark, sf_dir))
+    return _memo(spark, ("health", sf_dir), lambda: FT.health_features(sme_table(spark, sf_dir)))
 
 
 def growth_table(spark, sf_dir):
-    return FT.growth_features(sme_table(spark, sf_dir))
+    return _memo(spark, ("growth", sf_dir), lambda: FT.growth_features(sme_table(spark, sf_dir)))
 
 
 HEALTH_CTE = ("health", O.health_sql("sme"))

@@ -22,6 +22,9 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # PySpark otherwise inspects the Python stack on every Column operation
+    # to annotate error messages; building wide feature plans then costs seconds.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

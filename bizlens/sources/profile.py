@@ -13,8 +13,9 @@ Plan, designed for fact tables far larger than memory:
 4. ``customer`` LEFT JOIN both aggregates on the customer key. Neither side is
    broadcast by hint; AQE broadcasts at run time only under the size limit.
 
-Money is summed as ``decimal(18,4)`` so that sums do not depend on the order
-in which partitions combine.
+Money is summed exactly as whole ten-thousandths (``bigint``): the same value
+as a ``decimal(18,4)`` sum, independent of the order in which partitions
+combine, at the cost of long additions instead of decimal objects.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bizlens import schema as S
-from bizlens.functions.exprs import hash01, pick
+from bizlens.functions.exprs import hash01_sql, pick_sql
 from bizlens.sources.tables import read_table
 
 # Period layout and scale of the profile.
@@ -33,6 +34,7 @@ PERIOD_START = "1998-05-01"   # first day of the current period
 PERIOD_MONTHS = 39            # length of the current and of the previous period
 REVENUE_DIVISOR = 3.25        # sum of net sales -> revenue per period
 CUSTOMERS_PER_PART = 25       # distinct parts bought -> customer base
+NET_SCALE = 10000             # money is summed in 1e-4 units
 
 # Share of businesses with each 0/1 flag set.
 FLAG_RATES = {
@@ -69,7 +71,9 @@ def customer_order_stats(orders: DataFrame, lineitem: DataFrame,
     li = lineitem.select(
         F.col("l_orderkey").alias("orderkey"),
         "l_partkey",
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)").alias("net"),
+        # net price in 1e-4 units, rounded half up: exact integer sums
+        F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * NET_SCALE + 0.5)
+         .cast("bigint").alias("net"),
         "l_returnflag", "l_linestatus")
     j = li.join(o, "orderkey")
     cur, prev = F.col("period") == 1, F.col("period") == 2
@@ -108,9 +112,8 @@ def profile_from_frames(customer: DataFrame, orders: DataFrame, lineitem: DataFr
     ev = customer_event_stats(events)
     # Attributes that depend on the customer row alone are computed before the
     # joins, so later filters never re-inline them.
-    k = F.col("custkey")
     attrs = customer.select(F.col("c_custkey").alias("custkey"), "c_name", "c_acctbal") \
-        .select("custkey", *[e.alias(n) for n, e in key_attributes(k).items()])
+        .selectExpr("custkey", *[f"{e} AS {n}" for n, e in key_attributes("custkey").items()])
     base = attrs.join(stats, "custkey", "left").join(ev, "custkey", "left")
     post = fact_attributes()
     return base.select(*[
@@ -118,42 +121,44 @@ def profile_from_frames(customer: DataFrame, orders: DataFrame, lineitem: DataFr
         for f in S.PROFILE_SCHEMA.fields])
 
 
-def key_attributes(k: Column) -> dict[str, Column]:
-    """Profile columns derived from the customer row (key hashes, balance)."""
+def key_attributes(k: str) -> dict[str, str]:
+    """Profile columns derived from the customer row, as SQL expressions.
 
-    def h(salt: str) -> Column:
-        return hash01(k, salt)
+    Each value is a deterministic function of the key (a salted hash), so a
+    column costs one parsed expression and no shuffle.
+    """
 
-    def floor_of(salt: str, n: int, offset: int = 0) -> Column:
-        return (F.lit(offset) + F.floor(h(salt) * n)).cast("bigint")
+    def h(salt: str) -> str:
+        return hash01_sql(k, salt)
 
-    no_marketing = h("z") < 0.1
+    def floor_of(salt: str, n: int, offset: int = 0) -> str:
+        return f"CAST({offset} + floor({h(salt)} * {n}) AS BIGINT)"
 
-    def spend(salt: str) -> Column:
-        return F.when(no_marketing, F.lit(0.0)).otherwise(h(salt) * 50000)
+    def spend(salt: str) -> str:
+        return f"CASE WHEN {h('z')} < 0.1 THEN 0.0D ELSE {h(salt)} * 50000 END"
 
-    def flag_col(name: str) -> Column:
-        return (h(name) < F.lit(FLAG_RATES[name])).cast("int")
+    def flag_col(name: str) -> str:
+        return f"CAST({h(name)} < {FLAG_RATES[name]} AS INT)"
 
     return {
-        "sme_id": k.cast("bigint"),
-        "business_name": F.col("c_name"),
-        "profit_margin": h("pm") * 0.35 - 0.03,
-        "debt_ratio": h("dr") * 0.9,
-        "collateral_value": h("cv") * 200000,
+        "sme_id": f"CAST(`{k}` AS BIGINT)",
+        "business_name": "c_name",
+        "profit_margin": f"{h('pm')} * 0.35 - 0.03",
+        "debt_ratio": f"{h('dr')} * 0.9",
+        "collateral_value": f"{h('cv')} * 200000",
         "marketing_spend": spend("ms"),
         "employee_count": floor_of("emp", 100),
         "staff_count": floor_of("st", 50),
         "age_of_business": floor_of("ag", 25),
-        "sector": pick(k, "sector", S.SECTORS),
+        "sector": pick_sql(k, "sector", S.SECTORS),
         "previous_funding_received": flag_col("previous_funding_received"),
-        "previous_funding_amount": 10000 + h("pf") * 490000,
+        "previous_funding_amount": f"10000 + {h('pf')} * 490000",
         "default_history": flag_col("default_history"),
         "loan_applications_count": floor_of("lc", 10),
-        "funding_requested_amount": 20000 + h("fr") * 980000,
-        "expected_roi": h("er") * 0.4,
+        "funding_requested_amount": f"20000 + {h('fr')} * 980000",
+        "expected_roi": f"{h('er')} * 0.4",
         "project_duration_months": floor_of("pd", 33, 3),
-        "business_stage": pick(k, "business_stage", S.BUSINESS_STAGES),
+        "business_stage": pick_sql(k, "business_stage", S.BUSINESS_STAGES),
         "collateral_offered": flag_col("collateral_offered"),
         "business_registration_uploaded": flag_col("business_registration_uploaded"),
         "tax_clearance_uploaded": flag_col("tax_clearance_uploaded"),
@@ -162,23 +167,23 @@ def key_attributes(k: Column) -> dict[str, Column]:
         "tax_paid_last_year": flag_col("tax_paid_last_year"),
         "licenses_required": floor_of("lr", 4, 1),
         "licenses_up_to_date": flag_col("licenses_up_to_date"),
-        "total_payroll": 50000 + h("tp") * 450000,
-        "cost_per_hire": 5000 + h("ch") * 45000,
-        "nssf_contribution_percent": 0.05 + h("ns") * 0.07,
-        "nhif_contribution_percent": 0.02 + h("nh") * 0.03,
-        "staff_turnover_rate": h("tr") * 0.3,
-        "bank_balance": F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") * 20).otherwise(F.lit(0.0)),
-        "m_pesa_balance": h("mp") * 50000,
+        "total_payroll": f"50000 + {h('tp')} * 450000",
+        "cost_per_hire": f"5000 + {h('ch')} * 45000",
+        "nssf_contribution_percent": f"0.05 + {h('ns')} * 0.07",
+        "nhif_contribution_percent": f"0.02 + {h('nh')} * 0.03",
+        "staff_turnover_rate": f"{h('tr')} * 0.3",
+        "bank_balance": "CASE WHEN c_acctbal > 0 THEN c_acctbal * 20 ELSE 0.0D END",
+        "m_pesa_balance": f"{h('mp')} * 50000",
         "campaign_spend": spend("cs"),
-        "target_segment": pick(k, "target_segment", S.TARGET_SEGMENTS),
+        "target_segment": pick_sql(k, "target_segment", S.TARGET_SEGMENTS),
         "active_customers": floor_of("ac", 600),
         "repeat_customers": floor_of("rc", 500),
-        "channels_used": pick(k, "channels_used", S.CHANNELS),
+        "channels_used": pick_sql(k, "channels_used", S.CHANNELS),
         "owner_age": floor_of("oa", 40, 20),
-        "owner_gender": pick(k, "owner_gender", S.OWNER_GENDERS),
-        "education_level": pick(k, "education_level", S.EDUCATION_LEVELS),
-        "employment_status": pick(k, "employment_status", S.EMPLOYMENT_STATUSES),
-        "location": pick(k, "location", S.LOCATIONS),
+        "owner_gender": pick_sql(k, "owner_gender", S.OWNER_GENDERS),
+        "education_level": pick_sql(k, "education_level", S.EDUCATION_LEVELS),
+        "employment_status": pick_sql(k, "employment_status", S.EMPLOYMENT_STATUSES),
+        "location": pick_sql(k, "location", S.LOCATIONS),
         "marketing_spend_6m_ago": spend("mq"),
     }
 
@@ -187,7 +192,8 @@ def fact_attributes() -> dict[str, Column]:
     """Profile columns derived from the order and event aggregates."""
 
     def money(name: str) -> Column:
-        return F.coalesce(F.col(name).cast("double"), F.lit(0.0)) / F.lit(REVENUE_DIVISOR)
+        units = F.coalesce(F.col(name), F.lit(0)).cast("double")
+        return units / F.lit(float(NET_SCALE)) / F.lit(REVENUE_DIVISOR)
 
     def count(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(0)).cast("bigint")

@@ -22,9 +22,29 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+# Column types of the driver tables that the library reads. A declared read
+# schema skips the footer-reading inference job and prunes the scan.
+TABLE_TYPES = {
+    "customer": {"c_custkey": "BIGINT", "c_name": "STRING", "c_nationkey": "INT",
+                 "c_acctbal": "DOUBLE", "c_mktsegment": "STRING"},
+    "orders": {"o_orderkey": "BIGINT", "o_custkey": "BIGINT", "o_orderstatus": "STRING",
+               "o_totalprice": "DOUBLE", "o_orderdate": "TIMESTAMP_NTZ", "o_orderpriority": "STRING"},
+    "lineitem": {"l_orderkey": "BIGINT", "l_partkey": "BIGINT", "l_suppkey": "BIGINT",
+                 "l_linenumber": "INT", "l_quantity": "DOUBLE", "l_extendedprice": "DOUBLE",
+                 "l_discount": "DOUBLE", "l_tax": "DOUBLE", "l_returnflag": "STRING",
+                 "l_linestatus": "STRING", "l_shipdate": "TIMESTAMP_NTZ"},
+    "events": {"event_id": "BIGINT", "ts": "TIMESTAMP_NTZ", "user_id": "BIGINT",
+               "event_type": "STRING", "value": "DOUBLE", "props": "STRING"},
+}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str,
                columns: Sequence[str] | None = None) -> DataFrame:
     """Parquet table, projected to ``columns`` right at the scan."""
+    types = TABLE_TYPES.get(name)
+    if columns and types and all(c in types for c in columns):
+        ddl = ", ".join(f"{c} {types[c]}" for c in columns)
+        return spark.read.schema(ddl).parquet(table_path(sf_dir, name))
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
 
