@@ -9,6 +9,7 @@ result into one struct per model.
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,19 +122,31 @@ _LOADED: dict = {}    # saved path -> loaded bundle
 
 def trained_bundles(spark: SparkSession, sme: DataFrame, key: str, overrides: dict | None = None,
                     names=("funding", "health", "growth")) -> dict:
-    """Train (once per process and key), save to the checkpoint folder, load back (S3)."""
-    out = {}
+    """Train (once per process and key), save to the checkpoint folder, load back (S3).
+
+    The three bundles are independent and are trained concurrently.
+    """
     inputs = training_inputs(sme)
-    for name in names:
+    todo = [n for n in names
+            if (key, n, repr(sorted((overrides or {}).items()))) not in _CACHE]
+
+    def train(name):
+        b = train_bundle(spark, inputs[name], name, overrides=overrides)
         ck = (key, name, repr(sorted((overrides or {}).items())))
-        if ck not in _CACHE:
-            b = train_bundle(spark, inputs[name], name, overrides=overrides)
-            path = scratch_path(spark, f"bundle_{name}_{abs(hash(ck))}")
-            b.save(spark, path)
-            _CACHE[ck] = path
-        if _CACHE[ck] not in _LOADED:
-            _LOADED[_CACHE[ck]] = Bundle.load(spark, _CACHE[ck])
-        out[name] = _LOADED[_CACHE[ck]]
+        path = scratch_path(spark, f"bundle_{name}_{abs(hash(ck))}")
+        b.save(spark, path)
+        return ck, path
+
+    if todo:
+        with ThreadPoolExecutor(max_workers=len(todo)) as pool:
+            for ck, path in pool.map(train, todo):
+                _CACHE[ck] = path
+    out = {}
+    for name in names:
+        path = _CACHE[(key, name, repr(sorted((overrides or {}).items())))]
+        if path not in _LOADED:
+            _LOADED[path] = Bundle.load(spark, path)
+        out[name] = _LOADED[path]
     return out
 
 

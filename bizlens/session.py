@@ -37,6 +37,9 @@ def get_spark(app: str = "bizlens", master: str | None = None,
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if master and master.startswith("local"):
+        # local mode runs every task in the driver JVM; it must be sized before it starts
+        builder = builder.config("spark.driver.memory", os.environ.get("BIZLENS_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
