@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from bizlens.llm.byte_bpe import encoded
 from bizlens.llm.common import documents
 from bizlens.llm.jaccard_join import jaccard_components
 
@@ -12,5 +14,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir, "doc_id", "text"))
 
 
-QUERIES = {"op5_jaccard_join": op5_jaccard_join}
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return encoded(documents(spark, sf_dir, "doc_id", "text"), ranks, keep_ids=False)
+
+
+QUERIES = {"op5_jaccard_join": op5_jaccard_join,
+           "op10_byte_bpe": op10_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}
