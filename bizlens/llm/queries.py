@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from bizlens.llm.byte_bpe import encoded
 from bizlens.llm.common import documents
 from bizlens.llm.jaccard_join import jaccard_components
+from bizlens.llm.token_store import stored_documents
+
+
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_documents(documents(spark, sf_dir, "doc_id", "text"),
+                            public_tokenizers.path("byte_bpe_50k.json"), end_id=2, vocab_size=50_257)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +25,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents(spark, sf_dir, "doc_id", "text"), ranks, keep_ids=False)
 
 
-QUERIES = {"op5_jaccard_join": op5_jaccard_join,
+QUERIES = {"op1_token_store": op1_token_store,
+           "op5_jaccard_join": op5_jaccard_join,
            "op10_byte_bpe": op10_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}
