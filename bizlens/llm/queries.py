@@ -5,9 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from bizlens.llm import sql
+from bizlens.llm.adaptive_rules import adaptive_quality
 from bizlens.llm.byte_bpe import encoded
 from bizlens.llm.common import documents
 from bizlens.llm.jaccard_join import jaccard_components
+from bizlens.llm.kd_shards import kd_shards
 from bizlens.llm.token_store import stored_documents
 
 
@@ -16,16 +19,24 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
                             public_tokenizers.path("byte_bpe_50k.json"), end_id=2, vocab_size=50_257)
 
 
+def op3_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_quality(documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards(documents(spark, sf_dir, "doc_id", "text", "lang", "source"), shards=16)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return encoded(documents(spark, sf_dir, "doc_id", "text"), ranks, keep_ids=False)
 
 
-QUERIES = {"op1_token_store": op1_token_store,
-           "op5_jaccard_join": op5_jaccard_join,
+QUERIES = {"op1_token_store": op1_token_store, "op3_adaptive_rules": op3_adaptive_rules,
+           "op5_jaccard_join": op5_jaccard_join, "op7_kd_shards": op7_kd_shards,
            "op10_byte_bpe": op10_byte_bpe}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_adaptive_rules": sql.adaptive_rules_sql()}
