@@ -9,9 +9,12 @@ from bizlens.llm import sql
 from bizlens.llm.adaptive_rules import adaptive_quality
 from bizlens.llm.byte_bpe import encoded
 from bizlens.llm.common import documents
+from bizlens.llm.decontaminate import contaminated
 from bizlens.llm.jaccard_join import jaccard_components
 from bizlens.llm.kd_shards import kd_shards
+from bizlens.llm.line_dedup import dedup_lines
 from bizlens.llm.token_store import stored_documents
+from bizlens.sources.tables import read_table
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +22,11 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
                             public_tokenizers.path("byte_bpe_50k.json"), end_id=2, vocab_size=50_257)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(documents(spark, sf_dir, "doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 def op3_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_quality(documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
 
@@ -31,12 +39,17 @@ def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(documents(spark, sf_dir, "doc_id", "text", "lang", "source"), shards=16)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(documents(spark, sf_dir, "doc_id", "text", "source")).drop("source")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return encoded(documents(spark, sf_dir, "doc_id", "text"), ranks, keep_ids=False)
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op3_adaptive_rules": op3_adaptive_rules,
-           "op5_jaccard_join": op5_jaccard_join, "op7_kd_shards": op7_kd_shards,
-           "op10_byte_bpe": op10_byte_bpe}
-ORACLE_SQL: dict[str, str] = {"op3_adaptive_rules": sql.adaptive_rules_sql()}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_decontaminate, op3_adaptive_rules, op5_jaccard_join,
+                                   op7_kd_shards, op8_line_dedup, op10_byte_bpe)}
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": sql.decontaminate_sql(),
+                              "op3_adaptive_rules": sql.adaptive_rules_sql(),
+                              "op8_line_dedup": sql.line_dedup_sql()}

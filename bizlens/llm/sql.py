@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from bizlens.llm.adaptive_rules import LEAST, RATES, SPREAD
+from bizlens.llm.decontaminate import DENOMINATOR, NUMERATOR, REACH, WORDS
+from bizlens.llm.line_dedup import MIN_SITES
 
 
 def adaptive_rules_sql() -> str:
@@ -51,3 +53,42 @@ SELECT m.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT)
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        NOT base_failed AND coalesce(ok, TRUE) AS kept
 FROM m LEFT JOIN f USING (doc_id)"""
+
+
+
+def decontaminate_sql() -> str:
+    words = (r"list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), "
+             "lambda x: x <> '')")
+    return f"""
+WITH i AS (SELECT *, len(w) AS n FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) >= {WORDS}),
+d AS (SELECT doc_id, {words} AS w FROM documents),
+ish AS (SELECT item_id, n, a, array_to_string(w[a + 1:a + {WORDS}], ' ') AS sh
+        FROM (SELECT *, unnest(range(0, n - {WORDS - 1})) AS a FROM i)),
+dsh AS (SELECT doc_id, pos, array_to_string(w[pos + 1:pos + {WORDS}], ' ') AS sh
+        FROM (SELECT *, unnest(range(0, len(w) - {WORDS - 1})) AS pos FROM d)),
+s AS (SELECT DISTINCT doc_id, n, pos - a AS s FROM dsh JOIN (SELECT DISTINCT n, a, sh FROM ish) USING (sh)),
+p AS (SELECT DISTINCT doc_id, n, greatest(0, least(s + k, len(w) - n)) AS s
+      FROM s JOIN d USING (doc_id), range(-{REACH}, {REACH + 1}) AS r(k)),
+win AS (SELECT doc_id, n, s, w[s + 1:s + n] AS w FROM p JOIN d USING (doc_id)),
+wsh AS (SELECT doc_id, n, s, sh, count(*) AS c FROM (
+          SELECT doc_id, n, s, array_to_string(w[q + 1:q + {WORDS}], ' ') AS sh
+          FROM (SELECT *, unnest(range(0, len(w) - {WORDS - 1})) AS q FROM win)) GROUP BY ALL),
+isc AS (SELECT item_id, n, sh, count(*) AS c FROM ish GROUP BY ALL),
+x AS (SELECT doc_id, n, s, item_id, sum(least(wsh.c, isc.c)) AS i FROM wsh JOIN isc USING (n, sh) GROUP BY ALL),
+u AS (SELECT x.*, (SELECT len(w) - {WORDS - 1} FROM win WHERE win.doc_id = x.doc_id AND win.n = x.n AND win.s = x.s)
+             + n - {WORDS - 1} - i AS u FROM x)
+SELECT doc_id, item_id, CAST(s AS BIGINT) AS start_word, CAST(n AS BIGINT) AS n_words, CAST(i AS DOUBLE) / u AS similarity
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY CAST(i AS DOUBLE) / u DESC, s) AS k
+      FROM u WHERE {DENOMINATOR} * i >= {NUMERATOR} * u) WHERE k = 1"""
+
+
+def line_dedup_sql() -> str:
+    return f"""
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+                  unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents),
+b AS (SELECT trim(line, ' ') AS line, min((doc_id, pos)) AS first FROM l
+      WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1 HAVING count(DISTINCT source) >= {MIN_SITES}),
+m AS (SELECT l.doc_id, l.pos, l.line, b.line IS NOT NULL AND (l.doc_id, l.pos) <> b.first AS gone
+      FROM l LEFT JOIN b ON trim(l.line, ' ') = b.line)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text,
+       count(*) FILTER (gone) AS n_removed_lines FROM m GROUP BY doc_id"""
