@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bizlens.llm import sql
+from bizlens.llm import knn_quality, language_id, sql
 from bizlens.llm.adaptive_rules import adaptive_quality
 from bizlens.llm.byte_bpe import encoded
-from bizlens.llm.common import documents
+from bizlens.llm.common import documents, id_remainder
 from bizlens.llm.decontaminate import contaminated
 from bizlens.llm.jaccard_join import jaccard_components
 from bizlens.llm.kd_shards import kd_shards
@@ -31,6 +32,14 @@ def op3_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_quality(documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    held_out = id_remainder(F.col("doc_id"), 4) == 2
+    model = language_id.train(docs.where(~held_out))
+    p = docs.select("doc_id", held_out.alias("held_out"), language_id.predicted(docs, model).alias("p"))
+    return p.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -43,13 +52,22 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir, "doc_id", "text", "source")).drop("source")
 
 
+def op9_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    held_out = id_remainder(F.col("doc_id"), 5) == 0
+    voters = knn_quality.fit(docs, read_table(spark, sf_dir, "labels").where(~held_out))
+    p = docs.select("doc_id", held_out.alias("held_out"), knn_quality.scored(docs, voters).alias("score"))
+    return p.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return encoded(documents(spark, sf_dir, "doc_id", "text"), ranks, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_decontaminate, op3_adaptive_rules, op5_jaccard_join,
-                                   op7_kd_shards, op8_line_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_decontaminate, op3_adaptive_rules, op4_language_id,
+                                   op5_jaccard_join, op7_kd_shards, op8_line_dedup, op9_knn_quality,
+                                   op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {"op2_decontaminate": sql.decontaminate_sql(),
                               "op3_adaptive_rules": sql.adaptive_rules_sql(),
                               "op8_line_dedup": sql.line_dedup_sql()}
