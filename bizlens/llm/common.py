@@ -29,8 +29,8 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def id_remainder(doc_id: Column, m: int) -> Column:
-    """``crc32(doc_id as text) mod m``; a null id gives null."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(m)
+    """``crc32(doc_id as text) mod m``; -1 for a null id, which so is in no fold."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(m), F.lit(-1).cast("long"))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
