@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import os
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +18,28 @@ from bizlens.llm.decontaminate import contaminated
 from bizlens.llm.jaccard_join import jaccard_components
 from bizlens.llm.kd_shards import kd_shards
 from bizlens.llm.line_dedup import dedup_lines
+from bizlens.llm.maxent_lm import scored_texts
 from bizlens.llm.token_store import stored_documents
 from bizlens.sources.tables import read_table
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def importable(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let Python workers import this package from where the driver has it.
+
+    On a cluster whose executors lack that folder, ship the package with ``--py-files``.
+    """
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args):
+        env = spark.sparkContext.environment
+        if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH")]))
+        return query(spark, *args)
+    return run
+
+
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_documents(documents(spark, sf_dir, "doc_id", "text"),
                             public_tokenizers.path("byte_bpe_50k.json"), end_id=2, vocab_size=50_257)
@@ -44,6 +66,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_texts(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(documents(spark, sf_dir, "doc_id", "text", "lang", "source"), shards=16)
 
@@ -65,9 +91,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents(spark, sf_dir, "doc_id", "text"), ranks, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_decontaminate, op3_adaptive_rules, op4_language_id,
-                                   op5_jaccard_join, op7_kd_shards, op8_line_dedup, op9_knn_quality,
-                                   op10_byte_bpe)}
+QUERIES = {f.__name__: importable(f) for f in (op1_token_store, op2_decontaminate, op3_adaptive_rules,
+                                               op4_language_id, op5_jaccard_join, op6_maxent_lm, op7_kd_shards, op8_line_dedup,
+                                   op9_knn_quality, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {"op2_decontaminate": sql.decontaminate_sql(),
                               "op3_adaptive_rules": sql.adaptive_rules_sql(),
                               "op8_line_dedup": sql.line_dedup_sql()}
