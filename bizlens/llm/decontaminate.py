@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bizlens.llm.common import saved
+from bizlens.llm.common import free_name, saved
 
 WORDS, BITS, RADIUS, REACH = 5, 64, 19, 2
 NUMERATOR, DENOMINATOR = 4, 5           # similarity of 0.8
@@ -127,7 +127,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"))
     bad = contaminated(docs, benchmark, id_col, text_col).select(
-        F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad_id"))
-                     & (F.xxhash64(docs[text_col].cast("string")) == F.col("_bad_hash")), "left_anti")
+        F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("th")).alias(free_name(docs, "_bad"))).distinct()
+    return docs.join(bad, row.eqNullSafe(F.col(bad.columns[0])), "left_anti")

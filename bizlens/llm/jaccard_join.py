@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bizlens.llm.common import byte_rows, chunked, saved
+from bizlens.llm.common import byte_rows, chunked, free_name, saved
 from bizlens.llm.components import components
 from bizlens.llm.jaccard_sketch import (FULL, LINK, WORDS, Bands, block_keys, class_of, parity_bits,
                                         running_xor, shingle_sets)
@@ -222,7 +222,7 @@ class JaccardJoin:
                 .mapInArrow(_square(self.link, self.full), "a long, b long").distinct())
 
     def run(self) -> DataFrame:
-        """``doc_id, n_shingles, component_id`` of every row, and ``n_links``: verified links of its class found."""
+        """``doc_id, n_shingles, component_id`` of every row, its text's hash, and whether it is its component's first."""
         rows = self.classified()
         classes = (rows.where("c is not null").groupBy("c")
                    .agg(F.min(F.struct("id", "th")).alias("r"), F.first("n").alias("n")))
@@ -244,19 +244,30 @@ class JaccardJoin:
             more = self.verified(pairs, texts)
             links = more if links is None else links.unionByName(more)
         root = components(links)
-        per_class = (links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-                     .groupBy("node").count())
         classes = (classes.join(root, F.col("c") == root.node, "left")
-                   .select("c", F.col("r.id").alias("first"), F.coalesce("root", "c").alias("root")))
-        lowest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-        classes = (classes.join(lowest, "root").join(per_class, F.col("c") == per_class.node, "left")
-                   .select("c", "component_id", F.coalesce("count", F.lit(0)).alias("n_links")))
+                   .select("c", F.col("r").alias("r"), F.coalesce("root", "c").alias("root")))
+        lowest = classes.groupBy("root").agg(F.min("r").alias("first"))
+        classes = classes.join(lowest, "root").select("c", "first")
         return rows.join(classes, "c", "left").select(
-            F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-            F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
-            F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+            F.col("id").alias("doc_id"), F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"),
+            F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("component_id"),
+            (F.col("c").isNull() | F.struct("id", "th").eqNullSafe(F.col("first"))).alias("is_first"))
 
 
 def jaccard_components(docs: DataFrame, **options) -> DataFrame:
     """Component of every document; see ``JaccardJoin``."""
     return JaccardJoin(docs, **options).run()
+
+
+def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The first document (lowest id, then text hash) of each component, with all its columns.
+
+    Rows that share id and text are one document.
+    """
+    found = jaccard_components(docs, id_col=id_col, text_col=text_col, **options).where("is_first")
+    key = free_name(docs, "_row")
+    named = docs.withColumn(key, F.struct(F.col(id_col).cast("long").alias("id"),
+                                          F.xxhash64(F.col(text_col).cast("string")).alias("th")))
+    first = found.select(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("th")).alias("first"))
+    kept = named.join(first, named[key].eqNullSafe(first["first"]), "left_semi")
+    return kept.dropDuplicates([key]).drop(key)

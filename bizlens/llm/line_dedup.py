@@ -18,17 +18,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bizlens.llm.common import saved
+from bizlens.llm.common import free_name, saved
 
 MIN_SITES = 8
-_BLANK = " \t\x0b\x0c\r"
+BLANK = " \t\x0b\x0c\r"
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(source_col).cast("string").alias("site"),
                     F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return (d.where(F.length(F.translate("line", _BLANK, "")) > 0)
+    return (d.where(F.length(F.translate("line", BLANK, "")) > 0)
             .select("id", "th", "site", "pos", F.xxhash64(F.trim("line")).alias("h")))
 
 
@@ -45,17 +45,21 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text",
-                source_col: str = "source") -> DataFrame:
-    """The rows with their boilerplate lines removed from the text, and ``n_removed_lines`` (replaced if there)."""
+                source_col: str = "source", count_col: str = "n_removed_lines") -> DataFrame:
+    """The rows with their boilerplate lines removed from the text, and ``count_col`` (replaced if there)."""
     lines = saved(_lines(docs, id_col, text_col, source_col), "lines")
     gone = (lines.join(boilerplate(lines, min_sites), "h")
             .where(~F.struct("id", "th", "pos").eqNullSafe(F.col("first")))
-            .groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("pos").alias("_gone")))
-    names = [c for c in docs.columns if c != "n_removed_lines"]
+            .groupBy("id", "th").agg(F.collect_set("pos").alias("gone")))
+    key, drop, pieces = (free_name(docs, x) for x in ("_key", "_gone", "_pieces"))
+    gone = gone.select(F.struct("id", "th").alias("_row"), F.col("gone").alias(drop))
     text = F.col(text_col).cast("string")
-    all_ = docs.withColumns({"_key_id": F.col(id_col), "_key_th": F.xxhash64(text), "_pieces": F.split(text, "\n")})
-    joined = all_.join(gone, F.col("_key_id").eqNullSafe(F.col("_id")) & (F.col("_key_th") == F.col("_th")), "left")
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(_pieces) - 1), _gone), i -> _pieces[i]), '\\n')")
+    named = docs.withColumns({key: F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("th")),
+                              pieces: F.split(text, "\n")})
+    joined = named.join(gone, named[key].eqNullSafe(gone["_row"]), "left")
+    kept = F.expr(f"array_join(transform(array_except(sequence(0, size(`{pieces}`) - 1), `{drop}`), "
+                  f"i -> `{pieces}`[i]), '\\n')")
     return joined.select(
-        *[F.when(F.col("_gone").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in names],
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed_lines"))
+        *[F.when(F.col(drop).isNull(), text).otherwise(kept).alias(c) if c == text_col else named[c]
+          for c in docs.columns if c != count_col],
+        F.coalesce(F.size(drop), F.lit(0)).cast("long").alias(count_col))

@@ -6,6 +6,7 @@ import functools
 import os
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,7 +64,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(documents(spark, sf_dir, "doc_id", "text"))
+    return jaccard_components(documents(spark, sf_dir, "doc_id", "text")).drop("text_hash", "is_first")
 
 
 def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,9 +92,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents(spark, sf_dir, "doc_id", "text"), ranks, keep_ids=False)
 
 
-QUERIES = {f.__name__: importable(f) for f in (op1_token_store, op2_decontaminate, op3_adaptive_rules,
-                                               op4_language_id, op5_jaccard_join, op6_maxent_lm, op7_kd_shards, op8_line_dedup,
-                                   op9_knn_quality, op10_byte_bpe)}
+QUERIES = {f.__name__: importable(f) for f in (
+    op1_token_store, op2_decontaminate, op3_adaptive_rules, op4_language_id, op5_jaccard_join, op6_maxent_lm,
+    op7_kd_shards, op8_line_dedup, op9_knn_quality, op10_byte_bpe)}
+QUERIES["pipeline"] = importable(corpus_pipeline.run)
 ORACLE_SQL: dict[str, str] = {"op2_decontaminate": sql.decontaminate_sql(),
                               "op3_adaptive_rules": sql.adaptive_rules_sql(),
                               "op8_line_dedup": sql.line_dedup_sql()}
