@@ -100,7 +100,9 @@ def thresholds(sketch: DataFrame, spread: int, least: int) -> DataFrame:
                      F.expr(f"max(if(rate = '{name}', {high}, null))").alias(f"{level}_{name}_high")]
         fences[level] = q.groupBy(*by).agg(F.max("total").alias(f"{level}_n"), *wide)
     lang = fences["l"].withColumnRenamed("_lang", "_l")
-    t = fences["g"].join(lang, F.col("_lang").eqNullSafe(F.col("_l")), "left").join(fences["a"], how="left")
+    t = fences["g"].join(lang, F.col("_lang").eqNullSafe(F.col("_l")), "left")
+    corpus = fences["a"].first()            # one row of a few numbers
+    t = t.withColumns({c: F.lit(corpus[c] if corpus else None).cast("long") for c in fences["a"].columns})
     pick = []
     for name in RATES:
         for side in ("low", "high"):
