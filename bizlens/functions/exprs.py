@@ -18,8 +18,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ColumnOrName = Column | str
 
@@ -57,14 +58,14 @@ def ratio_or_null(num: ColumnOrName, den: ColumnOrName) -> Column:
 
 
 def clip(c: ColumnOrName, lo: float | None = None, hi: float | None = None) -> Column:
-    """Clip to [lo, hi]; null in, null out."""
-    c = col(c)
+    """Clip to [lo, hi]; null in, null out, and NaN stays NaN."""
+    c = col(c).cast("double")
     out = c
     if lo is not None:
         out = F.greatest(out, F.lit(float(lo)))
     if hi is not None:
         out = F.least(out, F.lit(float(hi)))
-    return F.when(c.isNull(), null_double()).otherwise(out)
+    return F.when(c.isNull() | F.isnan(c), c).otherwise(out)
 
 
 def clip01(c: ColumnOrName) -> Column:
@@ -72,9 +73,10 @@ def clip01(c: ColumnOrName) -> Column:
 
 
 def row_min(a: ColumnOrName, b: ColumnOrName) -> Column:
-    """Row-wise minimum of two columns; null if either is null."""
+    """Row-wise minimum of two columns; null if either is null, NaN if either is NaN."""
     a, b = col(a), col(b)
-    return F.when(a.isNull() | b.isNull(), F.lit(None)).otherwise(F.least(a, b))
+    return (F.when(a.isNull() | b.isNull(), F.lit(None))
+            .when(F.isnan(a), a).when(F.isnan(b), b).otherwise(F.least(a, b)))
 
 
 def cut(c: ColumnOrName, edges: Sequence[float], labels: Sequence[str]) -> Column:
@@ -136,6 +138,18 @@ def nan_to_null(c: ColumnOrName) -> Column:
     return F.nanvl(col(c), null_double())
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """NaN as null in every double and float column: the rules treat the two alike.
+
+    Applied once, where rows enter (tables, CSV, requests) and on the input of
+    each feature, rule and label projection, so that a comparison with NaN
+    (true in Spark) is the false that the rules expect.
+    """
+    cols = {f.name: nan_to_null(F.col(f"`{f.name}`")) for f in df.schema.fields
+            if isinstance(f.dataType, T.DoubleType | T.FloatType)}
+    return df.withColumns(cols) if cols else df
+
+
 def clean(c: ColumnOrName) -> Column:
     """null, NaN, +inf, -inf -> 0.0 (P10)."""
     c = col(c).cast("double")

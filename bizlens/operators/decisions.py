@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bizlens import schema as S
-from bizlens.functions.exprs import bround, col
+from bizlens.functions.exprs import bround, col, nan_to_null
 
 # Decision limits and names.
 GROWTH_ACTIONS = [(0.25, "fast_track_funding"), (0.10, "growth_support"),
@@ -27,8 +27,8 @@ REASON_OK = "ALL_OK"
 
 
 def growth_action(rate) -> Column:
-    """Action for a predicted six-month growth rate (fraction)."""
-    r = col(rate)
+    """Action for a predicted six-month growth rate (fraction); null and NaN need intervention."""
+    r = nan_to_null(col(rate).cast("double"))
     out = None
     for limit, name in GROWTH_ACTIONS:
         out = F.when(r >= limit, F.lit(name)) if out is None else out.when(r >= limit, F.lit(name))
@@ -37,7 +37,8 @@ def growth_action(rate) -> Column:
 
 def compliance(p_default, eligible, health) -> tuple[Column, Column]:
     """(risk level, reasons array)."""
-    p, e, h = col(p_default), col(eligible), col(health)
+    p, h = nan_to_null(col(p_default).cast("double")), nan_to_null(col(health).cast("double"))
+    e = col(eligible)
     is_eligible = F.coalesce(e.cast("boolean"), F.lit(False))
     found = F.filter(F.array(F.when(p >= HIGH_DEFAULT_RISK_P, F.lit(REASON_DEFAULT)),
                              F.when(h < POOR_HEALTH_SCORE, F.lit(REASON_HEALTH))),

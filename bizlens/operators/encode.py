@@ -16,14 +16,13 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bizlens import schema as S
 from bizlens.functions.exprs import clean, col
-from bizlens.operators.profiling import kth_values
 
-MAX_VOCAB = 10_000
+SPLIT_BINS = 1 << 16
 
 
 @dataclass
@@ -77,21 +76,16 @@ class EncoderState:
 # ------------------------------------------------------------------ fit
 
 
-def fit_vocabulary(df: DataFrame, cols: Sequence[str], max_vocab: int = MAX_VOCAB) -> dict:
+def fit_vocabulary(df: DataFrame, cols: Sequence[str]) -> dict:
     """Sorted distinct non-null values per column (A13), codepoint order.
 
-    A HyperLogLog count first proves each vocabulary is small before any
-    set is collected.
+    The values become part of the encoder; equal values are combined before
+    the shuffle, so what is collected is the vocabulary itself.
     """
-    if not cols:
-        return {}
-    approx = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    wide = [c for c in cols if approx[c] > max_vocab]
-    if wide:
-        raise ValueError(f"vocabulary too wide to one-hot encode: {wide}")
-    row = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c)
-                   for c in cols]).first()
-    return {c: list(row[c]) for c in cols}
+    out = {c: [] for c in cols}
+    for r in vocabulary(df, cols).orderBy("column_name", "position").collect() if cols else []:
+        out[r["column_name"]].append(r["value"])
+    return out
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str]) -> tuple[dict, dict]:
@@ -182,7 +176,8 @@ def encoded_sql(state: EncoderState, clean_values: bool = True) -> list[str]:
     :func:`scaled_expr` and the binary cast; as text each feature costs one
     parse instead of a dozen driver-to-JVM calls, which matters when several
     bundles of ~80 features are built per query. ``clean`` is
-    ``IF(x * 0 = 0, x, 0)``: false for null, NaN and +/-inf.
+    ``IF(x * 0 = 0, x, 0)``: false for null, NaN and +/-inf. It is applied to
+    the column itself, before scaling; ordinals and indicators are never null.
     """
     out: list[str] = []
     for c in state.spec["ordinal"]:
@@ -195,11 +190,13 @@ def encoded_sql(state: EncoderState, clean_values: bool = True) -> list[str]:
         for v in state.vocab[c][1:]:
             out.append(f"coalesce(CAST(CAST(`{c}` AS STRING) = {_str(v)} AS DOUBLE), 0.0D)")
     for c in state.spec["numeric"]:
-        out.append(f"((CAST(`{c}` AS DOUBLE) - {_dbl(state.mean[c])}) / {_dbl(state.scale[c])})")
+        x = f"CAST(`{c}` AS DOUBLE)"
+        if clean_values:            # a missing number counts as 0 before it is scaled
+            x = f"IF({x} * 0.0D = 0.0D, {x}, 0.0D)"
+        out.append(f"(({x} - {_dbl(state.mean[c])}) / {_dbl(state.scale[c])})")
     for c in state.spec["binary"]:
-        out.append(f"CAST(`{c}` AS DOUBLE)")
-    if clean_values:
-        out = [f"IF(({e}) * 0.0D = 0.0D, ({e}), 0.0D)" for e in out]
+        x = f"CAST(`{c}` AS DOUBLE)"
+        out.append(f"IF({x} * 0.0D = 0.0D, {x}, 0.0D)" if clean_values else x)
     return out
 
 
@@ -236,42 +233,34 @@ def split(df: DataFrame, test_frac: float, key: str = "sme_id", seed: int = 42,
 
     Plain: the hash is below ``test_frac``. Stratified: per label, exactly
     ``floor(test_frac * n_label + 0.5)`` rows with the smallest hash go to
-    test. The per-label threshold is found with the distributed k-th value
-    search and applied as a literal ``CASE``; no window puts a label in one task.
+    test. The label's threshold comes from counts per hash bin: only the rows
+    of the one bin that holds it are ranked, so no window holds a label's rows
+    and any number of labels will do. Labels and thresholds are joined as a
+    table. Nothing runs before the result does.
     """
     u = split_hash(key, seed)
     if stratify is None:
         return df.withColumn(col_name, u < F.lit(float(test_frac)))
-    counts = _label_counts(df, stratify)
-    labels = sorted(counts)
-    per_label = df.select(*[F.when(F.col(stratify) == lab, u).alias(f"u{i}")
-                            for i, lab in enumerate(labels)])
-    ks = {i: int(math.floor(test_frac * counts[lab] + 0.5)) for i, lab in enumerate(labels)}
-    want = {i: [k - 1] for i, k in ks.items() if k > 0}
-    stats = {r["cid"]: (r["n"], r["mn"], r["mx"]) for r in _hash_stats(per_label, labels)}
-    kth = kth_values(per_label, [f"u{i}" for i in range(len(labels))], want, stats) if want else {}
-    thr = None
-    for i, lab in enumerate(labels):
-        t = kth.get((i, ks[i] - 1), -1.0)
-        cond = F.col(stratify) == lab
-        thr = F.when(cond, F.lit(t)) if thr is None else thr.when(cond, F.lit(t))
-    return df.withColumn(col_name, F.coalesce(u <= thr, F.lit(False)))
-
-
-def _label_counts(df: DataFrame, label: str, max_labels: int = MAX_VOCAB) -> dict:
-    """Rows per label value; the collect is capped, a wider column is an error."""
-    rows = df.where(F.col(label).isNotNull()).groupBy(label).count().limit(max_labels + 1).collect()
-    if len(rows) > max_labels:
-        raise ValueError(f"{label} has more than {max_labels} distinct values: not a class label")
-    return {r[0]: r[1] for r in rows}
-
-
-def _hash_stats(df: DataFrame, labels: Sequence[str]):
-    aggs = [e for i in range(len(labels)) for e in (
-        F.count(f"u{i}").alias(f"n{i}"), F.min(f"u{i}").alias(f"mn{i}"), F.max(f"u{i}").alias(f"mx{i}"))]
-    row = df.agg(*aggs).first()
-    return [{"cid": i, "n": row[f"n{i}"], "mn": row[f"mn{i}"], "mx": row[f"mx{i}"]}
-            for i in range(len(labels)) if row[f"n{i}"]]
+    rows = df.where(F.col(stratify).isNotNull()).select(F.col(stratify).alias("_label"), u.alias("_u"))
+    rows = rows.withColumn("_bin", F.floor(F.col("_u") * SPLIT_BINS).cast("int"))
+    by_label = Window.partitionBy("_label")
+    bins = (rows.groupBy("_label", "_bin").agg(F.count("*").alias("_n"))
+            .withColumn("_upto", F.sum("_n").over(by_label.orderBy("_bin")))
+            .withColumn("_want", F.floor(F.lit(test_frac) * F.sum("_n").over(by_label) + 0.5)))
+    edge = (bins.where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
+            .select("_label", "_bin", (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_rank")))
+    ranked = rows.join(edge, ["_label", "_bin"]).withColumn(
+        "_at", F.row_number().over(Window.partitionBy("_label").orderBy("_u")))
+    limit = (ranked.where(F.col("_at") == F.col("_rank"))
+             .select(F.col("_label").alias("_limit_label"), F.col("_u").alias("_limit")))
+    out = df.join(limit, F.col(stratify) == F.col("_limit_label"), "left")
+    return out.select(*[df[c] for c in df.columns],
+                      F.coalesce(u <= F.col("_limit"), F.lit(False)).alias(col_name))
+
+
+def _label_counts(df: DataFrame, label: str) -> dict:
+    """Rows per class: a class label's values, which a model holds anyway."""
+    return {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
 
 
 def class_weights(df: DataFrame, label: str) -> dict:
@@ -317,16 +306,14 @@ def scaler_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def vocabulary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A13 as a table: column_name, position, value (sorted, nulls left out)."""
-    agg = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(f"v{i}")
-                   for i, c in enumerate(cols)])
-    parts = ", ".join(f"'{c}', v{i}" for i, c in enumerate(cols))
-    long = agg.select(F.expr(f"stack({len(cols)}, {parts}) AS (column_name, vals)"))
-    return long.select("column_name", F.posexplode("vals").alias("position", "value"))
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols])
+    values = df.select(F.inline(cells)).where("value IS NOT NULL").distinct()
+    place = F.row_number().over(Window.partitionBy("column_name").orderBy("value")) - 1
+    return values.select("column_name", place.alias("position"), "value")
 
 
 def class_weight_table(df: DataFrame, label: str) -> DataFrame:
     """M8 as a table: label, count, weight = n / (k * count)."""
-    from pyspark.sql import Window
     counts = df.where(F.col(label).isNotNull()).groupBy(label).count()
     w = Window.partitionBy()  # over the per-class rows only: k rows
     return counts.withColumn(
@@ -335,6 +322,5 @@ def class_weight_table(df: DataFrame, label: str) -> DataFrame:
 
 def label_index_table(df: DataFrame, label: str) -> DataFrame:
     """M13 as a table: label, index in alphabetical order."""
-    from pyspark.sql import Window
     labels = df.where(F.col(label).isNotNull()).select(label).distinct()
     return labels.withColumn("index", F.row_number().over(Window.orderBy(label)) - 1)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from bizlens import schema as S
 from bizlens.functions.exprs import (bround, clip, clip01, cut, differs, flag, noise,
-                                     ratio, ratio_or_null, threshold_label)
+                                     ratio, ratio_or_null, threshold_label, without_nan)
 
 INF = math.inf
 
@@ -54,7 +54,7 @@ def liquid() -> F.Column:
 
 def funding_features(df: DataFrame, drop_nulls: bool = True) -> DataFrame:
     """Funding ratios and bands; rows with any null are dropped."""
-    out = df.withColumns({
+    out = without_nan(df).withColumns({
         "log_revenue": F.log1p(c("revenue")),
         "profit_per_employee": ratio("revenue", "employee_count"),
         "late_payment_rate": ratio("late_payments", "age_of_business"),
@@ -84,7 +84,7 @@ def funding_features(df: DataFrame, drop_nulls: bool = True) -> DataFrame:
 
 def health_ratios(df: DataFrame) -> DataFrame:
     """HF1-HF10."""
-    return df.withColumns({
+    return without_nan(df).withColumns({
         "liquidity_ratio": ratio(liquid(), "revenue"),
     }).withColumns({
         "cash_months": c("liquidity_ratio") * 12,
@@ -101,7 +101,7 @@ def health_ratios(df: DataFrame) -> DataFrame:
 
 def risk_flags(df: DataFrame) -> DataFrame:
     """HF11-HF15 (needs ``cash_months``)."""
-    return df.withColumns({
+    return without_nan(df).withColumns({
         "low_cash": flag(c("cash_months") < 2),
         "high_debt": flag(c("debt_ratio") > 0.6),
         "low_profit": flag(c("profit_margin") < 0.05),
@@ -145,7 +145,7 @@ def health_features(df: DataFrame, noise_on: bool = False, key: str = "sme_id")
 def growth_features(df: DataFrame, noise_on: bool = False, key: str = "sme_id") -> DataFrame:
     """GF2-GF28 on a table that carries the ``*_6m_ago`` history columns."""
     cust_delta = c("total_customers") - c("customers_6m_ago")
-    out = df.withColumns({
+    out = without_nan(df).withColumns({
         "revenue_growth_6m": ratio(c("revenue") - c("revenue_6m_ago"), "revenue_6m_ago"),
         "customer_growth_6m": ratio(cust_delta, "customers_6m_ago"),
         "customer_retention_rate": ratio("repeat_customers", "active_customers"),
@@ -202,7 +202,7 @@ def growth_targets(df: DataFrame, noise_on: bool = False, key: str = "sme_id") -
                     .when(c("profit_margin") < 0, F.lit(-0.10)).otherwise(F.lit(0.0)))
     raw = clip(c("revenue_growth_6m"), -0.30, 0.50) * 0.40 + health_boost \
         + stage_factor(noise_on, key) + market
-    out = df.withColumn(
+    out = without_nan(df).withColumn(
         "predicted_6m_growth_rate",
         bround(clip(raw * 0.70 + F.lit(MEAN_GROWTH * 0.30), -0.30, 0.40), 3))
     out = out.withColumn("predicted_6m_revenue",

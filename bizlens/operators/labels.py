@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bizlens import schema as S
-from bizlens.functions.exprs import bround, clip, clip01_repaired, cut, flag, noise
+from bizlens.functions.exprs import bround, clip, clip01_repaired, cut, flag, noise, without_nan
 
 # Target weights, limits and noise spreads.
 ELIGIBILITY_LIMIT = 0.55
@@ -56,7 +56,7 @@ def health_score(noise_on: bool = False, key: str = "sme_id") -> Column:
 def add_targets(df: DataFrame, noise_on: bool = False, key: str = "sme_id",
                 keep_scores: bool = False) -> DataFrame:
     """Add ``eligible_for_funding`` (T1), ``default_risk`` (T2), ``business_health_score``."""
-    out = df.withColumns({
+    out = without_nan(df).withColumns({
         "_eligibility_score": eligibility_score(noise_on, key),
         "default_risk_score": default_risk_score(noise_on, key),
         "business_health_score": health_score(noise_on, key),

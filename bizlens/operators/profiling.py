@@ -2,8 +2,8 @@
 
 Every operator is one or a few aggregates whose output is bounded by the
 number of groups or columns, never by the number of rows. Quantiles are
-exact and distributed: a histogram search narrows each requested rank to a
-window of at most ``small`` values before any value leaves the executors.
+exact and distributed: rounds of approximate splitters and exact counts narrow
+each requested rank to one value; only splitters and counts leave the executors.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,99 +114,85 @@ def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             .where(F.col("v").isNotNull() & ~F.isnan("v")))
 
 
-def kth_values(df: DataFrame, cols: Sequence[str], ranks: dict[int, list[int]],
-               stats: dict[int, tuple[int, float, float]], buckets: int = 4096,
-               small: int = 50_000, max_passes: int = 40) -> dict[tuple[int, int], float]:
-    """Exact k-th smallest values (0-based ``ranks`` per column id).
+def _open_windows(long: DataFrame, windows: list[tuple]) -> DataFrame:
+    """The long table's values inside each open window ``(wid, cid, lo, hi)``; a null bound is open."""
+    w = F.broadcast(long.sparkSession.createDataFrame(windows, "wid INT, cid INT, lo DOUBLE, hi DOUBLE"))
+    return long.join(w, "cid").where((F.col("lo").isNull() | (F.col("v") > F.col("lo")))
+                                     & (F.col("hi").isNull() | (F.col("v") < F.col("hi"))))
 
-    Each pass joins the long table with the open windows (one small row per
-    requested rank, broadcast) and builds a histogram per window: the output
-    has at most ``windows * buckets`` rows. A window narrows to the bucket
-    holding its rank; once it holds ``small`` values or fewer, those values
-    are sorted in one aggregate and the rank is read off.
+
+def kth_values(long: DataFrame, ranks: dict[int, list[int]], counts: dict[int, int],
+               cuts: int = 100) -> dict[tuple[int, int], float]:
+    """Exact k-th smallest values (0-based ``ranks`` per column id) of the long table ``(cid, v)``.
+
+    A rank lies in an open window of values. Each round takes approximate
+    quantiles of the window, which are values of the column, counts exactly
+    what lies below and at the two around the rank, and so either finds it or
+    shrinks the window by rank to about ``3 / cuts``. Only comparisons are made,
+    so infinite values and any spread are values like others, and as a round
+    takes at least one value out of the window, it always ends.
     """
-    spark: SparkSession = df.sparkSession
-    long = _long(df, cols)
-    # window: (cid, k) -> [lo, hi, offset, count]
-    win = {(cid, k): [stats[cid][1], stats[cid][2], 0, stats[cid][0]]
-           for cid, ks in ranks.items() for k in ks}
+    probs = [i / cuts for i in range(1, cuts)]
+    win = {(cid, k): [None, None, k, counts[cid]] for cid, ks in ranks.items() for k in ks}
     out: dict[tuple[int, int], float] = {}
-    schema = "wid INT, cid INT, lo DOUBLE, hi DOUBLE"
-    for _ in range(max_passes):
-        for key, (lo, hi, _, _) in list(win.items()):
-            if lo == hi:
-                out[key] = lo
-                del win[key]
-        if not win:
-            break
-        # identical windows share one histogram
-        uniq = sorted({(key[0], w[0], w[1]) for key, w in win.items()})
+    while win:
+        uniq = sorted({(key[0], w[0], w[1]) for key, w in win.items()}, key=str)
         wid = {u: i for i, u in enumerate(uniq)}
-        wdf = F.broadcast(spark.createDataFrame([(i, c, lo, hi) for (c, lo, hi), i in wid.items()],
-                                                schema))
-        inside = long.join(wdf, (long.cid == wdf.cid) & (long.v >= wdf.lo) & (long.v <= wdf.hi)) \
-                     .select("wid", "v", "lo", "hi")
-        small_w = {wid[(k[0], w[0], w[1])] for k, w in win.items() if w[3] <= small}
-        if small_w:
-            rows = (inside.where(F.col("wid").isin(*small_w)).groupBy("wid")
-                    .agg(F.sort_array(F.collect_list("v")).alias("vs")).collect())
-            vals = {r["wid"]: r["vs"] for r in rows}
-            for key, w in list(win.items()):
-                i = wid[(key[0], w[0], w[1])]
-                if i in small_w:
-                    out[key] = vals[i][key[1] - w[2]]
-                    del win[key]
-        big_w = {wid[(k[0], w[0], w[1])] for k, w in win.items()}
-        if not big_w:
-            continue
-        b = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets),
-                    F.lit(buckets - 1)).cast("int")
-        hist = (inside.where(F.col("wid").isin(*big_w)).withColumn("b", b)
-                .groupBy("wid", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"),
-                                         F.max("v").alias("mx")).collect())
-        by_w: dict[int, list] = {}
-        for r in hist:
-            by_w.setdefault(r["wid"], []).append((r["b"], r["n"], r["mn"], r["mx"]))
-        for key, w in win.items():
-            target = key[1] - w[2]
-            seen = 0
-            for _, n, mn, mx in sorted(by_w[wid[(key[0], w[0], w[1])]]):
-                if seen + n > target:
-                    w[0], w[1], w[2], w[3] = mn, mx, w[2] + seen, n
-                    break
-                seen += n
-    if win:
-        raise RuntimeError("quantile search did not converge")
+        inside = _open_windows(long, [(i, *u) for u, i in wid.items()])
+        splits = {r["wid"]: r["q"] for r in inside.groupBy("wid").agg(
+            F.percentile_approx("v", probs, 100 * cuts).alias("q")).collect()}
+        pairs = {}
+        for key, (lo, hi, k, n) in win.items():
+            q = splits[wid[(key[0], lo, hi)]]
+            at = int(k / n * cuts)
+            pairs[key] = (q[max(0, min(at - 2, len(q) - 1))], q[min(at + 1, len(q) - 1)])
+        tried = sorted({(wid[(key[0], w[0], w[1])], *pairs[key]) for key, w in win.items()})
+        t = F.broadcast(long.sparkSession.createDataFrame(tried, "wid INT, a DOUBLE, b DOUBLE"))
+        below = {(r["wid"], r["a"], r["b"]): r for r in inside.join(t, "wid").groupBy("wid", "a", "b").agg(
+            F.count_if(F.col("v") < F.col("a")).alias("lt_a"), F.count_if(F.col("v") <= F.col("a")).alias("le_a"),
+            F.count_if(F.col("v") < F.col("b")).alias("lt_b"), F.count_if(F.col("v") <= F.col("b")).alias("le_b")).collect()}
+        for key, w in list(win.items()):
+            a, b = pairs[key]
+            r = below[(wid[(key[0], w[0], w[1])], a, b)]
+            k, n = w[2], w[3]
+            if k < r["lt_a"]:
+                win[key] = [w[0], a, k, r["lt_a"]]
+            elif k < r["le_a"]:
+                out[key] = a
+            elif k < r["lt_b"]:
+                win[key] = [a, b, k - r["le_a"], r["lt_b"] - r["le_a"]]
+            elif k < r["le_b"]:
+                out[key] = b
+            else:
+                win[key] = [b, w[1], k - r["le_b"], n - r["le_b"]]
+            if key in out:
+                del win[key]
     return out
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     **kw) -> dict[str, dict[float, float | None]]:
     """Quantiles with linear interpolation between order statistics."""
-    long = _long(df, cols)
-    st = {r["cid"]: (r["n"], r["mn"], r["mx"]) for r in
-          long.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"),
-                                  F.max("v").alias("mx")).collect()}
-    ranks: dict[int, list[int]] = {}
-    for cid in st:
-        n = st[cid][0]
-        ks = set()
-        for p in probs:
-            pos = p * (n - 1)
-            ks.update({math.floor(pos), math.ceil(pos)})
-        ranks[cid] = sorted(ks)
-    kth = kth_values(df, cols, ranks, st, **kw) if ranks else {}
+    from pyspark import StorageLevel
+    long = _long(df, cols).persist(StorageLevel.MEMORY_AND_DISK)      # read twice a round
+    try:
+        counts = {r["cid"]: r["count"] for r in long.groupBy("cid").count().collect()}
+        ranks = {cid: sorted({f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)})
+                 for cid, n in counts.items()}
+        kth = kth_values(long, ranks, counts, **kw) if ranks else {}
+    finally:
+        long.unpersist()
     res: dict[str, dict[float, float | None]] = {}
     for cid, c in enumerate(cols):
         res[c] = {}
         for p in probs:
-            if cid not in st:
+            if cid not in counts:
                 res[c][p] = None
                 continue
-            pos = p * (st[cid][0] - 1)
+            pos = p * (counts[cid] - 1)
             lo, hi = kth[(cid, math.floor(pos))], kth[(cid, math.ceil(pos))]
             frac = pos - math.floor(pos)
-            res[c][p] = lo + (hi - lo) * frac
+            res[c][p] = lo if frac == 0 or lo == hi else lo + (hi - lo) * frac
     return res
 
 
@@ -238,11 +224,11 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 6)
     finally:
         part.unpersist()
 
-    def r9(v):
-        return None if v is None else float(round(v, 9))
+    def cut_off(v):
+        return None if v is None else float(round(v, digits))
 
     rows = [(i, c, row[f"n{i}"], row[f"m{i}"], row[f"s{i}"], row[f"lo{i}"],
-             r9(q[c][0.25]), r9(q[c][0.5]), r9(q[c][0.75]), row[f"hi{i}"]) for i, c in enumerate(cols)]
+             cut_off(q[c][0.25]), cut_off(q[c][0.5]), cut_off(q[c][0.75]), row[f"hi{i}"]) for i, c in enumerate(cols)]
     return df.sparkSession.createDataFrame(
         rows, "position INT, column_name STRING, count BIGINT, mean DOUBLE, std DOUBLE, min DOUBLE, "
               "q25 DOUBLE, q50 DOUBLE, q75 DOUBLE, max DOUBLE")

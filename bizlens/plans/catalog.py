@@ -50,6 +50,14 @@ def q_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_profile(spark, sf_dir)
 
 
+OTHER_PERIOD = {"start": "1997-08-31", "months": 18}
+
+
+@register("s6_profile_other_period", O.profile_sql(**OTHER_PERIOD))
+def q_profile_other_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 with other dates: both periods bounded, revenue per year of the period."""
+    return _profile.build_profile(spark, sf_dir, **OTHER_PERIOD)
+
 
 # ------------------------------------------------------------------ features
 
@@ -238,7 +246,7 @@ def q_value_counts_risk(spark, sf_dir):
     return PR.value_counts(sme_table(spark, sf_dir), "default_risk")
 
 
-A2_COLS = ["sector", "business_stage", "location"]
+A2_COLS = SME_COLS
 
 
 @register("a2_row_value_counts", with_sme(
@@ -267,16 +275,14 @@ def q_growth_rate_stats(spark, sf_dir):
     return PR.column_stats(growth_table(spark, sf_dir), "predicted_6m_growth_rate")
 
 
-A5_COLS = ["revenue", "profit_margin", "debt_ratio", "employee_count", "age_of_business",
-           "bank_balance", "paid_invoices", "late_payments", "total_customers",
-           "business_health_score"]
+A5_COLS = [f.name for f in S.SME_TABLE_SCHEMA.fields if isinstance(f.dataType, PR.NUMERIC)]
 
 
 @register("a5_describe", with_sme(" UNION ALL ".join(
     f"SELECT {i} AS position, '{c}' AS column_name, COUNT({c}) AS count, "
     f"round_even(avg({c}), 6) AS mean, round_even(stddev_samp({c}), 6) AS std, "
-    f"CAST(min({c}) AS DOUBLE) AS min, round_even(quantile_cont({c}, 0.25), 9) AS q25, "
-    f"round_even(quantile_cont({c}, 0.5), 9) AS q50, round_even(quantile_cont({c}, 0.75), 9) AS q75, "
+    f"CAST(min({c}) AS DOUBLE) AS min, round_even(quantile_cont({c}, 0.25), 6) AS q25, "
+    f"round_even(quantile_cont({c}, 0.5), 6) AS q50, round_even(quantile_cont({c}, 0.75), 6) AS q75, "
     f"CAST(max({c}) AS DOUBLE) AS max FROM sme" for i, c in enumerate(A5_COLS))))
 def q_describe(spark, sf_dir):
     return PR.describe(sme_table(spark, sf_dir), A5_COLS)
@@ -324,8 +330,7 @@ def q_null_cells(spark, sf_dir):
     return QL.null_cell_count(FT.funding_features(build_profile(spark, sf_dir), drop_nulls=False))
 
 
-A9_COLS = ["sector", "business_stage", "channels_used", "owner_gender", "education_level",
-           "employment_status", "location", "target_segment"]
+A9_COLS = SME_COLS
 
 
 @register("a9_duplicate_rows", with_sme(
@@ -690,20 +695,19 @@ def q_fill_zero(spark, sf_dir):
     return rounded(QL.fill_all_zero(ff), ["log_revenue"])
 
 
-P10_COLS = ["revenue_growth_6m", "customer_growth_6m", "cash_runway_months", "marketing_roi",
-            "marketing_intensity", "funding_growth_boost", "composite_growth_score"]
+P10_COLS = S.GROWTH_FEATURES["numeric"]
 
 
-@register("p10_p11_nonfinite_repair", with_sme(
+@register("p10_p11_nonfinite_repair", with_sme(O.rounded(
     "SELECT sme_id, " + ", ".join(f"{O.clean(c)} AS {c}" for c in P10_COLS)
     + ", CASE WHEN predicted_6m_growth_rate IS NULL OR isnan(predicted_6m_growth_rate) THEN 0.5 "
       "WHEN predicted_6m_growth_rate = CAST('inf' AS DOUBLE) THEN 1.0 "
       "WHEN predicted_6m_growth_rate = CAST('-inf' AS DOUBLE) THEN 0.0 "
-      "ELSE predicted_6m_growth_rate END AS predicted_6m_growth_rate FROM growth", [GROWTH_CTE]))
+      "ELSE predicted_6m_growth_rate END AS predicted_6m_growth_rate FROM growth", TRANSCENDENTAL_GF), [GROWTH_CTE]))
 def q_nonfinite(spark, sf_dir):
     g = growth_table(spark, sf_dir)
     out = QL.repair_columns(QL.clean_columns(g, P10_COLS), ["predicted_6m_growth_rate"])
-    return out.select("sme_id", *P10_COLS, "predicted_6m_growth_rate")
+    return rounded(out.select("sme_id", *P10_COLS, "predicted_6m_growth_rate"), TRANSCENDENTAL_GF)
 
 
 @register("l2_first_row_sample", with_sme(

@@ -62,7 +62,7 @@ def score_compliance(bundle: Bundle, sme: DataFrame, risk_class: str = RISK_CLAS
     """Compliance decisions (D2) from the funding models."""
     p = bundle.add_predictions(sme).withColumn(
         "_p_default", bundle.probability_of("default_risk", risk_class))
-    return D.compliance_decisions(p.withColumnRenamed("pred_eligibility", "_elig"), "_p_default",
+    return D.compliance_decisions(p.withColumn("_elig", F.col("pred_eligibility") == 1), "_p_default",
                                   eligible="_elig", health="pred_business_health") \
             .withColumnRenamed("_elig", "eligible_for_funding")
 

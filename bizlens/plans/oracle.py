@@ -107,7 +107,7 @@ def pick(key: str, salt: str, values: Sequence[str]) -> str:
 
 
 def profile_sql(start: str = P.PERIOD_START, months: int = P.PERIOD_MONTHS) -> str:
-    cur_start, prev_start = P._period_bounds(start, months)
+    cur_start, prev_start, cur_end = P._period_bounds(start, months)
     k = "custkey"
 
     def hh(s):
@@ -117,7 +117,7 @@ def profile_sql(start: str = P.PERIOD_START, months: int = P.PERIOD_MONTHS) -> s
         return f"CAST({off} + floor({hh(s)} * {n}) AS BIGINT)"
 
     def money(c):
-        return f"COALESCE(CAST({c} AS DOUBLE), 0.0) / {lit(P.REVENUE_DIVISOR)}"
+        return f"COALESCE(CAST({c} AS DOUBLE), 0.0) / {lit(months / P.MONTHS_PER_YEAR)}"
 
     def count(c):
         return f"CAST(COALESCE({c}, 0) AS BIGINT)"
@@ -192,7 +192,8 @@ def profile_sql(start: str = P.PERIOD_START, months: int = P.PERIOD_MONTHS) -> s
     return f"""
 WITH o AS (
   SELECT o_orderkey AS orderkey, o_custkey AS custkey,
-         CASE WHEN o_orderdate >= TIMESTAMP '{cur_start:%Y-%m-%d}' THEN 1
+         CASE WHEN o_orderdate >= TIMESTAMP '{cur_end:%Y-%m-%d}' THEN 0
+              WHEN o_orderdate >= TIMESTAMP '{cur_start:%Y-%m-%d}' THEN 1
               WHEN o_orderdate >= TIMESTAMP '{prev_start:%Y-%m-%d}' THEN 2 ELSE 0 END AS period
   FROM orders),
 li AS (
@@ -541,7 +542,7 @@ def encode_sql(src: str, spec: dict, vocab: dict, ordinal_order: dict, digits: i
         m = f"(SELECT avg(CAST({c} AS DOUBLE)) FROM {src})"
         s = (f"(SELECT CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) = 0 THEN 1.0 "
              f"ELSE stddev_pop(CAST({c} AS DOUBLE)) END FROM {src})")
-        cols.append(f"round_even({clean(f'(CAST({c} AS DOUBLE) - {m}) / {s}')}, {digits}) AS num__{c}")
+        cols.append(f"round_even(({clean(c)} - {m}) / {s}, {digits}) AS num__{c}")
     for c in spec["binary"]:
         cols.append(f"round_even({clean(f'CAST({c} AS DOUBLE)')}, {digits}) AS bin__{c}")
     return f"SELECT {', '.join(cols)} FROM {src}"

@@ -26,13 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bizlens import schema as S
-from bizlens.functions.exprs import hash01_sql, pick_sql
+from bizlens.functions.exprs import hash01_sql, pick_sql, without_nan
 from bizlens.sources.tables import read_table
 
 # Period layout and scale of the profile.
 PERIOD_START = "1998-05-01"   # first day of the current period
 PERIOD_MONTHS = 39            # length of the current and of the previous period
-REVENUE_DIVISOR = 3.25        # sum of net sales -> revenue per period
+MONTHS_PER_YEAR = 12          # revenue is net sales per year of the period
 CUSTOMERS_PER_PART = 25       # distinct parts bought -> customer base
 NET_SCALE = 10000             # money is summed in 1e-4 units
 
@@ -50,22 +50,28 @@ FLAG_RATES = {
 }
 
 
-def _period_bounds(start: str, months: int) -> tuple[dt.datetime, dt.datetime]:
+def _period_bounds(start: str, months: int) -> tuple[dt.datetime, dt.datetime, dt.datetime]:
+    """First moments of the current and of the previous period, and the current one's end."""
     d = dt.date.fromisoformat(start)
-    m = d.year * 12 + (d.month - 1) - months
-    prev = dt.date(m // 12, m % 12 + 1, d.day)
-    return dt.datetime.combine(d, dt.time()), dt.datetime.combine(prev, dt.time())
+
+    def shifted(by: int) -> dt.datetime:
+        m = d.year * 12 + (d.month - 1) + by
+        last = (dt.date(m // 12 + (m % 12 == 11), (m + 1) % 12 + 1, 1) - dt.timedelta(days=1)).day
+        return dt.datetime(m // 12, m % 12 + 1, min(d.day, last))
+
+    return shifted(0), shifted(-months), shifted(months)
 
 
 def customer_order_stats(orders: DataFrame, lineitem: DataFrame,
                          start: str = PERIOD_START, months: int = PERIOD_MONTHS) -> DataFrame:
     """Per-customer sales, invoice and distinct-part statistics."""
-    cur_start, prev_start = _period_bounds(start, months)
+    cur_start, prev_start, cur_end = _period_bounds(start, months)
     od = F.col("o_orderdate").cast("timestamp_ntz")
     o = orders.select(
         F.col("o_orderkey").alias("orderkey"),
         F.col("o_custkey").alias("custkey"),
-        F.when(od >= F.lit(cur_start).cast("timestamp_ntz"), F.lit(1))
+        F.when(od >= F.lit(cur_end).cast("timestamp_ntz"), F.lit(0))
+         .when(od >= F.lit(cur_start).cast("timestamp_ntz"), F.lit(1))
          .when(od >= F.lit(prev_start).cast("timestamp_ntz"), F.lit(2))
          .otherwise(F.lit(0)).alias("period"))
     li = lineitem.select(
@@ -115,8 +121,8 @@ def profile_from_frames(customer: DataFrame, orders: DataFrame, lineitem: DataFr
     attrs = customer.select(F.col("c_custkey").alias("custkey"), "c_name", "c_acctbal") \
         .selectExpr("custkey", *[f"{e} AS {n}" for n, e in key_attributes("custkey").items()])
     base = attrs.join(stats, "custkey", "left").join(ev, "custkey", "left")
-    post = fact_attributes()
-    return base.select(*[
+    post = fact_attributes(months)
+    return without_nan(base).select(*[
         (post[f.name] if f.name in post else F.col(f.name)).cast(f.dataType).alias(f.name)
         for f in S.PROFILE_SCHEMA.fields])
 
@@ -188,12 +194,12 @@ def key_attributes(k: str) -> dict[str, str]:
     }
 
 
-def fact_attributes() -> dict[str, Column]:
+def fact_attributes(months: int = PERIOD_MONTHS) -> dict[str, Column]:
     """Profile columns derived from the order and event aggregates."""
 
     def money(name: str) -> Column:
         units = F.coalesce(F.col(name), F.lit(0)).cast("double")
-        return units / F.lit(float(NET_SCALE)) / F.lit(REVENUE_DIVISOR)
+        return units / F.lit(float(NET_SCALE)) / F.lit(months / MONTHS_PER_YEAR)
 
     def count(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(0)).cast("bigint")

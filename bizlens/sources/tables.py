@@ -2,7 +2,7 @@
 
 Parquet is the native format: reads only name the needed columns so the
 scan's ``ReadSchema`` is pruned and filters are pushed to the row groups.
-CSV is read with a declared schema, never ``inferSchema``.
+CSV is bound by header name to a declared schema, never ``inferSchema``.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -49,15 +50,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     return df.select(*columns) if columns else df
 
 
+# Cell texts that mean "no value" in the CSV files the jobs exchange.
+NA_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+            "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Whole CSV file(s) with a header row and a declared schema.
+    """CSV file(s) with a header row (S1), as the columns and types of ``schema``.
 
-    Only empty fields are null; the word ``none`` is a real category value.
+    Columns are found by their header name, whatever their order; a column
+    that the header lacks is an error. Quotes inside a quoted cell are doubled.
+    The usual words for a missing value are null (the word ``none`` is a value), and
+    a cell that its type can't hold is an error.
     """
-    return (spark.read.schema(schema)
-            .option("header", True)
-            .option("mode", "FAILFAST")
-            .csv(path))
+    cells = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
+             .option("inferSchema", False).csv(path))
+    return cells.select(*[
+        F.when(~F.col(f"`{f.name}`").isin(*NA_WORDS), F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name)
+        for f in schema.fields])
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",
@@ -67,7 +77,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     elif fmt == "parquet":
         w.parquet(path)
     else:

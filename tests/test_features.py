@@ -139,3 +139,27 @@ def test_join_with_suffix(spark):
     out = D.join_with_suffix(a, b)
     assert out.columns == ["sme_id", "v", "s", "v_growth", "w"]
     assert tuple(out.first()) == (1, 1.0, "x", 2.0, 3)
+
+
+def test_nan_is_null_to_every_rule(spark):
+    """A NaN behaves as a missing number: no comparison with it holds, no band or score takes it."""
+    from bizlens.operators import decisions as D, features as FT, labels as LB
+    from bizlens.plans import catalog as C
+    base = C.build_profile(spark, SF001).limit(4)
+    doubles = [f.name for f in base.schema.fields if f.dataType.simpleString() == "double"]
+    for name in doubles[::3]:
+        nan = base.withColumn(name, F.lit(float("nan")))
+        null = base.withColumn(name, F.lit(None).cast("double"))
+        for make in (lambda d: FT.funding_features(d, drop_nulls=False), FT.health_features, FT.growth_features, LB.add_targets):
+            a = [{k: v for k, v in r.asDict().items() if k != name} for r in make(nan).orderBy("sme_id").collect()]
+            b = [{k: v for k, v in r.asDict().items() if k != name} for r in make(null).orderBy("sme_id").collect()]
+            assert a == b, name
+    df = spark.createDataFrame([(float("nan"),), (None,), (0.3,)], "r DOUBLE").select(D.growth_action("r").alias("a"))
+    assert [r.a for r in df.collect()] == ["intervention_required", "intervention_required", "fast_track_funding"]
+
+
+def test_clip_and_row_min_keep_nan(spark):
+    from bizlens.functions.exprs import clip, row_min
+    r = spark.createDataFrame([(float("nan"), 1.0)], "a DOUBLE, b DOUBLE").select(
+        clip("a", 0, 1).alias("c"), row_min("a", "b").alias("m"), row_min("b", "a").alias("n")).first()
+    assert all(x != x for x in r)

@@ -21,8 +21,8 @@ def test_exact_quantiles_match_numpy_with_hot_value(spark):
     vals += [None] * 50
     df = spark.createDataFrame([(v,) for v in vals], "x DOUBLE").repartition(6)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    # tiny buckets and window limit force several refinement passes
-    got = PR.exact_quantiles(df, ["x"], probs, buckets=8, small=100)["x"]
+    # few splitters force several rounds
+    got = PR.exact_quantiles(df, ["x"], probs, cuts=4)["x"]
     clean = np.array([v for v in vals if v is not None])
     for p in probs:
         assert abs(got[p] - float(np.quantile(clean, p))) < 1e-12
@@ -113,3 +113,38 @@ def test_regression_metrics_vs_numpy(spark):
     assert abs(m.rmse - np.sqrt(np.mean((y - p) ** 2))) < 1e-12
     assert abs(m.mae - np.mean(np.abs(y - p))) < 1e-12
     assert abs(m.r2 - (1 - np.sum((y - p) ** 2) / np.sum((y - y.mean()) ** 2))) < 1e-12
+
+
+def test_exact_quantiles_with_infinities_and_any_spread(spark):
+    rnd = random.Random(3)
+    vals = [10.0 ** rnd.uniform(-300, 299) * rnd.choice([1, -1]) for _ in range(20000)]
+    vals += [float("inf")] * 7 + [float("-inf")] * 3 + [0.0] * 5000 + [float("nan"), None]
+    df = spark.createDataFrame([(v, 1.0) for v in vals], "x DOUBLE, one DOUBLE").repartition(5)
+    ordered = sorted(v for v in vals if v is not None and v == v)
+    n = len(ordered)
+    ranks = [0, 1, 2, 3, n // 4, n // 2, n - 8, n - 7, n - 1]
+    got = PR.kth_values(PR._long(df, ["x"]), {0: ranks}, {0: n}, cuts=10)
+    assert [got[0, k] for k in ranks] == [ordered[k] for k in ranks]
+    assert PR.exact_quantiles(df, ["one"], [0.1, 0.5])["one"] == {0.1: 1.0, 0.5: 1.0}
+
+
+def test_split_takes_any_number_of_labels(spark):
+    rows = [(i, f"label{i % 4000}" if i % 3 else "hot") for i in range(20000)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "sme_id BIGINT, label STRING")
+    got = {r["label"]: (r["n"], r["t"]) for r in EN.split(df, 0.3, stratify="label").groupBy("label").agg(
+        F.count("*").alias("n"), F.count_if("is_test").alias("t")).collect()}
+    assert got.pop(None) == (1, 0)
+    assert all(t == int(0.3 * n + 0.5) for n, t in got.values()) and sum(n for n, _ in got.values()) == 20000
+
+
+def test_wide_vocabulary_is_whole_and_sorted(spark):
+    df = spark.range(30000).select((F.col("id") % 12000).cast("string").alias("c"))
+    assert EN.fit_vocabulary(df, ["c"])["c"] == sorted(str(i) for i in range(12000))
+
+
+def test_missing_numbers_count_as_zero_before_scaling(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, 4.0), (3, 6.0)], "sme_id BIGINT, x DOUBLE")
+    spec = {"ordinal": [], "onehot": [], "numeric": ["x"], "binary": []}
+    state = EN.fit_encoder(df, spec)
+    bad = spark.createDataFrame([(1, None), (2, float("nan")), (3, float("inf")), (4, 0.0)], "sme_id BIGINT, x DOUBLE")
+    assert {r["num__x"] for r in EN.encode(bad, state).collect()} == {-state.mean["x"] / state.scale["x"]}
