@@ -148,16 +148,20 @@ def scaled_expr(c: str, mean: float, scale: float) -> Column:
 
 
 def encode(df: DataFrame, state: EncoderState, keep: Sequence[str] = ("sme_id",),
-           clean_values: bool = True) -> DataFrame:
+           clean_values: bool = True, defaults: Mapping | None = None) -> DataFrame:
     """Encoded feature columns in block order (M1-M4), ``keep`` columns first."""
-    exprs = encoded_exprs(state, clean_values)
+    exprs = encoded_exprs(state, clean_values, df.columns, defaults)
     kept = [k for k in keep if k in df.columns]
     return df.select(*kept, *[e.alias(n) for e, n in zip(exprs, state.feature_names())])
 
 
-def feature_vector(state: EncoderState, width: int | None = None) -> Column:
-    """All encoded features as one ``vector`` expression (M5, M6), no extra columns."""
-    arr = F.array(*encoded_exprs(state))
+def feature_vector(state: EncoderState, width: int | None = None, columns: Sequence[str] | None = None,
+                   defaults: Mapping | None = None) -> Column:
+    """All encoded features as one ``vector`` expression (M5, M6), no extra columns.
+
+    ``columns`` and ``defaults`` as in :func:`encoded_sql`.
+    """
+    arr = F.array(*encoded_exprs(state, columns=columns, defaults=defaults))
     return array_to_vector(pad_trim(arr, width) if width is not None else arr)
 
 
@@ -169,7 +173,8 @@ def _dbl(v: float) -> str:
     return f"CAST('{float(v)!r}' AS DOUBLE)"
 
 
-def encoded_sql(state: EncoderState, clean_values: bool = True) -> list[str]:
+def encoded_sql(state: EncoderState, clean_values: bool = True, columns: Sequence[str] | None = None,
+                defaults: Mapping | None = None) -> list[str]:
     """SQL text of every encoded feature, in block order (M1-M4, P10).
 
     The same expressions as :func:`ordinal_expr`, :func:`onehot_exprs`,
@@ -178,30 +183,47 @@ def encoded_sql(state: EncoderState, clean_values: bool = True) -> list[str]:
     bundles of ~80 features are built per query. ``clean`` is
     ``IF(x * 0 = 0, x, 0)``: false for null, NaN and +/-inf. It is applied to
     the column itself, before scaling; ordinals and indicators are never null.
+
+    ``defaults`` (P4, P5) holds, under ``absent`` and ``null``, the value per block of a
+    column that ``columns`` lacks and of a null; ``None`` as an ordinal's
+    absent value is the first of its order. Numbers and flags are 0 either way.
     """
     out: list[str] = []
+    have = None if columns is None else set(columns)
+
+    def text(block: str, c: str) -> str:
+        if defaults and have is not None and c not in have:
+            value = defaults["absent"][block]
+            return _str(state.ordinal_order[c][0] if value is None else value)
+        x = f"CAST(`{c}` AS STRING)"
+        return f"coalesce({x}, {_str(defaults['null'][block])})" if defaults else x
+
+    def number(c: str) -> str:
+        return "0.0D" if defaults and have is not None and c not in have else f"CAST(`{c}` AS DOUBLE)"
+
     for c in state.spec["ordinal"]:
-        ladder = " ".join(f"WHEN CAST(`{c}` AS STRING) = {_str(v)} THEN {float(i)!r}D"
+        ladder = " ".join(f"WHEN {text('ordinal', c)} = {_str(v)} THEN {float(i)!r}D"
                           for i, v in enumerate(state.ordinal_order[c]))
-        other = ("raise_error(concat('unknown " + c + ": ', coalesce(CAST(`" + c + "` AS STRING), 'null')))"
+        other = (f"raise_error(concat('unknown {c}: ', coalesce({text('ordinal', c)}, 'null')))"
                  if state.unknown_ordinal == "error" else "-1.0D")
         out.append(f"CAST(CASE {ladder} ELSE {other} END AS DOUBLE)")
     for c in state.spec["onehot"]:
         for v in state.vocab[c][1:]:
-            out.append(f"coalesce(CAST(CAST(`{c}` AS STRING) = {_str(v)} AS DOUBLE), 0.0D)")
+            out.append(f"coalesce(CAST({text('onehot', c)} = {_str(v)} AS DOUBLE), 0.0D)")
     for c in state.spec["numeric"]:
-        x = f"CAST(`{c}` AS DOUBLE)"
+        x = number(c)
         if clean_values:            # a missing number counts as 0 before it is scaled
             x = f"IF({x} * 0.0D = 0.0D, {x}, 0.0D)"
         out.append(f"(({x} - {_dbl(state.mean[c])}) / {_dbl(state.scale[c])})")
     for c in state.spec["binary"]:
-        x = f"CAST(`{c}` AS DOUBLE)"
+        x = number(c)
         out.append(f"IF({x} * 0.0D = 0.0D, {x}, 0.0D)" if clean_values else x)
     return out
 
 
-def encoded_exprs(state: EncoderState, clean_values: bool = True) -> list[Column]:
-    return [F.expr(e) for e in encoded_sql(state, clean_values)]
+def encoded_exprs(state: EncoderState, clean_values: bool = True, columns: Sequence[str] | None = None,
+                  defaults: Mapping | None = None) -> list[Column]:
+    return [F.expr(e) for e in encoded_sql(state, clean_values, columns, defaults)]
 
 
 def assemble(df: DataFrame, names: Sequence[str], out: str = "features",

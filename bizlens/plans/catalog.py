@@ -413,6 +413,29 @@ def q_encoded_growth(spark, sf_dir):
     return _encoded(growth_table(spark, sf_dir), S.GROWTH_FEATURES)
 
 
+SERVED_ABSENT = ["location", "owner_gender", "profit_margin"]
+SERVED_CTE = ("served", f"""SELECT * EXCLUDE ({', '.join(SERVED_ABSENT)}, revenue, sector, business_stage),
+  'unknown' AS location, 'unknown' AS owner_gender, 0.0 AS profit_margin,
+  CASE WHEN sme_id % 5 = 0 THEN 0.0 ELSE revenue END AS revenue,
+  CASE WHEN sme_id % 7 = 0 THEN 'unknown' ELSE sector END AS sector,
+  CASE WHEN sme_id % 3 = 0 THEN 'startup' ELSE business_stage END AS business_stage FROM growth""")
+
+
+@register("p4_p5_serving_features", with_sme(
+    O.encode_sql("served", S.GROWTH_FEATURES, SORTED_VOCAB, S.ORDINAL_ORDER, fit_src="growth"),
+    [GROWTH_CTE, SERVED_CTE]))
+def q_serving_features(spark, sf_dir):
+    """A table without some columns and with nulls, encoded for a fitted bundle (P4, P5 before M1-M4)."""
+    growth = growth_table(spark, sf_dir)
+    state = EN.fit_encoder(growth, S.GROWTH_FEATURES)
+    k = F.col("sme_id")
+    served = growth.drop(*SERVED_ABSENT).withColumns({
+        "revenue": F.when(k % 10 == 0, F.lit(None)).when(k % 5 == 0, F.lit(float("nan"))).otherwise(F.col("revenue")),
+        "sector": F.when(k % 7 != 0, F.col("sector")),
+        "business_stage": F.when(k % 3 != 0, F.col("business_stage"))})
+    return round_features(EN.encode(served, state, defaults=S.SERVING_DEFAULTS["growth"]), state.feature_names())
+
+
 @register("m7_stratified_split", with_sme(
     O.stratified_split_sql("sme", "default_risk", 0.2)))
 def q_stratified_split(spark, sf_dir):
@@ -576,6 +599,33 @@ def q_request_validation(spark, sf_dir):
     return parsed_requests(spark, sf_dir).groupBy("reject_reason").count()
 
 
+def mixed_requests(sme: DataFrame) -> DataFrame:
+    """Requests of every business, with faults by key: cut off, wrong stage, null flag, wrong and textual numbers."""
+    k = F.col("sme_id")
+    cols = [F.col(n).cast("string").alias(n) if n == "sme_id" else F.col(n)
+            for n, _, _ in RQ.REQUEST_FIELDS if n in sme.columns]
+    value = F.to_json(F.struct(*cols))
+    return sme.select(
+        F.when(k % 17 == 0, F.substring(value, 1, 40))
+        .when(k % 13 == 0, F.regexp_replace(value, '"business_stage":"[a-z]+"', '"business_stage":"scaleup"'))
+        .when(k % 11 == 0, F.regexp_replace(value, '"tax_registered":[01]', '"tax_registered":null'))
+        .when(k % 7 == 0, F.regexp_replace(value, '"revenue":[-+.E0-9]+', '"revenue":"lots"'))
+        .when(k % 5 == 0, F.regexp_replace(value, '"profit_margin":[-+.E0-9]+', '"profit_margin":"0.25"'))
+        .otherwise(value).alias("value"))
+
+
+MIXED_SQL = """SELECT CASE WHEN sme_id % 17 = 0 THEN 'unknown' ELSE CAST(sme_id AS VARCHAR) END AS sme_id,
+  CASE WHEN sme_id % 17 = 0 THEN 'malformed record or field type'
+       WHEN sme_id % 13 = 0 THEN 'business_stage not in startup/growth/mature'
+       WHEN sme_id % 11 = 0 THEN 'tax_registered is not a whole number'
+       WHEN sme_id % 7 = 0 THEN 'revenue is not a number' END AS reject_reason FROM sme"""
+
+
+@register("p13_rejected_requests", with_sme(MIXED_SQL))
+def q_rejected_requests(spark, sf_dir):
+    return RQ.parse_requests(mixed_requests(sme_table(spark, sf_dir))).select("sme_id", "reject_reason")
+
+
 HF19_COLS = ["liquidity_ratio", "cash_months", "revenue_per_employee", "payroll_to_revenue",
              "invoice_paid_rate", "staff_retention_rate", "customer_active_rate",
              "customer_repeat_rate", "marketing_roi", "conversion_rate"] + S.RISK_FLAG_COLS
@@ -621,19 +671,20 @@ def q_stream_scores(spark, sf_dir):
     return spark.read.schema("sme_id STRING, result STRING").json(d["out"])
 
 
-@register("st2_stream_with_rejects")
+@register("st2_stream_with_rejects", with_sme(
+    f"SELECT sme_id, CASE WHEN reject_reason IS NULL THEN 'scored' ELSE 'rejected' END AS kind, reject_reason "
+    f"FROM ({MIXED_SQL})"))
 def q_stream_with_rejects(spark, sf_dir):
     bundles = bundles_for(spark, sf_dir)
     d = _stream_dirs(spark, "st2")
-    RQ.request_json(sme_table(spark, sf_dir)).write.mode("overwrite").text(d["requests"])
+    mixed_requests(sme_table(spark, sf_dir)).write.mode("overwrite").text(d["requests"])
     q = ST.start_scoring_stream_with_rejects(spark, bundles, d["requests"], d["out"], d["rejected"],
                                              d["checkpoint"])
     q.awaitTermination()
-    res = spark.read.parquet(d["out"]).groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows")) \
-        .withColumn("kind", F.lit("scored"))
-    rej = spark.read.schema("sme_id STRING, reject_reason STRING, batch_id INT").parquet(d["rejected"]) \
-        .groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows")).withColumn("kind", F.lit("rejected"))
-    return res.unionByName(rej)
+    res = spark.read.schema("sme_id STRING, result STRING, batch_id INT").parquet(d["out"])
+    rej = spark.read.schema("sme_id STRING, reject_reason STRING, batch_id INT").parquet(d["rejected"])
+    scored = res.select("sme_id", F.lit("scored").alias("kind"), F.lit(None).cast("string").alias("reject_reason"))
+    return scored.unionByName(rej.select("sme_id", F.lit("rejected").alias("kind"), "reject_reason"))
 
 
 # ------------------------------------------------------------------ sources, sinks and null policies

@@ -8,6 +8,7 @@ result into one struct per model.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from concurrent.futures import ThreadPoolExecutor
 
@@ -19,7 +20,7 @@ from bizlens.functions.exprs import bround
 from bizlens.operators import decisions as D
 from bizlens.operators import features as FT
 from bizlens.plans.models import Bundle, train_bundle
-from bizlens.session import scratch_path
+from bizlens.session import ensure_checkpoint_dir, scratch_path
 
 RISK_CLASS = "high"   # class whose probability is the default probability (Q3)
 
@@ -116,8 +117,8 @@ def training_inputs(sme: DataFrame) -> dict:
             "growth": growth_input(sme)}
 
 
-_CACHE: dict = {}     # (key, bundle, overrides) -> saved path
-_LOADED: dict = {}    # saved path -> loaded bundle
+_CACHE: dict = {}     # (application, key, bundle, overrides) -> saved path
+_LOADED: dict = {}    # saved path -> loaded bundle; a path lies under its application's folder
 
 
 def trained_bundles(spark: SparkSession, sme: DataFrame, key: str, overrides: dict | None = None,
@@ -126,14 +127,18 @@ def trained_bundles(spark: SparkSession, sme: DataFrame, key: str, overrides: di
 
     The three bundles are independent and are trained concurrently.
     """
+    app = spark.sparkContext.applicationId
+    settings = repr(sorted((overrides or {}).items()))
+    todo = [n for n in names if (app, key, n, settings) not in _CACHE]
+    if todo:
+        ensure_checkpoint_dir(spark)
+        sme = sme.checkpoint(eager=True)        # the bundles share one computed profile
     inputs = training_inputs(sme)
-    todo = [n for n in names
-            if (key, n, repr(sorted((overrides or {}).items()))) not in _CACHE]
 
     def train(name):
         b = train_bundle(spark, inputs[name], name, overrides=overrides)
-        ck = (key, name, repr(sorted((overrides or {}).items())))
-        path = scratch_path(spark, f"bundle_{name}_{abs(hash(ck))}")
+        ck = (app, key, name, settings)
+        path = scratch_path(spark, f"bundle_{name}_{hashlib.md5(repr((key, settings)).encode()).hexdigest()[:16]}")
         b.save(spark, path)
         return ck, path
 
@@ -143,10 +148,10 @@ def trained_bundles(spark: SparkSession, sme: DataFrame, key: str, overrides: di
                 _CACHE[ck] = path
     out = {}
     for name in names:
-        path = _CACHE[(key, name, repr(sorted((overrides or {}).items())))]
-        if path not in _LOADED:
-            _LOADED[path] = Bundle.load(spark, path)
-        out[name] = _LOADED[path]
+        path = _CACHE[(app, key, name, settings)]
+        if (app, path) not in _LOADED:
+            _LOADED[app, path] = Bundle.load(spark, path)
+        out[name] = _LOADED[app, path]
     return out
 
 

@@ -527,9 +527,10 @@ def split_hash_sql(key: str = "sme_id", seed: int = 42) -> str:
 
 
 def encode_sql(src: str, spec: dict, vocab: dict, ordinal_order: dict, digits: int = 9,
-               keep: Sequence[str] = ("sme_id",)) -> str:
-    """M1-M4 with statistics computed over ``src`` itself (fit on all rows)."""
+               keep: Sequence[str] = ("sme_id",), fit_src: str | None = None) -> str:
+    """M1-M4 with statistics computed over ``fit_src`` (default: ``src`` itself, all rows)."""
     cols = list(keep)
+    fit_src = fit_src or src
     for c in spec["ordinal"]:
         ladder = " ".join(f"WHEN CAST({c} AS VARCHAR) = {lit(v)} THEN {lit(float(i))}"
                           for i, v in enumerate(ordinal_order[c]))
@@ -539,9 +540,9 @@ def encode_sql(src: str, spec: dict, vocab: dict, ordinal_order: dict, digits: i
             cols.append(f"round_even({clean(f'COALESCE(CAST(CAST({c} AS VARCHAR) = {lit(v)} AS DOUBLE), 0.0)')}"
                         f", {digits}) AS \"oh__{c}__{v}\"")
     for c in spec["numeric"]:
-        m = f"(SELECT avg(CAST({c} AS DOUBLE)) FROM {src})"
+        m = f"(SELECT avg(CAST({c} AS DOUBLE)) FROM {fit_src})"
         s = (f"(SELECT CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) = 0 THEN 1.0 "
-             f"ELSE stddev_pop(CAST({c} AS DOUBLE)) END FROM {src})")
+             f"ELSE stddev_pop(CAST({c} AS DOUBLE)) END FROM {fit_src})")
         cols.append(f"round_even(({clean(c)} - {m}) / {s}, {digits}) AS num__{c}")
     for c in spec["binary"]:
         cols.append(f"round_even({clean(f'CAST({c} AS DOUBLE)')}, {digits}) AS bin__{c}")

@@ -160,3 +160,15 @@ GROWTH_FEATURES = {
                "tax_paid_last_year", "licenses_up_to_date",
                "has_funding_track"],
 }
+
+
+# What a bundle's features take for a column that a table or request
+# lacks, and for a null (None: the first value of the ordinal's order).
+SERVING_DEFAULTS = {
+    "growth": {"absent": {"ordinal": "startup", "onehot": "unknown"},
+               "null": {"ordinal": "startup", "onehot": "unknown"}},
+    "health": {"absent": {"ordinal": None, "onehot": "missing"},
+               "null": {"ordinal": "startup", "onehot": "missing"}},
+    "funding": {"absent": {"ordinal": "0", "onehot": "0"},
+                "null": {"ordinal": "startup", "onehot": "unknown"}},
+}

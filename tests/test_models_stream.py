@@ -65,9 +65,9 @@ def test_request_defaults_and_rejects(spark):
     empty, a, b, c, _, junk = parsed
     assert empty.sme_id == "unknown" and empty.reject_reason is None and empty.employee_count == 1.0
     assert empty.education_level == "highschool" and empty.tax_registered == 1
-    assert a.revenue == 0.0 and a.reject_reason is None
+    assert a.revenue is None and a.reject_reason is None     # an explicit null is no absent field
     assert "business_stage" in b.reject_reason
-    assert c.reject_reason.startswith("malformed") and junk.reject_reason.startswith("malformed")
+    assert c.reject_reason == "revenue is not a number" and junk.reject_reason.startswith("malformed")
     valid, rejected = RQ.split_requests(RQ.parse_requests(raw))
     assert valid.count() == 3 and rejected.count() == 3
     filled = {r.sme_id: r for r in RQ.fill_flags(RQ.fill_ratios(valid)).collect()}
@@ -77,6 +77,57 @@ def test_request_defaults_and_rejects(spark):
     assert filled["unknown"].missing_docs == 0
 
 
+def test_lenient_numbers_and_explicit_nulls(spark):
+    rows = ['{"revenue": "12.5", "tax_registered": 1.0, "low_cash": true}', '{"tax_registered": null}',
+            '{"tax_registered": 1.5, "education_level": null}', "[1, 2]", '{"revenue": 1', None, '{"employee_count": null}',
+            '{"revenue": "NaN", "sme_id": null}']
+    got = RQ.parse_requests(spark.createDataFrame([(r,) for r in rows], "value STRING").coalesce(1)).collect()
+    assert (got[0].revenue, got[0].tax_registered, got[0].low_cash, got[0].reject_reason) == (12.5, 1, 1, None)
+    assert got[1].reject_reason == "tax_registered is not a whole number"
+    assert set(got[2].reject_reason.split("; ")) == {"education_level not in none/highschool/bachelor/master/phd",
+                                                     "tax_registered is not a whole number"}
+    assert all(got[i].reject_reason.startswith("malformed") for i in (3, 4, 5))
+    assert got[6].reject_reason is None and got[6].employee_count is None
+    assert got[7].reject_reason is None and got[7].revenue is None and got[7].sme_id is None
+
+
+def test_absent_columns_and_nulls_take_the_bundle_defaults(spark):
+    b = _bundles(spark)
+    sme = C.sme_table(spark, SF01).limit(50)
+    less = sme.drop("sector", "location", "profit_margin").withColumn("owner_gender", F.lit(None).cast("string"))
+    full = (less.withColumns({"sector": F.lit("0"), "location": F.lit("0"), "profit_margin": F.lit(0.0)})
+            .withColumn("owner_gender", F.lit("unknown")))
+    key = ["sme_id", "eligible_for_funding", "default_risk", "business_health_score"]
+    assert sorted(map(str, J.score_funding(b["funding"], less).select(key).collect())) == sorted(
+        map(str, J.score_funding(b["funding"], full).select(key).collect()))
+
+
+def test_hold_out_reports_and_encoder_rows(spark):
+    from bizlens.plans import models as MD
+    bundles = list(_bundles(spark).values())
+    rep = MD.report_table(spark, bundles).where("class = 'accuracy'").collect()
+    con = MD.confusion_table(spark, bundles).groupBy("bundle", "model").agg(
+        F.sum("count").alias("n"), F.sum(F.when(F.col("label") == F.col("predicted"), F.col("count")).otherwise(0)).alias("ok")).collect()
+    right = {(r.bundle, r.model): r.ok / r.n for r in con}
+    assert len(rep) == len(right) >= 5
+    assert all(abs(right[r.bundle, r.model] - r.f1) < 1e-9 for r in rep)
+    assert "fit_seconds" not in {r.metric for r in MD.metrics_table(spark, bundles).collect()}
+
+
+def test_bundle_pads_and_trims_to_its_models(spark):
+    from bizlens.operators import encode as EN
+    b = _bundles(spark)["funding"]
+    assert b.width() is None
+    state = EN.EncoderState.from_json(b.state.to_json())
+    state.spec["binary"] = state.spec["binary"][:-1]
+    short = Bundle(b.name, state, b.specs, b.models, b.labels, b.metrics)
+    sme = C.sme_table(spark, SF01).limit(20)
+    assert short.width() == len(b.state.feature_names())
+    last = b.state.spec["binary"][-1]
+    x = J.score_funding(short, sme).orderBy("sme_id").collect()
+    assert x == J.score_funding(b, sme.withColumn(last, F.lit(0))).orderBy("sme_id").collect()
+
+
 def test_stream_equals_batch(spark):
     b = _bundles(spark)
     sme = C.sme_table(spark, SF01)
