@@ -192,7 +192,7 @@ class JaccardJoin:
         """The pairs ``(a, b)`` whose whole texts' sets are linked."""
         a = texts.select(F.col("c").alias("a"), F.col("text").alias("text_a"))
         b = texts.select(F.col("c").alias("b"), F.col("text").alias("text_b"))
-        return saved(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+        return saved(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "text_a", "text_b")
                      .mapInArrow(_linked(self.words, self.link, self.full), "a long, b long"), "links")
 
     def star(self, members: DataFrame, turn: int) -> DataFrame:
@@ -229,9 +229,10 @@ class JaccardJoin:
         buckets = self.buckets()
         found = saved(classes.join(buckets.select("c").distinct(), "c", "left_semi")
                       .select("c", "n", "r.id", "r.th"), "classes")
-        texts = saved(self.docs.join(found, self.docs.id.eqNullSafe(found.id) & (self.docs.th == found.th))
+        # both sides grow with the table: joined by a shuffle at every size
+        texts = saved(self.docs.join(found.hint("merge"), self.docs.id.eqNullSafe(found.id) & (self.docs.th == found.th))
                       .select("c", "n", "text").dropDuplicates(["c"]), "texts")
-        members = buckets.join(found.select("c", "n"), "c")
+        members = buckets.join(found.select("c", "n").hint("merge"), "c")
         links = None
         for turn in range(3):
             if links is None:
