@@ -3,8 +3,8 @@
 Terms are hashed words and word shapes (symbols, capitals, digits, repetition
 of the word before, exclamation). Document frequencies come from the whole
 table. A bounded sample of labelled documents (``sample`` rows, those whose
-ids hash lowest) gives the latent space, by an exact eigendecomposition of
-its Gram matrix, and the labelled vectors. Both are broadcast: their size is
+ids hash lowest) gives the latent space, by subspace iteration on their
+term matrix, and the labelled vectors. Both are broadcast: their size is
 ``sample`` and ``TERMS`` times ``rank`` floats, whatever the table's size.
 Every document is projected, its cosines with all labelled vectors are
 computed in blocks, and its nearest neighbours vote with a power of theirs.
@@ -126,12 +126,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     label = table.column("label").to_numpy().astype(np.float64)
     if not len(label):
         return Voters(idf, np.zeros((TERMS, 0), np.float32), np.zeros((0, 0), np.float32), label, 0.5)
-    x = np.vstack([weighted(c, idf) for c in _counted(byte_rows(table.column("text").combine_chunks()))])
-    value, vector = np.linalg.eigh((x @ x.T).astype(np.float64))
+    x = np.zeros((len(label), TERMS), np.float32)
+    at = 0
+    for counts in _counted(byte_rows(table.column("text").combine_chunks())):
+        x[at:at + len(counts)] = weighted(counts, idf)
+        at += len(counts)
+    space = latent_space(x, rank)
+    return Voters(idf, space, _unit(x @ space), label, float(label.mean()))
+
+
+def latent_space(x: np.ndarray, rank: int, rounds: int = 12) -> np.ndarray:
+    """The leading right singular vectors of ``x`` (columns), by subspace iteration: no square matrix is made."""
+    width = min(rank + 16, *x.shape)
+    basis = np.linalg.qr(np.random.default_rng(0).normal(size=(x.shape[1], width)).astype(np.float32))[0]
+    for _ in range(rounds):
+        basis = np.linalg.qr(x.T @ (x @ basis))[0]
+    seen = x @ basis
+    value, turn = np.linalg.eigh((seen.T @ seen).astype(np.float64))
     top = np.argsort(-value)[:rank]
     top = top[value[top] > 1e-6 * max(value.max(), 1e-12)]
-    space = (x.T @ (vector[:, top] / np.sqrt(value[top]))).astype(np.float32)
-    return Voters(idf, space, _unit(x @ space), label, float(label.mean()))
+    return (basis @ turn[:, top]).astype(np.float32)
 
 
 def scored(docs: DataFrame, voters: Voters, text_col: str = "text") -> Column:
