@@ -33,6 +33,11 @@ def id_remainder(doc_id: Column, m: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(m), F.lit(-1).cast("long"))
 
 
+def small_table(spark: SparkSession, columns: dict[str, pa.Array]) -> DataFrame:
+    """A few rows from the driver, by Arrow: no Python worker takes part."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

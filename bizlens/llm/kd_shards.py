@@ -19,10 +19,11 @@ rows. Slots run from 0 without gaps in each shard.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bizlens.llm.common import saved
+from bizlens.llm.common import saved, small_table
 
 VALUE_BITS, TIE_BITS, STEP_BITS = 30, 32, 12
 SLOT_BLOCK = 4096               # rows numbered together
@@ -67,8 +68,8 @@ def _cuts(rows: DataFrame, nodes: dict[int, dict], tolerance: int) -> dict[int,
     cuts: dict[int, int] = {}
     while open_:
         step = min(STEP_BITS, bits)
-        state = spark.createDataFrame([(n, x["dim"], x["prefix"], x["want"]) for n, x in open_.items()],
-                                      "node long, dim int, prefix long, want long")
+        state = small_table(spark, {"node": pa.array(open_, pa.int64()), **{
+            name: pa.array([x[name] for x in open_.values()], pa.int64()) for name in ("dim", "prefix", "want")}})
         key = _key_of("dim")
         bins = (rows.join(F.broadcast(state), "node").where(F.shiftright(key, bits) == F.col("prefix"))
                 .groupBy("node", "want", F.shiftright(key, bits - step).alias("bin"))
@@ -113,8 +114,8 @@ def kd_shards(docs: DataFrame, target_bytes: int | None = None, shards: int | No
         if not split:
             break
         cuts = _cuts(rows, split, tolerance)
-        table = spark.createDataFrame([(n, split[n]["dim"], cut) for n, cut in cuts.items()],
-                                      "node long, dim int, cut long")
+        table = small_table(spark, {"node": pa.array(cuts, pa.int64()), "cut": pa.array(cuts.values(), pa.int64()),
+                                    "dim": pa.array([split[n]["dim"] for n in cuts], pa.int64())})
         right = F.when(_key_of("dim") >= F.col("cut"), 1).otherwise(0)
         rows = (rows.join(F.broadcast(table), "node", "left")
                 .withColumn("node", F.when(F.col("dim").isNull(), F.col("node"))
@@ -123,7 +124,7 @@ def kd_shards(docs: DataFrame, target_bytes: int | None = None, shards: int | No
             m, at = leaves.pop(n), first.pop(n)
             for child, k, a in ((2 * n, m // 2, at), (2 * n + 1, m - m // 2, at + m // 2)):
                 leaves[child], first[child] = k, a
-    numbers = spark.createDataFrame([(n, first[n]) for n in first], "node long, shard int")
+    numbers = small_table(spark, {"node": pa.array(first, pa.int64()), "shard": pa.array(first.values(), pa.int32())})
     return _slotted(rows.join(F.broadcast(numbers), "node"))
 
 
