@@ -42,6 +42,7 @@ WORD_BUCKETS = 1 << 13
 PAIRS = CLASSES * CLASSES
 ROWS = 2 * WORD_BUCKETS + 2 * PAIRS     # rows of the weight matrix (16 bits, for a fast sort)
 ROUNDS, BATCH, RATE = 3, 2048, 0.1
+SLICES = 64                             # slices of the weights that are summed apart
 RANGE_ENTRIES = 1 << 21                 # distinct words of blocks that a hash range gets on average
 END = np.uint64(0xE0D0F0A0C0FFEE01)
 _START = np.uint64(0x57A27)
@@ -211,22 +212,24 @@ def _train(shared):
                     update(weights, squares, at[:, mine], kind[mine].astype(np.int64))
                 tokens += len(train)
         if tokens:
-            delta = (weights - shared.value) * np.float32(tokens)
-            yield pa.RecordBatch.from_pydict({"slot": pa.array([TaskContext.get().partitionId() % 8], pa.int32()),
-                                              "tokens": pa.array([tokens], pa.int64()),
-                                              "delta": pa.array([delta.astype(np.float32).tobytes()], pa.binary())})
+            delta = ((weights - shared.value) * np.float32(tokens)).astype(np.float32)
+            slices = np.array_split(delta, SLICES)
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()),
+                                              "tokens": pa.array([tokens] * SLICES, pa.int64()),
+                                              "delta": pa.array([x.tobytes() for x in slices], pa.binary())})
     return run
 
 
 def _sum_deltas(batches):
-    total, tokens = None, 0
+    """Per slice of the weights, the sum of the tasks' changes; holds one sum for each slice it is given."""
+    sums: dict[int, list] = {}
     for batch in batches:
-        for n, delta in zip(batch.column("tokens").to_pylist(), batch.column("delta").to_pylist()):
-            delta = np.frombuffer(delta, np.float32)
-            total = delta.astype(np.float64) if total is None else total + delta
-            tokens += n
-    if tokens:
-        yield pa.RecordBatch.from_pydict({"tokens": pa.array([tokens], pa.int64()),
+        for k, n, delta in zip(*(batch.column(c).to_pylist() for c in ("slice", "tokens", "delta"))):
+            have = sums.setdefault(k, [0, 0.0])
+            have[0] += n
+            have[1] = have[1] + np.frombuffer(delta, np.float32).astype(np.float64)
+    for k, (tokens, total) in sums.items():
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "tokens": pa.array([tokens], pa.int64()),
                                           "delta": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
@@ -292,10 +295,11 @@ def scored_texts(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, id_col
         shared = sc.broadcast(weights)
         mine = blocks.where(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == turn).select(
             "codes", "words", "classes", "sizes", "held_out")
-        deltas = (mine.mapInArrow(_train(shared), "slot int, tokens long, delta binary")
-                  .repartition(8, "slot").mapInArrow(_sum_deltas, "tokens long, delta binary")).collect()
-        if tokens := sum(r.tokens for r in deltas):
-            change = sum(np.frombuffer(r.delta, np.float32).astype(np.float64) for r in deltas) / tokens
+        deltas = (mine.mapInArrow(_train(shared), "slice int, tokens long, delta binary")
+                  .repartition("slice").mapInArrow(_sum_deltas, "slice int, tokens long, delta binary")).collect()
+        if deltas:              # together one matrix, however many tasks there were
+            change = np.concatenate([np.frombuffer(r.delta, np.float32) / r.tokens
+                                     for r in sorted(deltas, key=lambda r: r.slice)])
             weights = (weights + change.reshape(ROWS, CLASSES)).astype(np.float32)
     shared = sc.broadcast((weights, by_class))
     left = blocks.select("block", "ids", "held_out", "sizes", "codes", "words", "classes")
