@@ -51,7 +51,7 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
     """Runs of rows of about a megabyte; a longer text comes in parts, whose n-grams don't cross the cuts."""
     begin, size, held = 0, 0, []
     for i, t in enumerate(texts):
-        if size and size + len(t) > CHUNK_BYTES:
+        if held and size + len(t) > CHUNK_BYTES:
             yield begin, held
             begin, size, held = i, 0, []
         if len(t) > CHUNK_BYTES:

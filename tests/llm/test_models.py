@@ -52,6 +52,17 @@ def test_scores_do_not_depend_on_batches(spark):
     assert np.allclose(whole[1], [s[1][0] for s in single])
 
 
+def test_texts_of_over_a_megabyte_keep_their_rows():
+    rng = np.random.default_rng(3)
+    model = language_id.LanguageModel(["a", "b", "c"], rng.normal(size=(64, 3)).astype(np.float32), np.zeros(3))
+    long = "ab cd efgh " * 100_000
+    for texts in (["", long, "short"], [long, None, long, "short"], [None, "12", long, "short", "other", long, "", "end"]):
+        lang, score = model.predict(texts)
+        single = [model.predict([t]) for t in texts]
+        assert lang == [s[0][0] for s in single]
+        assert np.allclose(score, [s[1][0] for s in single])
+
+
 def unigram(rows, folds=5, out=1):
     tokens = [WORD.findall((r[1] or "").translate(LOWER)) + [None] for r in rows]
     train = [r[0] is None or zlib.crc32(str(r[0]).encode()) % folds != out for r in rows]
