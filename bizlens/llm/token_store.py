@@ -8,6 +8,10 @@ hash: a minimal perfect hash gives a key's slot, and the slot's arrays hold
 a 32-bit fingerprint, the shard, the offset in ids and the number of ids.
 ``locate`` looks keys up; ``read_ids`` reads the files.
 
+``stored_documents`` gives the library's ids of each whole text, so the file's
+added tokens are found where their strings stand in a text. For ``write_store``
+they are ordinary text unless ``added_tokens`` is set.
+
 Defined results: a null or empty text is stored as the end id alone. Of rows
 with the same id, the first (by text hash) is the one the key finds; the
 others, and rows without an id, which come first, lie in the shards too and
@@ -16,9 +20,12 @@ are listed in ``unkeyed``. A key that isn't stored is found with a chance of 2**
 
 from __future__ import annotations
 
+import functools
 import json
 import os
+import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,6 +59,47 @@ def tokenizer_encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+class WholeTexts:
+    """Ids of whole texts as the library gives them without special tokens of its own.
+
+    Texts are cut at the file's added tokens and encoded by pre-tokens between
+    them. Where such tokens also take white space, only whole words or
+    normalized text, the library encodes the texts that hold one.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        self.encoder = tokenizer_encoder(path)
+        self.library = Tokenizer.from_file(path)
+        added = self.library.get_added_tokens_decoder()
+        self.ids = {t.content: np.array([i], np.uint32) for i, t in added.items()}
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        longest_first = sorted(self.ids, key=len, reverse=True)
+        self.find = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
+
+    def encode(self, rows: list[str | None]) -> Iterator[np.ndarray]:
+        if not self.find:
+            yield from self.encoder.encode(rows)
+            return
+        cut = [self.find.split(row or "") for row in rows]       # text, token, text, ..., text
+        between = self.encoder.encode([t for c in cut if self.plain or len(c) == 1 for t in c[::2]])
+        for row, c in zip(rows, cut):
+            if len(c) == 1:
+                yield next(between)
+            elif self.plain:
+                ids = [next(between)]
+                for token in c[1::2]:
+                    ids += [self.ids[token], next(between)]
+                yield np.concatenate(ids)
+            else:
+                yield np.array(self.library.encode(row, add_special_tokens=False).ids, np.uint32)
+
+
+@functools.cache
+def whole_texts(path: str) -> WholeTexts:
+    return WholeTexts(path)
+
+
 def _hashed(keys: np.ndarray) -> np.ndarray:
     return mix64(keys.astype(np.int64).view(np.uint64))
 
@@ -60,10 +108,10 @@ def _bucket(buckets: int):
     return F.expr(f"pmod(xxhash64(doc_id), {buckets})")
 
 
-def _write(folder: str, tokenizer: str, end_id: int, dtype: str):
+def _write(folder: str, tokenizer: str, end_id: int, dtype: str, added_tokens: bool):
     def run(batches):
         shard = TaskContext.get().partitionId()
-        encoder = tokenizer_encoder(tokenizer)
+        encoder = whole_texts(tokenizer) if added_tokens else tokenizer_encoder(tokenizer)
         offset, last = 0, object()
         out = None
         try:
@@ -192,7 +240,7 @@ class TokenStore:
 
 
 def write_store(docs: DataFrame, tokenizer: str, end_id: int, vocab_size: int, id_col: str = "doc_id",
-                text_col: str = "text", folder: str | None = None) -> TokenStore:
+                text_col: str = "text", folder: str | None = None, added_tokens: bool = False) -> TokenStore:
     """Write shards and index in ascending id order. ``tokenizer``: a byte-level BPE file of the tokenizers library."""
     spark: SparkSession = docs.sparkSession
     folder = folder or shared_path(spark, "tokens")
@@ -200,7 +248,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, vocab_size: int, i
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     entries = saved(rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
-                    .mapInArrow(_write(folder, tokenizer, end_id, dtype),
+                    .mapInArrow(_write(folder, tokenizer, end_id, dtype, added_tokens),
                                 "doc_id long, shard int, offset long, n_tokens long, keyed boolean"), "entries")
     shards = sorted(entries.groupBy("shard").agg(F.sum("n_tokens").alias("n"),
                                                  F.sum(F.col("keyed").cast("long")).alias("k")).collect())
@@ -223,6 +271,6 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, vocab_size: int, i
 
 def stored_documents(docs: DataFrame, tokenizer: str, end_id: int, vocab_size: int) -> DataFrame:
     """Write the store, find every document's key through the index, and read its ids back."""
-    store = write_store(docs, tokenizer, end_id, vocab_size)
+    store = write_store(docs, tokenizer, end_id, vocab_size, added_tokens=True)
     found = store.locate(docs.select(F.col("doc_id").cast("long").alias("doc_id")))
     return store.read_ids(found.unionByName(store.unkeyed), keep_ids=False)

@@ -1,6 +1,7 @@
 """Perfect hash, byte-level BPE (10) and the token store (1)."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -17,7 +18,7 @@ from bizlens.llm.byte_bpe import ByteBPE, encoded, load_bpe, read_ranks
 from bizlens.llm.common import mix64
 from bizlens.llm.perfect_hash import PerfectHash, fingerprint
 from bizlens.llm.pretokens import parts
-from bizlens.llm.token_store import write_store
+from bizlens.llm.token_store import WholeTexts, stored_documents, write_store
 from tests.llm.conftest import hard_rows
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -109,3 +110,32 @@ def test_wide_vocabularies_take_32_bits(spark, hard):
     assert store.dtype == "<u4"
     row = store.read_ids(store.locate(hard)).first()
     assert np.frombuffer(row.ids, "<u4")[-1] == 70000
+
+
+END_TEXTS = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x\n <|endoftext|>\n\n 'll", "<|endoftext", "no token", "", None,
+             "<|endoftext|>" + "word " * 300000 + "<|endoftext|> end", "a <|endoftext|>b"]
+
+
+def test_stored_documents_are_the_librarys_encoding_of_whole_texts(spark, hard):
+    more = spark.createDataFrame([(100 + i, t) for i, t in enumerate(END_TEXTS)], "doc_id long, text string")
+    got = stored_documents(hard.select("doc_id", "text").unionByName(more), JSON, 2, 50257).collect()
+    library = Tokenizer.from_file(JSON)
+    assert library.encode(END_TEXTS[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    want = sorted((str(i), *(lambda ids: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))(
+        library.encode(t or "", add_special_tokens=False).ids + [2]))
+        for i, t in [r[:2] for r in hard_rows()] + [(100 + i, t) for i, t in enumerate(END_TEXTS)])
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == want
+
+
+@pytest.mark.parametrize("flags", [{}, {"lstrip": True}, {"rstrip": True}, {"single_word": True}, None])
+def test_added_tokens_of_other_files(tmp_path, flags):
+    file = json.load(open(JSON))
+    if flags is None:
+        file["added_tokens"] = []
+    else:
+        file["added_tokens"] += [file["added_tokens"][0] | {"id": 50257, "content": "<|endoftext|>b"}]
+        file["added_tokens"] = [t | flags for t in file["added_tokens"]]
+    (tmp_path / "own.json").write_text(json.dumps(file))
+    library = Tokenizer.from_file(str(tmp_path / "own.json"))
+    got = WholeTexts(str(tmp_path / "own.json")).encode(END_TEXTS)
+    assert [x.tolist() for x in got] == [library.encode(t or "", add_special_tokens=False).ids for t in END_TEXTS]
