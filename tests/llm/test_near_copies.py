@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -71,6 +72,21 @@ def test_components_equal_brute_force(spark, rows):
     assert sorted(map(str, got)) == sorted(map(str, brute_components(rows)))
 
 
+def test_the_pipelines_near_copies_are_those_of_five_words_and_four_fifths(spark):
+    rows = []
+    for i in range(48):         # a text, and a copy with 2 to 49 words more: similarity of 0.98 to 0.66
+        text = words(100, 300 + i)
+        rows += [(i, " ".join(text)), (100 + i, " ".join(text + words(i + 2, 400 + i)))]
+    sets = {i: shingles(t, 5) for i, t in rows}
+    copies = {100 + i for i in range(48) if 5 * len(sets[i] & sets[100 + i]) >= 4 * len(sets[i] | sets[100 + i])}
+    lost_before = {100 + i for i in range(48) if 100 * len(shingles(rows[2 * i][1]) & shingles(rows[2 * i + 1][1]))
+                   < 85 * len(shingles(rows[2 * i][1]) | shingles(rows[2 * i + 1][1]))} & copies
+    assert lost_before and len(copies) < 48
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(sets) - copies)
+
+
 def test_one_per_component(spark, hard, empty):
     kept = one_per_component(hard)
     assert kept.columns == hard.columns
