@@ -1,11 +1,14 @@
 """Operator 6: scores of texts by a hashed maximum-entropy language model.
 
-A word's probability is factored: ``P(class | context) * P(word | class)``. A
-class is what words with the same ending and size have in common, so that
-unseen words have one too; the end of a text is a class of its own. The class
-is predicted by a softmax over hashed features of the context: the word
-before, the word before that (skip), the classes of the last two words and of
-the two before them (skip). Words within a class share its probability by
+A word's probability is factored: ``P(class | context) * P(sub-class | class,
+context) * P(word | sub-class)``. A class is what words with the same ending
+and size have in common, so that unseen words have one too; the end of a text
+is a class of its own. A sub-class is a range of word hashes within a class.
+The class is predicted by a softmax over hashed features of the context: the
+word before, the word before that (skip), the classes of the last two words
+and of the two before them (skip). The sub-class is predicted by a softmax of
+its own over the class and, each hashed together with the class, the first
+three of these features. Words within a sub-class share its probability by
 their training counts, with half a count for each and for one unseen word.
 
 1. Texts are cut into blocks of about ``BLOCK_BYTES``; a block holds its
@@ -41,6 +44,9 @@ CLASSES = 32                            # the last one is the end's
 WORD_BUCKETS = 1 << 13
 PAIRS = CLASSES * CLASSES
 ROWS = 2 * WORD_BUCKETS + 2 * PAIRS     # rows of the weight matrix (16 bits, for a fast sort)
+SUBS = 32                               # sub-classes of a class; as many as classes, so one matrix holds both
+SUB_BUCKETS = 15 << 10
+ALL_ROWS = ROWS + CLASSES + 3 * SUB_BUCKETS     # with the rows of the sub-classes (16 bits too)
 ROUNDS, BATCH, RATE = 3, 2048, 0.1
 SLICES = 64                             # slices of the weights that are summed apart
 RANGE_ENTRIES = 1 << 21                 # distinct words of blocks that a hash range gets on average
@@ -98,6 +104,10 @@ def _class(size: np.ndarray, tail: np.ndarray) -> np.ndarray:
     return (mix64((tail << 2 | np.minimum(size, 3)).astype(np.uint64)) % np.uint64(CLASSES - 1)).astype(np.int64)
 
 
+def _sub(words: np.ndarray) -> np.ndarray:
+    return (words & np.uint64(SUBS - 1)).astype(np.int64)
+
+
 # ---------------------------------------------------------------- counts
 
 
@@ -119,7 +129,7 @@ def _send(ranges: int):
 
 
 def _add(batches):
-    """Per range: each block's words' counts over all blocks, and (block -1) the sums by class."""
+    """Per range: each block's words' counts over all blocks, and (block -1) the sums by class and sub-class."""
     held: list[tuple[int, bytes, bytes, bytes]] = []
     part = None
 
@@ -130,12 +140,13 @@ def _add(batches):
         uniq, pick, code = np.unique(words, return_index=True, return_inverse=True)
         total = np.bincount(code, weights=counts, minlength=len(uniq)).astype(np.int64)
         classes = np.frombuffer(b"".join(k for _, _, _, k in held), np.uint8)[pick]
-        by_class = np.stack([np.bincount(classes, weights=x, minlength=CLASSES) for x in (total, total > 0)])
+        place = classes.astype(np.int64) * SUBS + _sub(uniq)
+        by_sub = np.stack([np.bincount(place, weights=x, minlength=CLASSES * SUBS) for x in (total, total > 0)])
         blocks = [b for b, *_ in held] + [-1]
         data = [x.astype(np.int64).tobytes() for x in np.split(total[code], np.cumsum(size)[:-1])]
         yield pa.RecordBatch.from_pydict({
             "block": pa.array(blocks, pa.int64()), "part": pa.array([part] * len(blocks), pa.int32()),
-            "totals": pa.array(data + [by_class.astype(np.int64).tobytes()], pa.binary())})
+            "totals": pa.array(data + [by_sub.astype(np.int64).tobytes()], pa.binary())})
 
     for batch in batches:
         for row in batch.to_pylist():
@@ -169,6 +180,15 @@ def features(word: np.ndarray, kind: np.ndarray, sizes: np.ndarray) -> np.ndarra
                      base + PAIRS + k4 * CLASSES + k3]).astype(np.uint16)
 
 
+def sub_features(at: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Rows that each token's class, and its context together with the class, switch on (4 x tokens)."""
+    rows = [ROWS + kind.astype(np.int64)]
+    for i, row in enumerate(at[:3]):
+        mixed = mix64(row.astype(np.uint64) * np.uint64(CLASSES) + kind.astype(np.uint64)) % np.uint64(SUB_BUCKETS)
+        rows.append(mixed.astype(np.int64) + (ROWS + CLASSES + i * SUB_BUCKETS))
+    return np.stack(rows).astype(np.uint16)
+
+
 def class_log_probabilities(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
     x = weights[at[0]]
     for row in at[1:]:
@@ -201,7 +221,7 @@ def _unpacked(row: dict):
 def _train(shared):
     def run(batches):
         weights, tokens = shared.value.copy(), 0
-        squares = np.zeros(ROWS, np.float32)
+        squares = np.zeros(ALL_ROWS, np.float32)
         for batch in batches:
             for row in batch.to_pylist():
                 word, kind, _, sizes = _unpacked(row)
@@ -210,6 +230,9 @@ def _train(shared):
                 for i in range(0, len(train), BATCH):
                     mine = train[i:i + BATCH]
                     update(weights, squares, at[:, mine], kind[mine].astype(np.int64))
+                    mine = mine[kind[mine] < CLASSES - 1]       # the end's class has one word
+                    if len(mine):
+                        update(weights, squares, sub_features(at[:, mine], kind[mine]), _sub(word[mine]))
                 tokens += len(train)
         if tokens:
             delta = ((weights - shared.value) * np.float32(tokens)).astype(np.float32)
@@ -238,20 +261,23 @@ def _score(shared):
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         if not left.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, _TYPES)})
-        weights, by_class = shared.value
+        weights, by_sub = shared.value
         row = left.to_pylist()[0]
         parts = sorted(zip(right.column("part").to_pylist(), right.column("totals").to_pylist()))
         total = np.frombuffer(b"".join(x for _, x in parts), np.int64)
         word, kind, code, sizes = _unpacked(row)
-        n, v = (int(x) for x in by_class.sum(axis=1))
+        n, v = (int(x) for x in by_sub.sum(axis=(1, 2)))
         base = np.log10((total + 0.5) / (n + 0.5 * (v + 1)))
         classes = np.frombuffer(row["classes"], np.uint8)
-        within = np.log10((total + 0.5) / (by_class[0] + 0.5 * (by_class[1] + 1))[classes])
+        share = (by_sub[0] + 0.5 * (by_sub[1] + 1))[classes, _sub(np.frombuffer(row["words"], np.uint64))]
+        within = np.log10((total + 0.5) / share)
         at = features(word, kind, sizes)
         chosen = np.empty(len(code))
         for i in range(0, len(code), 16 * BATCH):
             j = min(i + 16 * BATCH, len(code))
             chosen[i:j] = class_log_probabilities(weights, at[:, i:j])[np.arange(j - i), kind[i:j]]
+            sub = class_log_probabilities(weights, sub_features(at[:, i:j], kind[i:j]))
+            chosen[i:j] += np.where(kind[i:j] < CLASSES - 1, sub[np.arange(j - i), _sub(word[i:j])], 0.0)
         first = np.cumsum(sizes) - sizes
         sums = lambda x: np.add.reduceat(x, first)
         known = sums((total > 0)[code].astype(np.int64))
@@ -285,12 +311,14 @@ def scored_texts(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, id_col
         _send(ranges), "part int, block long, words binary, counts binary, classes binary")
     totals = saved(sent.repartition("part").sortWithinPartitions("part").mapInArrow(
         _add, "block long, part int, totals binary"), "totals")
-    by_class = np.zeros((2, CLASSES), np.int64)
+    by_sub = np.zeros((2, CLASSES, SUBS), np.int64)
     for r in totals.where("block = -1").select("totals").toLocalIterator():       # one small row a range
-        by_class += np.frombuffer(r.totals, np.int64).reshape(2, CLASSES)
+        by_sub += np.frombuffer(r.totals, np.int64).reshape(2, CLASSES, SUBS)
 
-    weights = np.zeros((ROWS, CLASSES), np.float32)         # the classes' shares, before any context is learned
-    weights[2 * WORD_BUCKETS:2 * WORD_BUCKETS + PAIRS] = np.log((by_class[0] + 1) / (by_class[0].sum() + CLASSES))
+    weights = np.zeros((ALL_ROWS, CLASSES), np.float32)     # the shares, before any context is learned
+    by_class = by_sub[0].sum(axis=1)
+    weights[2 * WORD_BUCKETS:2 * WORD_BUCKETS + PAIRS] = np.log((by_class + 1) / (by_class.sum() + CLASSES))
+    weights[ROWS:ROWS + CLASSES] = np.log((by_sub[0] + 1) / (by_class + SUBS)[:, None])
     for turn in range(ROUNDS):
         shared = sc.broadcast(weights)
         mine = blocks.where(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == turn).select(
@@ -300,8 +328,8 @@ def scored_texts(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, id_col
         if deltas:              # together one matrix, however many tasks there were
             change = np.concatenate([np.frombuffer(r.delta, np.float32) / r.tokens
                                      for r in sorted(deltas, key=lambda r: r.slice)])
-            weights = (weights + change.reshape(ROWS, CLASSES)).astype(np.float32)
-    shared = sc.broadcast((weights, by_class))
+            weights = (weights + change.reshape(ALL_ROWS, CLASSES)).astype(np.float32)
+    shared = sc.broadcast((weights, by_sub))
     left = blocks.select("block", "ids", "held_out", "sizes", "codes", "words", "classes")
     return (left.groupBy("block").cogroup(totals.where("block >= 0").groupBy("block"))
             .applyInArrow(_score(shared), "doc_id long, held_out boolean, n_tokens long, n_known long, "

@@ -95,6 +95,25 @@ def test_class_probabilities_sum_to_one():
     assert np.allclose(np.exp(maxent_lm.class_log_probabilities(w, at)).sum(axis=1), 1, atol=1e-5)
 
 
+def test_a_word_of_its_class_depends_on_the_context(spark):
+    rows = [(i, f"{'left bread' if i % 2 else 'right knead'} end") for i in range(4000)]     # one class: both end in "ead"
+    tries = ["left bread end", "left knead end", "right knead end", "right bread end"]
+    out = [i for i in range(10_000, 10_100) if zlib.crc32(str(i).encode()) % 5 == 1][:4]
+    docs = spark.createDataFrame(rows + list(zip(out, tries)), "doc_id long, text string").repartition(4)
+    score = {r.doc_id: r.score for r in maxent_lm.scored_texts(docs).where("held_out").collect()}
+    good, swapped, good2, swapped2 = (score[i] for i in out)
+    assert good > swapped + 0.3 and good2 > swapped2 + 0.3
+
+
+def test_sub_class_probabilities_sum_to_one():
+    r = np.random.default_rng(2)
+    w = r.normal(size=(maxent_lm.ALL_ROWS, maxent_lm.SUBS)).astype(np.float32)
+    kind = r.integers(0, 31, 500).astype(np.uint8)
+    at = maxent_lm.sub_features(maxent_lm.features(r.integers(0, 2**63, 500).astype(np.uint64), kind, np.array([500])), kind)
+    assert at.min() >= maxent_lm.ROWS and maxent_lm.ALL_ROWS <= 1 << 16
+    assert np.allclose(np.exp(maxent_lm.class_log_probabilities(w, at)).sum(axis=1), 1, atol=1e-5)
+
+
 def test_context_stays_within_a_text():
     word, kind = np.arange(6, dtype=np.uint64), np.zeros(6, np.uint8)
     at = maxent_lm.features(word, kind, np.array([3, 3]))
