@@ -20,7 +20,10 @@ from bizlens.llm.jaccard_join import jaccard_components
 from bizlens.llm.kd_shards import kd_shards
 from bizlens.llm.line_dedup import dedup_lines
 from bizlens.llm.maxent_lm import scored_texts
+from bizlens.llm.phrase_mining import collocations
+from bizlens.llm.prefix_trie import conversation_trie
 from bizlens.llm.token_store import stored_documents
+from bizlens.llm.weighted_mix import mix_plan
 from bizlens.sources.tables import read_table
 
 
@@ -92,10 +95,27 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents(spark, sf_dir, "doc_id", "text"), ranks, keep_ids=False)
 
 
+def op11_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mix_plan(documents(spark, sf_dir, "doc_id", "text", "source"))
+    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir, "text", "lang"))
+
+
 QUERIES = {f.__name__: importable(f) for f in (
     op1_token_store, op2_decontaminate, op3_adaptive_rules, op4_language_id, op5_jaccard_join, op6_maxent_lm,
-    op7_kd_shards, op8_line_dedup, op9_knn_quality, op10_byte_bpe)}
+    op7_kd_shards, op8_line_dedup, op9_knn_quality, op10_byte_bpe, op11_weighted_mix, op12_prefix_trie,
+    op13_collocations)}
 QUERIES["pipeline"] = importable(corpus_pipeline.run)
 ORACLE_SQL: dict[str, str] = {"op2_decontaminate": sql.decontaminate_sql(),
                               "op3_adaptive_rules": sql.adaptive_rules_sql(),
-                              "op8_line_dedup": sql.line_dedup_sql()}
+                              "op8_line_dedup": sql.line_dedup_sql(),
+                              "op11_weighted_mix": sql.weighted_mix_sql(),
+                              "op12_prefix_trie": sql.prefix_trie_sql(),
+                              "op13_collocations": sql.collocations_sql()}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from bizlens.llm.adaptive_rules import LEAST, RATES, SPREAD
+from bizlens.llm.adaptive_rules import LEAST as LEAST_GROUP
+from bizlens.llm.adaptive_rules import RATES, SPREAD
 from bizlens.llm.decontaminate import DENOMINATOR, NUMERATOR, REACH, WORDS
 from bizlens.llm.line_dedup import MIN_SITES
+from bizlens.llm.phrase_mining import INSIDE, LEAST, LONGEST, SCALE, TOP
+from bizlens.llm.weighted_mix import BUDGET, EPOCHS, SEED, WEIGHTS
 
 
 def adaptive_rules_sql() -> str:
@@ -42,8 +45,8 @@ f AS (SELECT v.doc_id, bool_and(v.v BETWEEN
           t.q25 - {SPREAD} * (t.q75 - t.q25) - slack AND t.q75 + {SPREAD} * (t.q75 - t.q25) + slack) AS ok
       FROM v JOIN (
         SELECT tg.lang, tg.source, tg.rate,
-               CASE WHEN tg.total >= {LEAST} THEN tg.q25 WHEN tl.total >= {LEAST} THEN tl.q25 ELSE ta.q25 END AS q25,
-               CASE WHEN tg.total >= {LEAST} THEN tg.q75 WHEN tl.total >= {LEAST} THEN tl.q75 ELSE ta.q75 END AS q75
+               CASE WHEN tg.total >= {LEAST_GROUP} THEN tg.q25 WHEN tl.total >= {LEAST_GROUP} THEN tl.q25 ELSE ta.q25 END AS q25,
+               CASE WHEN tg.total >= {LEAST_GROUP} THEN tg.q75 WHEN tl.total >= {LEAST_GROUP} THEN tl.q75 ELSE ta.q75 END AS q75
         FROM tg JOIN tl ON tg.rate = tl.rate AND tg.lang IS NOT DISTINCT FROM tl.lang
         JOIN ta ON tg.rate = ta.rate) t
       ON v.rate = t.rate AND v.lang IS NOT DISTINCT FROM t.lang AND v.source IS NOT DISTINCT FROM t.source
@@ -92,3 +95,97 @@ m AS (SELECT l.doc_id, l.pos, l.line, b.line IS NOT NULL AND (l.doc_id, l.pos) <
       FROM l LEFT JOIN b ON trim(l.line, ' ') = b.line)
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text,
        count(*) FILTER (gone) AS n_removed_lines FROM m GROUP BY doc_id"""
+
+
+def weighted_mix_sql() -> str:
+    weight = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS))
+    epochs = ", ".join(map(str, range(EPOCHS)))
+    return rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+        md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r
+      FROM d GROUP BY source),
+w AS (SELECT *, {EPOCHS} * source_size AS cap, CASE (r - 1) % {len(WEIGHTS)} {weight} END AS w FROM s),
+b AS (SELECT CAST(sum(source_size) AS BIGINT) * {BUDGET[0]} / {BUDGET[1]} AS share,
+        CAST(sum(source_size) AS BIGINT) * {BUDGET[0]} // {BUDGET[1]} AS words, sum(w) AS all_w FROM w),
+v AS (SELECT *, cap / w AS level, CAST(sum(cap) OVER o AS BIGINT) AS caps, CAST(sum(w) OVER o AS BIGINT) AS ws,
+        row_number() OVER o AS place FROM w WINDOW o AS (ORDER BY cap / w, r ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT coalesce(max(place), 0) AS place, coalesce(max(caps), 0) AS caps, coalesce(max(ws), 0) AS ws
+      FROM v, b WHERE caps + level * CAST(all_w - ws AS BIGINT) <= share),
+t AS (SELECT source, source_size, r, CASE WHEN v.place <= f.place THEN CAST(cap AS DOUBLE)
+        ELSE w * ((share - f.caps) / CAST(all_w - f.ws AS BIGINT)) END AS target FROM v, f, b),
+q AS (SELECT row_number() OVER () AS row, doc_id, d.source, key, size, source_size, r, target,
+        CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT row, key, size, r, epoch, CASE WHEN target > 0 THEN (upto + source_size * epoch) / target ELSE 0.0 END AS finish
+      FROM q, (SELECT unnest([{epochs}]) AS epoch)),
+m AS (SELECT row, size, sum(size) OVER (ORDER BY finish, r, key, epoch ROWS UNBOUNDED PRECEDING) AS served FROM c),
+k AS (SELECT row, sum(size) AS taken FROM m, b WHERE served <= words GROUP BY row)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, CAST(target AS DOUBLE) AS target,
+       CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM q LEFT JOIN k USING (row)"""
+
+
+def prefix_trie_sql() -> str:
+    # crc32 of the decimal id, a bit at a time (the reflected polynomial of ISO 3309)
+    bits = "list_reduce(list_prepend(xor(z, y), range(0, 8)), lambda b, i: xor(b >> 1, (b & 1) * 3988292384::BIGINT))"
+    crc = (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), "
+           f"lambda x: CAST(ascii(x) AS BIGINT))), lambda z, y: {bits}), 4294967295::BIGINT)")
+    return rf"""
+WITH t AS (SELECT conv_id, turn, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w,
+        md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d
+      FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({{'d': d, 'w': w}} ORDER BY turn NULLS FIRST, d) AS ts FROM t GROUP BY conv_id),
+h AS (SELECT *, {crc} % 4 AS h FROM c),
+b AS (SELECT h.conv_id, list_concat(coalesce(list_slice(o.ts, 1, h), []), list_slice(h.ts, h + 1, len(h.ts))) AS ts
+      FROM h LEFT JOIN c o ON o.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, len(ts) AS n, k AS depth, coalesce(ts[k].w, 0) AS w,
+        md5(array_to_string(list_transform(list_slice(ts, 1, k), lambda x: x.d), '')) AS node,
+        CASE WHEN k > 0 THEN md5(array_to_string(list_transform(list_slice(ts, 1, k - 1), lambda x: x.d), '')) END AS up
+      FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS k FROM b)),
+n AS (SELECT node, up, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+        sha256(coalesce(string_agg(CASE WHEN n = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), ''))
+          AS ends_sha256
+      FROM p GROUP BY node, up, depth),
+k AS (SELECT up, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+e AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children, CASE WHEN k.up IS NULL THEN 1 ELSE 0 END AS leaf,
+        (n_convs - 1) * w AS own FROM n LEFT JOIN k ON k.up = n.node),
+s AS (SELECT p.node, sum(leaf) AS n_leaves, sum(own) AS saved_tokens
+      FROM e JOIN p ON p.conv_id = e.conv_id AND p.depth <= e.depth GROUP BY p.node)
+SELECT e.conv_id, e.depth, u.conv_id AS parent_conv_id, e.n_convs, e.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, e.ends_sha256
+FROM e JOIN s ON s.node = e.node LEFT JOIN n u ON u.node = e.up"""
+
+
+def collocations_sql() -> str:
+    share, of = INSIDE
+    lengths = range(2, LONGEST + 1)
+    grams = " UNION ALL ".join(f"SELECT lang, [{', '.join(f'w{j}' for j in range(k))}] AS w FROM g WHERE w{k - 1} IS NOT NULL"
+                               for k in range(1, LONGEST + 1))
+    next_words = ", ".join(f"lead(w, {j}) OVER o AS w{j}" for j in range(LONGEST))
+    key = "lang || chr(10) || array_to_string({}, ' ')".format      # one key, so that two look-ups are not joined by lang
+    cuts = " UNION ALL ".join(f"SELECT lang, w, f, {k} AS cut, {key(f'w[:{k}]')} AS head, {key(f'w[{k + 1}:]')} AS rest "
+                              f"FROM c WHERE len(w) > {k}" for k in range(1, LONGEST))
+    inner = " UNION ALL ".join(f"SELECT lang, f, w[{i}:{i + n - 1}] AS w FROM c WHERE len(w) > {n} AND len(w) >= {i + n - 1}"
+                               for n in lengths for i in range(1, LONGEST - n + 2))
+    return rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+q AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+t AS (SELECT lang, piece, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM q),
+g AS (SELECT lang, {next_words} FROM t WINDOW o AS (PARTITION BY piece ORDER BY i)),
+f AS MATERIALIZED (SELECT lang, w, {key('w')} AS key, count(*) AS f FROM ({grams}) GROUP BY lang, w),
+z AS (SELECT lang, sum(f) AS n FROM f WHERE len(w) = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT * FROM f WHERE f >= {LEAST} AND len(w) > 1),
+s AS (SELECT x.lang, x.w, x.f AS a, cut, l.f AS l, r.f AS r,
+        ({SCALE}::HUGEINT * x.f) // (l.f + r.f) AS score
+      FROM ({cuts}) x JOIN f l ON l.key = x.head
+      JOIN f r ON r.key = x.rest),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, cut) = 1),
+o AS (SELECT lang, w, max(f) AS longer FROM ({inner}) GROUP BY lang, w),
+k AS (SELECT m.*, array_to_string(m.w, ' ') AS phrase FROM m LEFT JOIN o USING (lang, w)
+      WHERE longer IS NULL OR {of}::HUGEINT * longer < {share}::HUGEINT * a)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM k JOIN z ON z.lang = k.lang QUALIFY rank <= {TOP}"""
