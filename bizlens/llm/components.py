@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bizlens.llm.common import saved
+from bizlens.llm.common import drop_saved, saved
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -29,8 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
                  .distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        e = saved(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                  .unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, e = e, saved(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                       .unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop_saved(old)
         after = _digest(e)
         if after == before:
             roots = e.select(F.col("v").alias("node"), F.col("v").alias("root"))

@@ -12,11 +12,15 @@ least 0.85, and get the smallest id they reach by links.
 4. What is then still in different components is compared in full, in bounded
    squares of a bucket: a pair whose sketches' Hamming distance already shows
    too many different shingles is passed over, the rest is verified.
-5. Verification reads both whole texts and compares their exact sets.
+5. Every pair is first tried by its dense sketches, a bit a shingle: their
+   Hamming distance never exceeds the sets' difference. Only for what is left
+   both whole texts are read and their exact sets compared; a text that is
+   compared with many others is sent once for up to ``FAN`` of them.
 
 Defined results: a null or blank text has no shingles, size 0, and is alone
 in its component. Rows with the same id and repeated rows each get a row. Rows
-without an id take part; a component of such rows only has a null id.
+without an id take part, but give a component neither its id nor its first
+document, unless it has such rows only: its id is null then.
 """
 
 from __future__ import annotations
@@ -28,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bizlens.llm.common import byte_rows, chunked, free_name, saved
+from bizlens.llm.common import byte_rows, chunked, drop_saved, free_name, saved
 from bizlens.llm.components import components
-from bizlens.llm.jaccard_sketch import (FULL, LINK, WORDS, Bands, block_keys, class_of, parity_bits,
-                                        running_xor, shingle_sets)
+from bizlens.llm.jaccard_sketch import (FULL, LINK, WORDS, Bands, block_keys, class_of, distance, folded,
+                                        parity_bits, running_xor, shingle_sets)
 
 SQUARE = 512            # classes on a side of a square of comparisons
-SKETCH_WORDS = 64       # 64-bit words of a dense sketch
+FAN = 256               # texts that are compared with one copy of another, on average at most
 
 
 def _sets(batches: Iterator[pa.RecordBatch], column: str, words: int):
@@ -66,9 +70,9 @@ def _emit(words: int, bands: Bands):
                 if c in done:
                     continue
                 done.add(c)
-                folded = running_xor(s)
+                running = running_xor(s)
                 for band, _up in bands.homes(len(s)):
-                    k = block_keys(s, folded, band, *bands.blocks(band))
+                    k = block_keys(s, running, band, *bands.blocks(band))
                     keys.append(k)
                     owner.append(np.full(len(k), c, dtype=np.int64))
             if keys:
@@ -102,15 +106,34 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], names=["key", "c"])
 
 
+def _near(link: int, full: int):
+    """The pairs whose sketches' Hamming distance leaves a link possible."""
+    def run(batches):
+        for batch in batches:
+            size = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            bits = [[np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("bits_a", "bits_b")]
+            far = np.array([distance(x, y) for x, y in zip(*bits)], dtype=np.int64)
+            ok = (full + link) * far <= (full - link) * size
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+    return run
+
+
 def _linked(words: int, link: int, full: int):
+    """Of rows sorted by (a, part), a's own row (b is null) first: the pairs whose whole texts' sets are linked."""
     def run(batches):
+        lead, mine = None, None
         for batch in batches:
-            ta, tb = byte_rows(batch.column("text_a")), byte_rows(batch.column("text_b"))
-            ok = np.zeros(len(ta), dtype=bool)
-            for i, j in chunked([x + y for x, y in zip(ta, tb)]):
-                for at, (x, y) in enumerate(zip(shingle_sets(ta[i:j], words), shingle_sets(tb[i:j], words)), i):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok[at] = full * both >= link * (len(x) + len(y) - both)
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            texts = byte_rows(batch.column("text"))
+            ok = np.zeros(len(a), dtype=bool)
+            for i, j in chunked(texts):
+                for at, s in enumerate(shingle_sets(texts[i:j], words), i):
+                    if b[at] is None:
+                        lead, mine = a[at], s
+                        continue
+                    assert a[at] == lead
+                    both = len(np.intersect1d(mine, s, assume_unique=True))
+                    ok[at] = full * both >= link * (len(mine) + len(s) - both)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
     return run
 
@@ -118,8 +141,9 @@ def _linked(words: int, link: int, full: int):
 def _sketches(words: int):
     def run(batches):
         for part, sets in _sets(batches, "text", words):
-            bits = [parity_bits(s, SKETCH_WORDS).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column("c"), pa.array(bits, pa.binary())], names=["c", "bits"])
+            bits = [parity_bits(s).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column("c"), part.column("n"), pa.array(bits, pa.binary())],
+                                             names=["c", "n", "bits"])
     return run
 
 
@@ -129,7 +153,9 @@ def _square(link: int, full: int):
         for group in _groups(batches, ("key", "left", "right")):
             c, comp, n = (group.column(x).to_numpy() for x in ("c", "comp", "n"))
             part = group.column("part").to_numpy()
-            bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(len(c), -1)
+            bits = [np.frombuffer(x, np.uint64) for x in group.column("bits").to_pylist()]
+            width = min(len(x) for x in bits)
+            bits = np.stack([folded(x, width) for x in bits])
             left, right = group.column("left")[0].as_py(), group.column("right")[0].as_py()
             rows, cols = np.flatnonzero(part == left), np.flatnonzero(part == right)
             a, b = [], []
@@ -188,11 +214,22 @@ class JaccardJoin:
         return saved(keys.repartition("key").sortWithinPartitions("key", "c")
                      .mapInArrow(_shared, "key long, c long"), "buckets")
 
+    def near(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+        """The pairs ``(a, b)`` that their sketches allow to be linked."""
+        a, b = (sketches.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+                for x in "ab")
+        return saved(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
+                     .mapInArrow(_near(self.link, self.full), "a long, b long"), "pairs")
+
     def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """The pairs ``(a, b)`` whose whole texts' sets are linked."""
-        a = texts.select(F.col("c").alias("a"), F.col("text").alias("text_a"))
-        b = texts.select(F.col("c").alias("b"), F.col("text").alias("text_b"))
-        return saved(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "text_a", "text_b")
+        """The pairs ``(a, b)`` whose whole texts' sets are linked; ``pairs`` is a saved table."""
+        fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("parts"))
+        leads = (fan.join(texts.hint("merge"), fan.a == texts.c)
+                 .select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
+                         F.lit(None).cast("long").alias("b"), "text"))
+        others = (pairs.join(fan.hint("merge"), "a").join(texts.hint("merge"), F.col("b") == texts.c)
+                  .select("a", F.expr("pmod(xxhash64(b), parts)").alias("part"), "b", "text"))
+        return saved(leads.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", "b")
                      .mapInArrow(_linked(self.words, self.link, self.full), "a long, b long"), "links")
 
     def star(self, members: DataFrame, turn: int) -> DataFrame:
@@ -206,34 +243,34 @@ class JaccardJoin:
         return (members.join(lead, "key").where((F.col("comp") != F.col("lcomp")) & near)
                 .select(F.least("c", "lc").alias("a"), F.greatest("c", "lc").alias("b")).distinct())
 
-    def rest(self, members: DataFrame, texts: DataFrame) -> DataFrame:
+    def rest(self, members: DataFrame, sketches: DataFrame) -> DataFrame:
         """Pairs of classes of a bucket in different components that their sketches allow to be linked."""
         open_ = (members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                             F.count("*").alias("size")).where("lo != hi and size > 2")
                  .select("key", F.ceil(F.col("size") / SQUARE).alias("parts")))
         m = members.join(open_, "key").withColumn("part", F.expr("pmod(xxhash64(c), parts)"))
-        sketch = texts.join(m.select("c").distinct(), "c", "left_semi").select("c", "text").mapInArrow(
-            _sketches(self.words), "c long, bits binary")
         m = (m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
              .select("key", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"),
                      "part", "c", "comp", "n"))
         keys = ["key", "left", "right"]
-        return (m.join(sketch, "c").repartition(*keys).sortWithinPartitions(*keys)
+        return (m.join(sketches.select("c", "bits").hint("merge"), "c").repartition(*keys).sortWithinPartitions(*keys)
                 .mapInArrow(_square(self.link, self.full), "a long, b long").distinct())
 
     def run(self) -> DataFrame:
         """``doc_id, n_shingles, component_id`` of every row, its text's hash, and whether it is its component's first."""
         rows = self.classified()
+        first = F.struct(F.col("id").isNull().alias("no_id"), "id", "th")
         classes = (rows.where("c is not null").groupBy("c")
-                   .agg(F.min(F.struct("id", "th")).alias("r"), F.first("n").alias("n")))
+                   .agg(F.min(first).alias("r"), F.first("n").alias("n")))
         buckets = self.buckets()
         found = saved(classes.join(buckets.select("c").distinct(), "c", "left_semi")
                       .select("c", "n", "r.id", "r.th"), "classes")
         # both sides grow with the table: joined by a shuffle at every size
         texts = saved(self.docs.join(found.hint("merge"), self.docs.id.eqNullSafe(found.id) & (self.docs.th == found.th))
                       .select("c", "n", "text").dropDuplicates(["c"]), "texts")
+        sketches = saved(texts.mapInArrow(_sketches(self.words), "c long, n long, bits binary"), "sketches")
         members = buckets.join(found.select("c", "n").hint("merge"), "c")
-        links = None
+        links, inner = None, [buckets, found, texts, sketches]
         for turn in range(3):
             if links is None:
                 now = members.withColumn("comp", F.col("c"))
@@ -241,10 +278,13 @@ class JaccardJoin:
                 root = components(links)
                 now = (members.join(root, members.c == root.node, "left")
                        .select("key", "c", "n", F.coalesce("root", "c").alias("comp")))
-            pairs = self.star(now, turn) if turn < 2 else self.rest(now, texts)
+            pairs = self.near(self.star(now, turn) if turn < 2 else self.rest(now, sketches), sketches)
             more = self.verified(pairs, texts)
+            inner += [pairs, more]
             links = more if links is None else links.unionByName(more)
-        root = components(links)
+        root = saved(components(links), "roots")
+        drop_saved(*inner)
+        self.inner = [rows, root]           # what the result still reads
         classes = (classes.join(root, F.col("c") == root.node, "left")
                    .select("c", F.col("r").alias("r"), F.coalesce("root", "c").alias("root")))
         lowest = classes.groupBy("root").agg(F.min("r").alias("first"))
@@ -252,7 +292,8 @@ class JaccardJoin:
         return rows.join(classes, "c", "left").select(
             F.col("id").alias("doc_id"), F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"),
             F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("component_id"),
-            (F.col("c").isNull() | F.struct("id", "th").eqNullSafe(F.col("first"))).alias("is_first"))
+            (F.col("c").isNull() | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))))
+            .alias("is_first"))
 
 
 def jaccard_components(docs: DataFrame, **options) -> DataFrame:
@@ -261,11 +302,13 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
 
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The first document (lowest id, then text hash) of each component, with all its columns.
+    """The first document (lowest id, then text hash; no id last) of each component, with all its columns.
 
     Rows that share id and text are one document.
     """
-    found = jaccard_components(docs, id_col=id_col, text_col=text_col, **options).where("is_first")
+    join = JaccardJoin(docs, id_col=id_col, text_col=text_col, **options)
+    found = saved(join.run().where("is_first").select("doc_id", "text_hash").distinct(), "firsts")
+    drop_saved(*join.inner)
     key = free_name(docs, "_row")
     named = docs.withColumn(key, F.struct(F.col(id_col).cast("long").alias("id"),
                                           F.xxhash64(F.col(text_col).cast("string")).alias("th")))

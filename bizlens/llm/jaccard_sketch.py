@@ -16,6 +16,7 @@ from bizlens.llm.common import mix64, word_table
 LINK, FULL = 85, 100            # two sets link when FULL * |A and B| >= LINK * |A or B|
 WORDS = 4                       # words in a shingle
 BAND_RATIO = 1.5                # growth of the size bands
+SKETCH_WORDS = (4, 512)         # fewest and most 64-bit words of a dense sketch
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93],
                  dtype=np.uint64)
 
@@ -109,7 +110,22 @@ def running_xor(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def parity_bits(s: np.ndarray, words: int) -> np.ndarray:
-    """A dense parity sketch of ``words`` 64-bit words."""
+def parity_bits(s: np.ndarray, words: int | None = None) -> np.ndarray:
+    """A dense parity sketch of ``words`` 64-bit words.
+
+    By default about a bit a shingle: a power of two of words within ``SKETCH_WORDS``.
+    """
+    words = words or min(max(SKETCH_WORDS[0], 1 << max(0, (len(s) - 1) // 64).bit_length()), SKETCH_WORDS[1])
     at = (s % np.uint64(words * 64)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=words * 64) & 1, bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The sketch that ``parity_bits`` would make with fewer words: positions are hashes modulo the width."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> int:
+    """Hamming distance of two sketches at the narrower one's width."""
+    words = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())

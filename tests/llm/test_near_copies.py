@@ -11,7 +11,7 @@ import pytest
 from bizlens.llm.components import components
 from bizlens.llm.decontaminate import REACH, contaminated, without_benchmark
 from bizlens.llm.jaccard_join import jaccard_components, one_per_component
-from bizlens.llm.jaccard_sketch import Bands, block_keys, parity_bits, running_xor, shingle_sets
+from bizlens.llm.jaccard_sketch import Bands, block_keys, distance, parity_bits, running_xor, shingle_sets
 from bizlens.llm.line_dedup import dedup_lines
 from tests.llm.conftest import hard_rows, words
 
@@ -226,3 +226,29 @@ def test_lines_equal_brute_force(spark, hard, empty):
 
 def test_reach_is_small():
     assert REACH == 2
+
+
+def test_sketches_of_any_widths_bound_the_difference():
+    r = np.random.default_rng(5)
+    for n, m in ((1, 3), (200, 260), (300, 5000), (40000, 36000)):
+        a, b = (np.unique(r.integers(0, 2**63, k, dtype=np.uint64)) for k in (n, m))
+        b = np.unique(np.concatenate([b, a[: n // 2]]))
+        assert distance(parity_bits(a), parity_bits(b)) <= len(np.setxor1d(a, b))
+    assert distance(parity_bits(a), parity_bits(a)) == 0
+
+
+def test_a_copy_without_an_id_takes_no_component(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, text), (7, text), (None, text), (None, "alone in here without any id at all")]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((str(r.doc_id), str(r.component_id), r.is_first) for r in got.collect()) == [
+        ("5", "5", True), ("7", "5", False), ("None", "5", False), ("None", "None", True)]
+
+
+def test_a_text_with_many_near_copies_is_sent_in_parts(spark, monkeypatch):
+    import bizlens.llm.jaccard_join as jj
+    monkeypatch.setattr(jj, "FAN", 3)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1:])) for i in range(20)] + [(99, "far away from all of it")]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {**dict.fromkeys(range(20), 0), 99: 99}
