@@ -2,16 +2,19 @@
 
 Every operator is one or a few aggregates whose output is bounded by the
 number of groups or columns, never by the number of rows. Quantiles are
-exact and distributed: rounds of approximate splitters and exact counts narrow
-each requested rank to one value; only splitters and counts leave the executors.
+exact and distributed: radix selection on order-preserving 64-bit keys finds
+all ranks of all columns in four passes; only one row a rank leaves the executors.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +36,10 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def row_value_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """A2: rows per distinct combination of ``cols`` among rows without nulls."""
+    """A2: rows per distinct combination of ``cols`` among rows without nulls.
+
+    The result holds every distinct row in order, so whole rows are sorted in any case.
+    """
     cols = list(cols or df.columns)
     return df.dropna("any", subset=cols).groupBy(*cols).count().orderBy(F.desc("count"), *cols)
 
@@ -73,11 +79,28 @@ def null_profile(df: DataFrame) -> DataFrame:
                       F.col("_rows").alias("rows"))
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows, distinct rows and duplicates; nulls compare equal."""
-    groups = df.groupBy(*df.columns).count()
-    return groups.agg(F.sum("count").alias("rows"), F.count(F.lit(1)).alias("distinct_rows")) \
-                 .withColumn("duplicates", F.col("rows") - F.col("distinct_rows"))
+def row_fingerprint(cols: Sequence[str]) -> Column:
+    """128 bits of a row: two seeded hashes of its cells and of which of them are null."""
+    nulls = F.array(*[F.col(c).isNull() for c in cols])
+    return F.struct(F.xxhash64(F.lit(0x5EED), nulls, *cols), F.xxhash64(*cols, nulls, F.lit(0xFACE)))
+
+
+def duplicate_rows(df: DataFrame, fingerprint: Column | None = None) -> DataFrame:
+    """Rows, distinct rows and duplicates; nulls compare equal.
+
+    What is shuffled of a row without a double is its 128-bit fingerprint; rows
+    whose fingerprint occurs again are compared whole, which also tells rows
+    apart that share one.
+    """
+    cols = df.columns
+    rows = df.withColumn("_fp", row_fingerprint(cols) if fingerprint is None else fingerprint)
+    counts = rows.groupBy("_fp").count()
+    single = counts.where("count = 1").agg(F.count("*").alias("rows"), F.count("*").alias("distinct_rows"))
+    again = counts.where("count > 1").select("_fp")
+    groups = rows.join(again, "_fp", "left_semi").groupBy(*cols).count()
+    several = groups.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.count("*").alias("distinct_rows"))
+    return (single.unionByName(several).agg(F.sum("rows").alias("rows"), F.sum("distinct_rows").alias("distinct_rows"))
+            .withColumn("duplicates", F.col("rows") - F.col("distinct_rows")))
 
 
 def schema_profile(df: DataFrame) -> DataFrame:
@@ -91,12 +114,12 @@ def schema_profile(df: DataFrame) -> DataFrame:
         F.col("_rows").alias("rows"))
 
 
-def type_counts(df: DataFrame) -> dict[str, int]:
-    """A10: columns per type (schema metadata only, no job)."""
-    out: dict[str, int] = {}
-    for f in df.schema.fields:
-        out[f.dataType.simpleString()] = out.get(f.dataType.simpleString(), 0) + 1
-    return out
+def type_counts(df: DataFrame) -> DataFrame:
+    """A10: columns per type beside the table's number of rows (dtypes and shape)."""
+    types = sorted(f.dataType.simpleString() for f in df.schema.fields)
+    pairs = ", ".join(f"'{t}', {types.count(t)}" for t in sorted(set(types)))
+    return df.agg(F.count(F.lit(1)).alias("rows")).select(
+        F.expr(f"stack({len(set(types))}, {pairs}) AS (data_type, columns)"), "rows")
 
 
 def first_rows(df: DataFrame, n: int = 5, order_by: str = "sme_id") -> DataFrame:
@@ -107,136 +130,144 @@ def first_rows(df: DataFrame, n: int = 5, order_by: str = "sme_id") -> DataFrame
 # ------------------------------------------------------------------ exact quantiles
 
 
-def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    parts = F.array(*[F.struct(F.lit(i).alias("cid"), F.col(c).cast("double").alias("v"))
-                      for i, c in enumerate(cols)])
-    return (df.select(F.explode(parts).alias("s")).select("s.cid", "s.v")
-            .where(F.col("v").isNotNull() & ~F.isnan("v")))
-
-
-def _open_windows(long: DataFrame, windows: list[tuple]) -> DataFrame:
-    """The long table's values inside each open window ``(wid, cid, lo, hi)``; a null bound is open."""
-    w = F.broadcast(long.sparkSession.createDataFrame(windows, "wid INT, cid INT, lo DOUBLE, hi DOUBLE"))
-    return long.join(w, "cid").where((F.col("lo").isNull() | (F.col("v") > F.col("lo")))
-                                     & (F.col("hi").isNull() | (F.col("v") < F.col("hi"))))
-
+def order_keys(x: np.ndarray) -> np.ndarray:
+    """64-bit keys in the order of the doubles; -0.0 counts as 0.0."""
+    bits = (x + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+
+
+def key_value(key: int) -> float:
+    """The double of an order-preserving key."""
+    bits = key & ~(1 << 63) if key >> 63 else ~key & ((1 << 64) - 1)
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+
+def _digit_counts(shift: int, bits: int, prefixes: dict[int, np.ndarray]):
+    """Per column and prefix of the keys: how many keys have each next digit. Held and combined in the task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {c: (np.zeros(0, np.int64), np.zeros(0, np.int64)) for c in prefixes}
+        for batch in batches:
+            for c, known in prefixes.items():
+                column = batch.column(c)
+                x = column.drop_null().to_numpy(zero_copy_only=False)
+                keys = order_keys(x[~np.isnan(x)])
+                above = keys >> np.uint64(shift + bits) if shift + bits < 64 else np.zeros(len(keys), np.uint64)
+                at = np.minimum(np.searchsorted(known, above), len(known) - 1)
+                mine = known[at] == above
+                digit = (keys[mine] >> np.uint64(shift) & np.uint64((1 << bits) - 1)).astype(np.int64)
+                code, n = np.unique(at[mine] << bits | digit, return_counts=True)
+                both, place = np.unique(np.concatenate([held[c][0], code]), return_inverse=True)
+                total = np.bincount(place, weights=np.concatenate([held[c][1], n]), minlength=len(both))
+                held[c] = both, total.astype(np.int64)
+        for c, (code, n) in held.items():
+            if len(code):
+                yield pa.RecordBatch.from_pydict({
+                    "cid": pa.array(np.full(len(code), c, np.int32)),
+                    "prefix": pa.array(prefixes[c][code >> bits].view(np.int64)),
+                    "digit": pa.array(code & ((1 << bits) - 1)), "n": pa.array(n)})
+    return run
+
+
+def kth_values(df: DataFrame, ranks: dict[int, list[int]], bits: int = 16) -> dict[tuple[int, int], float]:
+    """Exact k-th smallest values (0-based ``ranks`` per column position) of ``df``'s double columns.
+
+    Radix selection from the highest digit: a pass counts, for the prefix of
+    every rank still looked for, the keys by their next ``bits`` bits, and the
+    running sum over the digits names the rank's digit. Nulls and NaN are left
+    out; infinite values and any spread are values like others. The number of
+    passes is ``64 / bits`` for any data, and a group of counts has at most ``2 ** bits`` rows.
+    """
+    spark = df.sparkSession
+    left = {(c, k): (0, k) for c, ks in ranks.items() for k in ks}       # (prefix, rank among the keys with it)
+    for shift in range(64 - bits, -1, -bits):
+        prefixes = {c: np.array(sorted({p for (d, _), (p, _) in left.items() if d == c}), np.uint64)
+                    for c in {c for c, _ in left}}
+        counts = (df.mapInArrow(_digit_counts(shift, bits, prefixes), "cid int, prefix long, digit long, n long")
+                  .groupBy("cid", "prefix", "digit").agg(F.sum("n").alias("n")))
+        upto = F.sum("n").over(Window.partitionBy("cid", "prefix").orderBy("digit"))
+        wanted = F.broadcast(spark.createDataFrame(
+            [(c, k, p, r) for (c, k), (p, r) in left.items()], "cid int, k long, prefix long, r long"))
+        found = (counts.withColumn("upto", upto).join(wanted, ["cid", "prefix"])
+                 .where((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("n"))))
+        left = {(x["cid"], x["k"]): (x["prefix"] << bits | x["digit"], x["r"] - x["upto"] + x["n"])
+                for x in found.collect()}
+    return {at: key_value(key) for at, (key, _) in left.items()}
+
+
+def quantiles_of(part: DataFrame, cols: Sequence[str], counts: Sequence[int], probs: Sequence[float],
+                 bits: int = 16) -> dict[str, dict[float, float | None]]:
+    """Quantiles with linear interpolation; ``counts`` are the columns' numbers of values. ``part`` is read four times."""
+    doubles = part.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    ranks = {i: sorted({f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)})
+             for i, n in enumerate(counts) if n}
+    kth = kth_values(doubles, ranks, bits) if ranks else {}
+    res: dict[str, dict[float, float | None]] = {c: dict.fromkeys(probs) for c in cols}
+    for i, c in enumerate(cols):
+        for p in probs if counts[i] else ():
+            pos = p * (counts[i] - 1)
+            lo, hi = kth[i, math.floor(pos)], kth[i, math.ceil(pos)]
+            frac = pos - math.floor(pos)
+            res[c][p] = lo if frac == 0 or lo == hi else lo + (hi - lo) * frac
+    return res
 
-def kth_values(long: DataFrame, ranks: dict[int, list[int]], counts: dict[int, int],
-               cuts: int = 100) -> dict[tuple[int, int], float]:
-    """Exact k-th smallest values (0-based ``ranks`` per column id) of the long table ``(cid, v)``.
 
-    A rank lies in an open window of values. Each round takes approximate
-    quantiles of the window, which are values of the column, counts exactly
-    what lies below and at the two around the rank, and so either finds it or
-    shrinks the window by rank to about ``3 / cuts``. Only comparisons are made,
-    so infinite values and any spread are values like others, and as a round
-    takes at least one value out of the window, it always ends.
-    """
-    probs = [i / cuts for i in range(1, cuts)]
-    win = {(cid, k): [None, None, k, counts[cid]] for cid, ks in ranks.items() for k in ks}
-    out: dict[tuple[int, int], float] = {}
-    while win:
-        uniq = sorted({(key[0], w[0], w[1]) for key, w in win.items()}, key=str)
-        wid = {u: i for i, u in enumerate(uniq)}
-        inside = _open_windows(long, [(i, *u) for u, i in wid.items()])
-        splits = {r["wid"]: r["q"] for r in inside.groupBy("wid").agg(
-            F.percentile_approx("v", probs, 100 * cuts).alias("q")).collect()}
-        pairs = {}
-        for key, (lo, hi, k, n) in win.items():
-            q = splits[wid[(key[0], lo, hi)]]
-            at = int(k / n * cuts)
-            pairs[key] = (q[max(0, min(at - 2, len(q) - 1))], q[min(at + 1, len(q) - 1)])
-        tried = sorted({(wid[(key[0], w[0], w[1])], *pairs[key]) for key, w in win.items()})
-        t = F.broadcast(long.sparkSession.createDataFrame(tried, "wid INT, a DOUBLE, b DOUBLE"))
-        below = {(r["wid"], r["a"], r["b"]): r for r in inside.join(t, "wid").groupBy("wid", "a", "b").agg(
-            F.count_if(F.col("v") < F.col("a")).alias("lt_a"), F.count_if(F.col("v") <= F.col("a")).alias("le_a"),
-            F.count_if(F.col("v") < F.col("b")).alias("lt_b"), F.count_if(F.col("v") <= F.col("b")).alias("le_b")).collect()}
-        for key, w in list(win.items()):
-            a, b = pairs[key]
-            r = below[(wid[(key[0], w[0], w[1])], a, b)]
-            k, n = w[2], w[3]
-            if k < r["lt_a"]:
-                win[key] = [w[0], a, k, r["lt_a"]]
-            elif k < r["le_a"]:
-                out[key] = a
-            elif k < r["lt_b"]:
-                win[key] = [a, b, k - r["le_a"], r["lt_b"] - r["le_a"]]
-            elif k < r["le_b"]:
-                out[key] = b
-            else:
-                win[key] = [b, w[1], k - r["le_b"], n - r["le_b"]]
-            if key in out:
-                del win[key]
-    return out
+def value_count(c: str) -> Column:
+    """Cells of a column that are neither null nor NaN."""
+    return F.count_if(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    **kw) -> dict[str, dict[float, float | None]]:
-    """Quantiles with linear interpolation between order statistics."""
-    from pyspark import StorageLevel
-    long = _long(df, cols).persist(StorageLevel.MEMORY_AND_DISK)      # read twice a round
+                    bits: int = 16) -> dict[str, dict[float, float | None]]:
+    """Exact quantiles of several columns; the columns are kept for the passes."""
+    part = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        counts = {r["cid"]: r["count"] for r in long.groupBy("cid").count().collect()}
-        ranks = {cid: sorted({f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)})
-                 for cid, n in counts.items()}
-        kth = kth_values(long, ranks, counts, **kw) if ranks else {}
+        counts = part.agg(*[value_count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+        return quantiles_of(part, cols, list(counts), probs, bits)
     finally:
-        long.unpersist()
-    res: dict[str, dict[float, float | None]] = {}
-    for cid, c in enumerate(cols):
-        res[c] = {}
-        for p in probs:
-            if cid not in counts:
-                res[c][p] = None
-                continue
-            pos = p * (counts[cid] - 1)
-            lo, hi = kth[(cid, math.floor(pos))], kth[(cid, math.ceil(pos))]
-            frac = pos - math.floor(pos)
-            res[c][p] = lo if frac == 0 or lo == hi else lo + (hi - lo) * frac
-    return res
+        part.unpersist()
+
+
+def _moments(part: DataFrame, cols: Sequence[str], digits: int):
+    """One aggregate over the kept columns: values, non-null count, mean, sample std, min and max of each."""
+    return part.agg(*[e for i, c in enumerate(cols) for e in (
+        value_count(c).alias(f"v{i}"), F.count(c).alias(f"n{i}"), F.bround(F.avg(c), digits).alias(f"m{i}"),
+        F.bround(F.stddev_samp(c), digits).alias(f"s{i}"), F.min(c).cast("double").alias(f"lo{i}"),
+        F.max(c).cast("double").alias(f"hi{i}"))]).first()
+
+
+def _cut_off(v: float | None, digits: int) -> float | None:
+    return None if v is None else float(round(v, digits))
 
 
 def column_stats(df: DataFrame, col: str, digits: int = 9) -> DataFrame:
     """A4: mean, median, sample std, min, max of one column (one row)."""
-    med = exact_quantiles(df, [col], [0.5])[col][0.5]
-    return df.agg(F.bround(F.avg(col), digits).alias("mean"),
-                  F.bround(F.lit(med).cast("double"), digits).alias("median"),
-                  F.bround(F.stddev_samp(col), digits).alias("std"),
-                  F.min(col).cast("double").alias("min"),
-                  F.max(col).cast("double").alias("max"))
+    part = df.select(col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        row = _moments(part, [col], digits)
+        med = quantiles_of(part, [col], [row["v0"]], [0.5])[col][0.5]
+    finally:
+        part.unpersist()
+    return df.sparkSession.createDataFrame(
+        [(row["m0"], _cut_off(med, digits), row["s0"], row["lo0"], row["hi0"])],
+        "mean DOUBLE, median DOUBLE, std DOUBLE, min DOUBLE, max DOUBLE")
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 6) -> DataFrame:
     """A5: count, mean, std (n-1), min, quartiles, max per numeric column (long form).
 
-    The statistics pass and the quantile passes read the same projected
+    One statistics pass and four quantile passes read the same projected
     columns, kept for the duration. The result has one row per column.
     """
-    from pyspark import StorageLevel
     cols = list(cols or numeric_columns(df))
     part = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        q = exact_quantiles(part, cols, [0.25, 0.5, 0.75])
-        row = part.agg(*[e for i, c in enumerate(cols) for e in (
-            F.count(c).alias(f"n{i}"), F.bround(F.avg(c), digits).alias(f"m{i}"),
-            F.bround(F.stddev_samp(c), digits).alias(f"s{i}"),
-            F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}"))]).first()
+        row = _moments(part, cols, digits)
+        q = quantiles_of(part, cols, [row[f"v{i}"] for i in range(len(cols))], [0.25, 0.5, 0.75])
     finally:
         part.unpersist()
-
-    def cut_off(v):
-        return None if v is None else float(round(v, digits))
-
     rows = [(i, c, row[f"n{i}"], row[f"m{i}"], row[f"s{i}"], row[f"lo{i}"],
-             cut_off(q[c][0.25]), cut_off(q[c][0.5]), cut_off(q[c][0.75]), row[f"hi{i}"]) for i, c in enumerate(cols)]
+             *(_cut_off(q[c][p], digits) for p in (0.25, 0.5, 0.75)), row[f"hi{i}"]) for i, c in enumerate(cols)]
     return df.sparkSession.createDataFrame(
         rows, "position INT, column_name STRING, count BIGINT, mean DOUBLE, std DOUBLE, min DOUBLE, "
               "q25 DOUBLE, q50 DOUBLE, q75 DOUBLE, max DOUBLE")
 
-
-def sum_columns(cols: Sequence[str]) -> Column:
-    """Row sum across columns."""
-    total = F.lit(0)
-    for n in cols:
-        total = total + F.col(n)
-    return total
