@@ -110,7 +110,3 @@ def join_with_suffix(left: DataFrame, right: DataFrame, key: str = "sme_id",
     r = right.select(*[F.col(n).alias(n + suffix if n in clash else n) for n in right.columns])
     return left.join(r, key, how)
 
-
-def combine(*parts: tuple[str, Sequence[Column]]) -> list[Column]:
-    """One struct per model result, ``[struct(...) AS name, ...]``."""
-    return [F.struct(*cols).alias(name) for name, cols in parts]

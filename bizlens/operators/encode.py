@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from bizlens import schema as S
 from bizlens.functions.exprs import clean, col
+from bizlens.operators.ranking import global_position
 
 SPLIT_BINS = 1 << 16
 
@@ -125,28 +126,6 @@ def fit_encoder(df: DataFrame, spec: Mapping[str, Sequence[str]],
 # ------------------------------------------------------------------ transform (M1-M6)
 
 
-def ordinal_expr(c: str, order: Sequence[str], unknown: str = "minus_one") -> Column:
-    """M1: index in ``order`` from 0.0; unknown -> -1.0 or an error."""
-    x = F.col(c).cast("string")
-    out = None
-    for i, v in enumerate(order):
-        out = F.when(x == v, F.lit(float(i))) if out is None else out.when(x == v, F.lit(float(i)))
-    if unknown == "error":
-        return out.otherwise(F.raise_error(F.concat(F.lit(f"unknown {c}: "), F.coalesce(x, F.lit("null")))))
-    return out.otherwise(F.lit(-1.0))
-
-
-def onehot_exprs(c: str, vocab: Sequence[str]) -> list[Column]:
-    """M2: drop-first indicators; unknown and null -> all zeros."""
-    x = F.col(c).cast("string")
-    return [F.coalesce((x == v).cast("double"), F.lit(0.0)) for v in vocab[1:]]
-
-
-def scaled_expr(c: str, mean: float, scale: float) -> Column:
-    """M3: ``(x - mean) / std``."""
-    return (F.col(c).cast("double") - F.lit(float(mean))) / F.lit(float(scale))
-
-
 def encode(df: DataFrame, state: EncoderState, keep: Sequence[str] = ("sme_id",),
            clean_values: bool = True, defaults: Mapping | None = None) -> DataFrame:
     """Encoded feature columns in block order (M1-M4), ``keep`` columns first."""
@@ -177,26 +156,31 @@ def encoded_sql(state: EncoderState, clean_values: bool = True, columns: Sequenc
                 defaults: Mapping | None = None) -> list[str]:
     """SQL text of every encoded feature, in block order (M1-M4, P10).
 
-    The same expressions as :func:`ordinal_expr`, :func:`onehot_exprs`,
-    :func:`scaled_expr` and the binary cast; as text each feature costs one
-    parse instead of a dozen driver-to-JVM calls, which matters when several
-    bundles of ~80 features are built per query. ``clean`` is
+    M1: index in the order from 0.0, unknown -> -1.0 or an error; M2: drop-first
+    indicators, unknown and null -> all zeros; M3: ``(x - mean) / std``; M4: the
+    number. As text each feature costs one parse instead of a dozen
+    driver-to-JVM calls, which matters when several bundles of ~80 features are
+    built per query. ``clean`` is
     ``IF(x * 0 = 0, x, 0)``: false for null, NaN and +/-inf. It is applied to
     the column itself, before scaling; ordinals and indicators are never null.
 
     ``defaults`` (P4, P5) holds, under ``absent`` and ``null``, the value per block of a
-    column that ``columns`` lacks and of a null; ``None`` as an ordinal's
-    absent value is the first of its order. Numbers and flags are 0 either way.
+    column that ``columns`` lacks and of a null; ``None`` for an ordinal is the
+    first of its order. Numbers and flags are 0 either way. With ``defaults`` an
+    unknown ordinal never raises: :func:`unknown_reason` tells such rows.
     """
     out: list[str] = []
     have = None if columns is None else set(columns)
 
     def text(block: str, c: str) -> str:
-        if defaults and have is not None and c not in have:
-            value = defaults["absent"][block]
+        def default(when: str) -> str:
+            value = defaults[when][block]
             return _str(state.ordinal_order[c][0] if value is None else value)
+
+        if defaults and have is not None and c not in have:
+            return default("absent")
         x = f"CAST(`{c}` AS STRING)"
-        return f"coalesce({x}, {_str(defaults['null'][block])})" if defaults else x
+        return f"coalesce({x}, {default('null')})" if defaults else x
 
     def number(c: str) -> str:
         return "0.0D" if defaults and have is not None and c not in have else f"CAST(`{c}` AS DOUBLE)"
@@ -205,7 +189,7 @@ def encoded_sql(state: EncoderState, clean_values: bool = True, columns: Sequenc
         ladder = " ".join(f"WHEN {text('ordinal', c)} = {_str(v)} THEN {float(i)!r}D"
                           for i, v in enumerate(state.ordinal_order[c]))
         other = (f"raise_error(concat('unknown {c}: ', coalesce({text('ordinal', c)}, 'null')))"
-                 if state.unknown_ordinal == "error" else "-1.0D")
+                 if state.unknown_ordinal == "error" and not defaults else "-1.0D")
         out.append(f"CAST(CASE {ladder} ELSE {other} END AS DOUBLE)")
     for c in state.spec["onehot"]:
         for v in state.vocab[c][1:]:
@@ -221,6 +205,30 @@ def encoded_sql(state: EncoderState, clean_values: bool = True, columns: Sequenc
     return out
 
 
+def unknown_reason(state: EncoderState, columns: Sequence[str]) -> Column:
+    """Why a row can't be scored: given ordinal values outside their order, where the encoder allows none; else null."""
+    tests = []
+    for c in state.spec["ordinal"] if state.unknown_ordinal == "error" else ():
+        if c in columns:
+            known = ", ".join(_str(v) for v in state.ordinal_order[c])
+            tests.append(f"IF(CAST(`{c}` AS STRING) NOT IN ({known}), "
+                         f"{_str(c + ' not in ' + '/'.join(state.ordinal_order[c]))}, NULL)")
+    return F.expr(f"nullif(concat_ws('; ', {', '.join(tests)}), '')" if tests else "CAST(NULL AS STRING)")
+
+
+def unknown_counts(state: EncoderState, columns: Sequence[str]) -> list[Column]:
+    """Per categorical column, aggregates of how many values are given and how many of these are unknown (Q6)."""
+    known = {**{c: state.ordinal_order[c] for c in state.spec["ordinal"]},
+             **{c: state.vocab[c] for c in state.spec["onehot"]}}
+    out = []
+    for c, values in known.items():
+        if c in columns:
+            x = F.col(c).cast("string")
+            out += [F.count(x).alias(f"given__{c}"),
+                    F.count_if(x.isNotNull() & ~x.isin(list(values))).alias(f"unknown__{c}")]
+    return out
+
+
 def encoded_exprs(state: EncoderState, clean_values: bool = True, columns: Sequence[str] | None = None,
                   defaults: Mapping | None = None) -> list[Column]:
     return [F.expr(e) for e in encoded_sql(state, clean_values, columns, defaults)]
@@ -327,22 +335,24 @@ def scaler_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def vocabulary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """A13 as a table: column_name, position, value (sorted, nulls left out)."""
+    """A13 as a table: column_name, position, value (sorted, nulls left out); any number of values."""
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols])
     values = df.select(F.inline(cells)).where("value IS NOT NULL").distinct()
-    place = F.row_number().over(Window.partitionBy("column_name").orderBy("value")) - 1
-    return values.select("column_name", place.alias("position"), "value")
+    placed = global_position(values, "column_name", "value", name="_place")
+    first = placed.groupBy("column_name").agg(F.min("_place").alias("_first"))      # a row a column
+    return placed.join(first, "column_name").select(
+        "column_name", (F.col("_place") - F.col("_first")).cast("int").alias("position"), "value")
 
 
 def class_weight_table(df: DataFrame, label: str) -> DataFrame:
     """M8 as a table: label, count, weight = n / (k * count)."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).count()
-    w = Window.partitionBy()  # over the per-class rows only: k rows
-    return counts.withColumn(
-        "weight", F.sum("count").over(w) / (F.count(F.lit(1)).over(w) * F.col("count")))
+    whole = counts.agg(F.sum("count").alias("_n"), F.count("*").alias("_k"))        # one row
+    return counts.join(F.broadcast(whole)).withColumn(
+        "weight", F.col("_n") / (F.col("_k") * F.col("count"))).drop("_n", "_k")
 
 
 def label_index_table(df: DataFrame, label: str) -> DataFrame:
-    """M13 as a table: label, index in alphabetical order."""
+    """M13 as a table: label, index in alphabetical order; any number of labels."""
     labels = df.where(F.col(label).isNotNull()).select(label).distinct()
-    return labels.withColumn("index", F.row_number().over(Window.orderBy(label)) - 1)
+    return global_position(labels, label, name="index").withColumn("index", F.col("index").cast("int"))

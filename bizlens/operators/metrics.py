@@ -27,12 +27,10 @@ def classification_report(df: DataFrame, label: str, pred: str) -> DataFrame:
     """Precision, recall, F1 and support per class, plus accuracy, macro and weighted.
 
     Zero division gives 0. Rows: one per class (``kind = 'class'``), then
-    ``accuracy``, ``macro avg`` and ``weighted avg``. One chain: each
-    confusion cell becomes a record for its true and its predicted class,
-    so the input is aggregated once; the summary uses windows over the
-    per-class rows (as many as there are classes).
+    ``accuracy``, ``macro avg`` and ``weighted avg``. Each confusion cell becomes
+    a record for its true and its predicted class; the summary rows are one
+    aggregate over the classes' rows, so any number of classes will do.
     """
-    from pyspark.sql import Window
     y, p = F.col(label).cast("string"), F.col(pred).cast("string")
     cm = df.groupBy(y.alias("y"), p.alias("p")).count()
     cnt, zero = F.col("count"), F.lit(0).cast("bigint")
@@ -48,28 +46,23 @@ def classification_report(df: DataFrame, label: str, pred: str) -> DataFrame:
                      _div0(F.col("tp"), F.col("support")).alias("recall"))
     per = per.withColumn("f1", _div0(2 * F.col("precision") * F.col("recall"),
                                      F.col("precision") + F.col("recall")))
-    w = Window.partitionBy()
-    n = F.sum("support").over(w)
-    per = per.withColumns({
-        "_n": n, "_tp": F.sum("tp").over(w),
-        "_mp": F.avg("precision").over(w), "_mr": F.avg("recall").over(w), "_mf": F.avg("f1").over(w),
-        "_wp": F.sum(F.col("precision") * F.col("support")).over(w) / n,
-        "_wr": F.sum(F.col("recall") * F.col("support")).over(w) / n,
-        "_wf": F.sum(F.col("f1") * F.col("support")).over(w) / n,
-        "_first": F.row_number().over(Window.orderBy("cls")) == 1})
+    fields = ["cls", "precision", "recall", "f1", "support", "kind"]
+    by_class = per.select("cls", "precision", "recall", "f1", F.col("support").cast("bigint").alias("support"),
+                          F.lit("class").alias("kind"))
+    n = F.sum("support")
+    mean = lambda c: F.sum(F.col(c) * F.col("support")) / n
+    whole = per.agg(n.cast("bigint").alias("n"), (F.sum("tp") / n).alias("acc"),
+                    *[F.avg(c).alias(f"m_{c}") for c in fields[1:4]], *[mean(c).alias(f"w_{c}") for c in fields[1:4]])
     null = F.lit(None).cast("double")
 
-    def row(cls, pr, rc, f1, sup, kind, when=F.lit(True)):
-        return F.when(when, F.struct(F.lit(cls).alias("cls") if isinstance(cls, str) else cls.alias("cls"),
-                                     pr.alias("precision"), rc.alias("recall"), f1.alias("f1"),
-                                     sup.cast("bigint").alias("support"), F.lit(kind).alias("kind")))
-    first = F.col("_first")
-    rows = F.array(
-        row(F.col("cls"), F.col("precision"), F.col("recall"), F.col("f1"), F.col("support"), "class"),
-        row("accuracy", null, null, F.col("_tp") / F.col("_n"), F.col("_n"), "accuracy", first),
-        row("macro avg", F.col("_mp"), F.col("_mr"), F.col("_mf"), F.col("_n"), "macro avg", first),
-        row("weighted avg", F.col("_wp"), F.col("_wr"), F.col("_wf"), F.col("_n"), "weighted avg", first))
-    return per.select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("r.*")
+    def row(name, p_, r_, f_, kind):
+        return F.struct(F.lit(name).alias("cls"), p_.alias("precision"), r_.alias("recall"), f_.alias("f1"),
+                        F.col("n").alias("support"), F.lit(kind).alias("kind"))
+    summary = whole.where("n > 0").select(F.inline(F.array(
+        row("accuracy", null, null, F.col("acc"), "accuracy"),
+        *[row(f"{kind} avg", *[F.col(f"{kind[0]}_{c}") for c in fields[1:4]], f"{kind} avg")
+          for kind in ("macro", "weighted")])))
+    return by_class.unionByName(summary)
 
 
 def confusion_matrix(df: DataFrame, label: str, pred: str, labels: Sequence[str]) -> DataFrame:
@@ -85,17 +78,9 @@ def confusion_matrix(df: DataFrame, label: str, pred: str, labels: Sequence[str]
 
 
 def regression_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
-    """RMSE, MAE and R-squared; the mean comes from a first pass, then one aggregate."""
+    """RMSE, MAE and R-squared in one aggregate; the label's spread is its population variance."""
     y, p = F.col(label).cast("double"), F.col(pred).cast("double")
     both = df.where(y.isNotNull() & p.isNotNull())
-    mean = both.agg(F.avg(y)).first()[0]
-    if mean is None:
-        return both.agg(F.lit(None).cast("double").alias("rmse"),
-                        F.lit(None).cast("double").alias("mae"),
-                        F.lit(None).cast("double").alias("r2"), F.count(F.lit(1)).alias("rows"))
-    err = y - p
-    return both.agg(
-        F.sqrt(F.avg(err * err)).alias("rmse"),
-        F.avg(F.abs(err)).alias("mae"),
-        (1 - F.sum(err * err) / F.sum((y - F.lit(mean)) * (y - F.lit(mean)))).alias("r2"),
-        F.count(F.lit(1)).alias("rows"))
+    err, n = y - p, F.count(F.lit(1))
+    return both.agg(F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"),
+                    (1 - F.sum(err * err) / F.nullif(F.var_pop(y) * n, F.lit(0.0))).alias("r2"), n.alias("rows"))

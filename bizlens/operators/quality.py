@@ -83,17 +83,6 @@ def masked_assign(df: DataFrame, mask: Column, cols: Sequence[str], value) -> Da
         for n in cols})
 
 
-def select_existing(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Ordered projection that silently skips absent names."""
-    have = set(df.columns)
-    return df.select(*[n for n in names if n in have])
-
-
-def existing(df: DataFrame, names: Sequence[str]) -> list[str]:
-    have = set(df.columns)
-    return [n for n in names if n in have]
-
-
 def add_missing(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
     """Add absent columns with a per-column default."""
     missing = {n: F.lit(v) for n, v in defaults.items() if n not in df.columns}
@@ -114,11 +103,6 @@ def fill_all_zero(df: DataFrame) -> DataFrame:
     return df.fillna(0).fillna("0")
 
 
-def drop_null_rows(df: DataFrame) -> DataFrame:
-    """Drop rows with a null in any column."""
-    return df.dropna("any")
-
-
 def null_cell_count(df: DataFrame) -> DataFrame:
     """Null cells and rows with a null: the numbers P7 logs, one row."""
     any_null = F.lit(False)
@@ -140,12 +124,3 @@ def repair_columns(df: DataFrame, cols: Sequence[str], nan: float = 0.5, posinf:
     """Non-finite repair with separate values."""
     return df.withColumns({n: repair_nonfinite(n, nan, posinf, neginf) for n in cols})
 
-
-def split_valid(df: DataFrame, vocab: Mapping[str, Sequence[str]]) -> tuple[DataFrame, DataFrame]:
-    """Vocabulary check (P13): (valid rows, rejected rows with a ``reason``)."""
-    reasons = [F.when(F.coalesce(~F.col(n).isin(*vals), F.lit(True)),
-                      F.lit(f"{n} not in {'/'.join(vals)}"))
-               for n, vals in vocab.items()]
-    tagged = df.withColumn("reason", F.concat_ws("; ", *reasons))
-    ok = F.col("reason") == ""
-    return tagged.where(ok).drop("reason"), tagged.where(~ok)

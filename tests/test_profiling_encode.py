@@ -21,8 +21,9 @@ def test_exact_quantiles_match_numpy_with_hot_value(spark):
     vals += [None] * 50
     df = spark.createDataFrame([(v,) for v in vals], "x DOUBLE").repartition(6)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    # few splitters force several rounds
-    got = PR.exact_quantiles(df, ["x"], probs, cuts=4)["x"]
+    # narrow digits force many passes
+    got = PR.exact_quantiles(df, ["x"], probs, bits=4)["x"]
+    assert got == PR.exact_quantiles(df, ["x"], probs)["x"]
     clean = np.array([v for v in vals if v is not None])
     for p in probs:
         assert abs(got[p] - float(np.quantile(clean, p))) < 1e-12
@@ -64,8 +65,12 @@ def test_onehot_scaler_ordinal_properties(spark):
 def test_unknown_ordinal_error_mode(spark):
     df = spark.createDataFrame([("scaleup",)], "business_stage STRING")
     import pytest
+    spec = {"ordinal": ["business_stage"], "onehot": [], "numeric": [], "binary": []}
+    strict = EN.fit_encoder(df, spec, unknown_ordinal="error")
     with pytest.raises(Exception):
-        df.select(EN.ordinal_expr("business_stage", S.BUSINESS_STAGES, "error")).collect()
+        EN.encode(df, strict, keep=()).collect()
+    assert EN.encode(df, strict, keep=(), defaults=S.SERVING_DEFAULTS["funding"]).first()[0] == -1.0
+    assert df.select(EN.unknown_reason(strict, df.columns)).first()[0] == "business_stage not in startup/growth/mature"
 
 
 def test_constant_column_scales_to_zero(spark):
@@ -123,7 +128,7 @@ def test_exact_quantiles_with_infinities_and_any_spread(spark):
     ordered = sorted(v for v in vals if v is not None and v == v)
     n = len(ordered)
     ranks = [0, 1, 2, 3, n // 4, n // 2, n - 8, n - 7, n - 1]
-    got = PR.kth_values(PR._long(df, ["x"]), {0: ranks}, {0: n}, cuts=10)
+    got = PR.kth_values(df.select("x"), {0: ranks}, bits=8)
     assert [got[0, k] for k in ranks] == [ordered[k] for k in ranks]
     assert PR.exact_quantiles(df, ["one"], [0.1, 0.5])["one"] == {0.1: 1.0, 0.5: 1.0}
 
@@ -148,3 +153,49 @@ def test_missing_numbers_count_as_zero_before_scaling(spark):
     state = EN.fit_encoder(df, spec)
     bad = spark.createDataFrame([(1, None), (2, float("nan")), (3, float("inf")), (4, 0.0)], "sme_id BIGINT, x DOUBLE")
     assert {r["num__x"] for r in EN.encode(bad, state).collect()} == {-state.mean["x"] / state.scale["x"]}
+
+
+def test_duplicates_of_colliding_fingerprints_are_told_apart(spark):
+    rows = [(i % 40, "x" if i % 3 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "a INT, b STRING")
+    want = (200, len(set(rows)), 200 - len(set(rows)))
+    for fingerprint in (None, F.lit(1), F.col("a") % 2):        # all rows collide, half of them, and none
+        assert tuple(PR.duplicate_rows(df, fingerprint).first()) == want
+
+
+def test_global_position_is_the_order_without_one_partition(spark):
+    from bizlens.operators.ranking import global_position
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v")).repartition(6)
+    got = global_position(df, "v")
+    assert all(r.v == r.position for r in got.collect())
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert global_position(df.where("v < 0"), "v").collect() == []
+
+
+def test_wide_columns_encode_as_the_narrow_way_does(spark, tmp_path):
+    from pyspark.ml.functions import vector_to_array
+    from bizlens.operators import wide as WD
+    sme = C.sme_table(spark, SF001)
+    state = EN.fit_encoder(sme, S.FUNDING_FEATURES)
+    vocab = WD.fit_vocabulary_table(sme, S.FUNDING_FEATURES["onehot"], str(tmp_path / "v"))
+    odd = sme.limit(60).withColumns({"sector": F.when(F.col("sme_id") % 3 == 0, F.lit("space")).otherwise(F.col("sector")),
+                                     "location": F.when(F.col("sme_id") % 4 != 0, F.col("location"))}).cache()
+    got = {r.sme_id: r.x for r in WD.encode_wide(odd, state, vocab).select("sme_id", vector_to_array("features").alias("x")).collect()}
+    for r in EN.encode(odd, state).collect():
+        assert np.allclose(got[r.sme_id], r[1:]), r.sme_id
+
+
+def test_a_hundred_thousand_values_fit_encode_and_score(spark, tmp_path):
+    from pyspark.ml.classification import LogisticRegression
+    from bizlens.operators import wide as WD
+    n = 100_000
+    df = spark.range(n + 1000).select("id", F.when(F.col("id") < n, F.col("id")).otherwise(7).cast("string").alias("c"),
+                                      (F.col("id") % 2).cast("double").alias("label"), F.rand(1).alias("x"))
+    spec = {"ordinal": [], "onehot": ["c"], "numeric": ["x"], "binary": []}
+    state = EN.EncoderState(spec, {}, mean={"x": 0.5}, scale={"x": 1.0})
+    vocab = WD.fit_vocabulary_table(df, ["c"], str(tmp_path / "v"))
+    made = WD.encode_wide(df, state, vocab)
+    row = made.where("id = 12345").first()
+    assert row.features.size == n and len(row.features.indices) == 2
+    model = LogisticRegression(maxIter=2).fit(made)
+    assert model.transform(made).where("prediction in (0, 1)").count() == n + 1000
