@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bizlens.plans import oracle as O
 from bizlens.sources import profile as _profile
+from bizlens.sources.tables import read_table
 
 _PLANS: dict = {}
 
@@ -59,6 +60,15 @@ def q_profile_other_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _profile.build_profile(spark, sf_dir, **OTHER_PERIOD)
 
 
+MONTHLY = {"first": "1996-01", "last": "1998-12", "trailing": 6}
+
+
+@register("w1_monthly_series", O.monthly_series_sql(**MONTHLY))
+def q_monthly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 for every month: trailing six months and the six before, per business, without gaps."""
+    return _profile.build_monthly_series(spark, sf_dir, **MONTHLY)
+
+
 # ------------------------------------------------------------------ features
 
 from bizlens.operators import features as FT  # noqa: E402
@@ -765,3 +775,304 @@ def q_nonfinite(spark, sf_dir):
     f"SELECT * FROM ({O.growth_decisions_sql('growth')}) ORDER BY sme_id LIMIT 1", [GROWTH_CTE]))
 def q_first_row(spark, sf_dir):
     return PR.first_rows(D.growth_decisions(growth_table(spark, sf_dir)), 1)
+
+
+# ------------------------------------------------------------------ defaults and rejects of every bundle
+
+FUNDING_ABSENT = ["business_stage", "owner_gender", "collateral_value"]
+FUNDING_SERVED_CTE = ("served", f"""SELECT * EXCLUDE ({', '.join(FUNDING_ABSENT)}, education_level, sector, total_payroll),
+  'startup' AS business_stage, '0' AS owner_gender, 0.0 AS collateral_value,
+  CASE WHEN sme_id % 3 = 0 THEN 'none' ELSE education_level END AS education_level,
+  CASE WHEN sme_id % 7 = 0 THEN 'unknown' ELSE sector END AS sector,
+  CASE WHEN sme_id % 5 = 0 THEN 0.0 ELSE total_payroll END AS total_payroll FROM sme""")
+
+
+@register("p4_p5_serving_funding", with_sme(
+    O.encode_sql("served", S.FUNDING_FEATURES, SORTED_VOCAB, S.ORDINAL_ORDER, fit_src="sme"), [FUNDING_SERVED_CTE]))
+def q_serving_funding(spark, sf_dir):
+    """Absent and null ordinals of the funding bundle count as the first category, nothing is raised."""
+    sme = sme_table(spark, sf_dir)
+    state = EN.fit_encoder(sme, S.FUNDING_FEATURES, unknown_ordinal="error")
+    k = F.col("sme_id")
+    served = sme.drop(*FUNDING_ABSENT).withColumns({
+        "education_level": F.when(k % 3 != 0, F.col("education_level")),
+        "sector": F.when(k % 7 != 0, F.col("sector")),
+        "total_payroll": F.when(k % 5 != 0, F.col("total_payroll"))})
+    return round_features(EN.encode(served, state, defaults=S.SERVING_DEFAULTS["funding"]), state.feature_names())
+
+
+HEALTH_SERVED_CTE = ("served", """SELECT * EXCLUDE (business_stage, education_level, location, cash_months),
+  'startup' AS business_stage, 'missing' AS location,
+  CASE WHEN sme_id % 3 = 0 THEN 'startup' ELSE education_level END AS education_level,
+  CASE WHEN sme_id % 4 = 0 THEN 0.0 ELSE cash_months END AS cash_months FROM health""")
+
+
+@register("p4_p5_serving_health", with_sme(
+    O.encode_sql("served", S.HEALTH_FEATURES, SORTED_VOCAB, S.ORDINAL_ORDER, fit_src="health"),
+    [HEALTH_CTE, HEALTH_SERVED_CTE]))
+def q_serving_health(spark, sf_dir):
+    health = health_table(spark, sf_dir)
+    state = EN.fit_encoder(health, S.HEALTH_FEATURES)
+    k = F.col("sme_id")
+    served = health.drop("business_stage", "location").withColumns({
+        "education_level": F.when(k % 3 != 0, F.col("education_level")),
+        "cash_months": F.when(k % 4 != 0, F.col("cash_months"))})
+    return round_features(EN.encode(served, state, defaults=S.SERVING_DEFAULTS["health"]), state.feature_names())
+
+
+@register("p13_funding_rejects", with_sme(
+    "SELECT sme_id, 'education_level not in none/highschool/bachelor/master/phd' AS reject_reason FROM sme "
+    "WHERE sme_id % 6 = 0"))
+def q_funding_rejects(spark, sf_dir):
+    """Rows of a funding batch that can't be scored: a given education level that the encoder doesn't know."""
+    sme = sme_table(spark, sf_dir)
+    state = EN.EncoderState(S.FUNDING_FEATURES, S.ORDINAL_ORDER, unknown_ordinal="error")
+    odd = sme.withColumn("education_level", F.when(F.col("sme_id") % 6 == 0, F.lit("diploma"))
+                         .otherwise(F.col("education_level")))
+    return odd.select("sme_id", EN.unknown_reason(state, odd.columns).alias("reject_reason")).where(
+        "reject_reason IS NOT NULL")
+
+
+UNKNOWN_COLS = S.FUNDING_FEATURES["ordinal"] + S.FUNDING_FEATURES["onehot"]
+ODD_CTE = ("odd", """SELECT * EXCLUDE (sector, location, employment_status),
+  CASE WHEN sme_id % 9 = 0 THEN 'space' ELSE sector END AS sector,
+  CASE WHEN sme_id % 4 = 0 THEN lower(location) ELSE location END AS location,
+  CASE WHEN sme_id % 5 <> 0 THEN employment_status END AS employment_status FROM sme""")
+
+
+@register("q6_unknown_shares", with_sme(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count({c}) AS given, count(*) FILTER (WHERE {c} NOT IN "
+    f"({', '.join(O.lit(v) for v in S.CATEGORICAL_VOCAB[c])})) AS unknown, count(*) FILTER (WHERE {c} NOT IN "
+    f"({', '.join(O.lit(v) for v in S.CATEGORICAL_VOCAB[c])})) / count({c}) AS share FROM odd"
+    for c in UNKNOWN_COLS), [ODD_CTE]))
+def q_unknown_shares(spark, sf_dir):
+    """Share of unknown categories per column, observed while the encoded batch is written."""
+    sme = sme_table(spark, sf_dir)
+    state = EN.fit_encoder(sme, S.FUNDING_FEATURES)
+    k = F.col("sme_id")
+    odd = sme.withColumns({
+        "sector": F.when(k % 9 == 0, F.lit("space")).otherwise(F.col("sector")),
+        "location": F.when(k % 4 == 0, F.lower("location")).otherwise(F.col("location")),
+        "employment_status": F.when(k % 5 != 0, F.col("employment_status"))})
+    seen, watch = JB.observed(odd, EN.unknown_counts(state, odd.columns), f"unknown-{uuid.uuid4().hex}")
+    EN.encode(seen, state).write.parquet(scratch_path(spark, f"encoded_{uuid.uuid4().hex}"))
+    return JB.unknown_shares(spark, watch)
+
+
+# ------------------------------------------------------------------ wide vocabularies, widths, types
+
+from bizlens.operators import wide as WD  # noqa: E402
+
+
+@register("m2_wide_positions", "SELECT l_orderkey, l_linenumber, CAST(dense_rank() OVER (ORDER BY CAST(l_partkey AS VARCHAR)) - 1 "
+                               "AS INTEGER) AS position FROM lineitem")
+def q_wide_positions(spark, sf_dir):
+    """Parts as a category with as many values as there are parts: positions by a join with the stored vocabulary."""
+    items = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey"])
+    vocab = WD.fit_vocabulary_table(items, ["l_partkey"], scratch_path(spark, f"vocabulary_{uuid.uuid4().hex}"))
+    return WD.with_positions(items, vocab, ["l_partkey"]).select(
+        "l_orderkey", "l_linenumber", F.col("l_partkey_position").alias("position"))
+
+
+GROWTH_NAMES = EN.EncoderState(S.GROWTH_FEATURES, S.ORDINAL_ORDER, {c: SORTED_VOCAB[c] for c in S.GROWTH_FEATURES["onehot"]}
+                               ).feature_names()
+PADDED, TRIMMED = 120, 40
+
+
+@register("m6_pad_trim", with_sme(
+    f"SELECT sme_id, {PADDED} AS padded_size, {TRIMMED} AS trimmed_size, \"{GROWTH_NAMES[-1]}\" AS last_feature, "
+    f"0.0::DOUBLE AS padding, \"{GROWTH_NAMES[TRIMMED - 1]}\" AS last_kept FROM ("
+    + O.encode_sql("growth", S.GROWTH_FEATURES, SORTED_VOCAB, S.ORDINAL_ORDER) + ")", [GROWTH_CTE]))
+def q_pad_trim(spark, sf_dir):
+    """The encoded row as an array, padded with zeros and cut to other widths."""
+    growth = growth_table(spark, sf_dir)
+    state = EN.fit_encoder(growth, S.GROWTH_FEATURES)
+    both = growth.select("sme_id", F.array(*EN.encoded_exprs(state)).alias("x")).select(
+        "sme_id", EN.pad_trim(F.col("x"), PADDED).alias("p"), EN.pad_trim(F.col("x"), TRIMMED).alias("t"))
+    return both.select("sme_id", F.size("p").alias("padded_size"), F.size("t").alias("trimmed_size"),
+                       F.bround(F.col("p")[len(state.feature_names()) - 1], 9).alias("last_feature"),
+                       F.col("p")[PADDED - 1].alias("padding"), F.bround(F.col("t")[TRIMMED - 1], 9).alias("last_kept"))
+
+
+@register("a10_type_counts", with_sme(" UNION ALL ".join(
+    f"SELECT '{SPARK_TYPE_NAMES[t]}' AS data_type, {n} AS columns, COUNT(*) AS rows FROM sme"
+    for t, n in sorted({repr(f.dataType): sum(g.dataType == f.dataType for g in S.SME_TABLE_SCHEMA.fields)
+                        for f in S.SME_TABLE_SCHEMA.fields}.items()))))
+def q_type_counts(spark, sf_dir):
+    return PR.type_counts(sme_table(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ metrics of real pairs, repairs of bad cells, given ratios
+
+SIZE_PAIR_CTE = ("pair", f"SELECT *, {O.cut('revenue_6m_ago', *FT.REVENUE_SIZE)} AS size_before FROM growth")
+
+
+@register("m18_size_confusion", with_sme(" UNION ALL ".join(
+    f"SELECT {i} AS position, '{a}' AS label, " + ", ".join(
+        f"COUNT(*) FILTER (WHERE current_revenue_category = '{a}' AND size_before = '{b}') AS \"pred_{b}\""
+        for b in S.SIZE_CATEGORIES) + " FROM pair"
+    for i, a in enumerate(S.SIZE_CATEGORIES)), [GROWTH_CTE, SIZE_PAIR_CTE]))
+def q_size_confusion(spark, sf_dir):
+    """The size category now against that of the period before, as a forecast of no change."""
+    pair = growth_table(spark, sf_dir).withColumn("size_before", FT.cut("revenue_6m_ago", *FT.REVENUE_SIZE))
+    return MT.confusion_matrix(pair, "current_revenue_category", "size_before", S.SIZE_CATEGORIES)
+
+
+@register("m19_persistence_metrics", with_sme(
+    "SELECT round_even(sqrt(avg((revenue - revenue_6m_ago) * (revenue - revenue_6m_ago))), 6) AS rmse, "
+    "round_even(avg(abs(revenue - revenue_6m_ago)), 6) AS mae, "
+    "round_even(1 - SUM((revenue - revenue_6m_ago) * (revenue - revenue_6m_ago)) / "
+    "SUM((revenue - (SELECT avg(revenue) FROM sme)) * (revenue - (SELECT avg(revenue) FROM sme))), 9) AS r2, "
+    "COUNT(*) AS rows FROM sme"))
+def q_persistence_metrics(spark, sf_dir):
+    """Revenue against that of the period before, as a forecast of no change."""
+    m = MT.regression_metrics(sme_table(spark, sf_dir), "revenue", "revenue_6m_ago")
+    return round_features(round_features(m, ["rmse", "mae"], 6), ["r2"])
+
+
+BAD = {"revenue": "NaN", "marketing_roi": "Infinity", "cash_runway_months": "-Infinity"}     # by key: column -> bad cell
+
+
+@register("p10_p11_injected", with_sme("SELECT sme_id, " + ", ".join(
+    f"CASE WHEN sme_id % {5 + i} = 0 THEN 0.0 ELSE {c} END AS {c}" for i, c in enumerate(BAD))
+    + ", CASE sme_id % 8 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 WHEN 3 THEN 0.5 "
+      "ELSE predicted_6m_growth_rate END AS predicted_6m_growth_rate FROM growth", [GROWTH_CTE]))
+def q_injected(spark, sf_dir):
+    """P10 and P11 on a table with NaN, infinite and null cells."""
+    k = F.col("sme_id")
+    rate, cell = F.col("predicted_6m_growth_rate"), lambda v: F.lit(float(v.replace("Infinity", "inf")))
+    bad = growth_table(spark, sf_dir).withColumns({
+        **{c: F.when(k % (5 + i) == 0, cell(v)).otherwise(F.col(c)) for i, (c, v) in enumerate(BAD.items())},
+        "predicted_6m_growth_rate": F.when(k % 8 == 0, cell("NaN")).when(k % 8 == 1, cell("Infinity"))
+        .when(k % 8 == 2, cell("-Infinity")).when(k % 8 != 3, rate)})
+    out = QL.repair_columns(QL.clean_columns(bad, list(BAD)), ["predicted_6m_growth_rate"])
+    return out.select("sme_id", *BAD, "predicted_6m_growth_rate")
+
+
+@register("hf19_given_ratios", with_sme("SELECT CAST(sme_id AS VARCHAR) AS sme_id, " + ", ".join(
+    {"conversion_rate": "CASE WHEN sme_id % 3 = 0 THEN 0.5 ELSE conversion_rate END AS conversion_rate",
+     "missing_docs": "CASE WHEN sme_id % 4 = 0 THEN 1 ELSE missing_docs END AS missing_docs"}.get(c, c)
+    for c in HF19_COLS) + " FROM health", [HEALTH_CTE]))
+def q_given_ratios(spark, sf_dir):
+    """Requests that bring some ratios and flags of their own: these are kept, the others computed."""
+    k = F.col("sme_id")
+    given = sme_table(spark, sf_dir).withColumns({"conversion_rate": F.when(k % 3 == 0, F.lit(0.5)),
+                                                  "missing_docs": F.when(k % 4 == 0, F.lit(1))})
+    valid, _ = RQ.split_requests(RQ.parse_requests(RQ.request_json(given)))
+    return RQ.fill_flags(RQ.fill_ratios(valid)).select("sme_id", *HF19_COLS)
+
+
+# ------------------------------------------------------------------ summaries and stored results
+
+
+def _summary(spark, decisions: DataFrame, metrics, name: str) -> DataFrame:
+    """Write the decisions; their summary comes out of the same pass."""
+    seen, watch = JB.observed(decisions, metrics, f"{name}-{uuid.uuid4().hex}")
+    seen.write.parquet(scratch_path(spark, f"{name}_{uuid.uuid4().hex}"))
+    return JB.summary_table(spark, watch).withColumn("value", F.bround("value", 6))
+
+
+def _summary_sql(src: str, metrics: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{k}' AS metric, round_even(CAST({v} AS DOUBLE), 6) AS value FROM ({src})"
+                              for k, v in metrics.items())
+
+
+@register("m20_growth_summary", with_sme(_summary_sql(O.growth_decisions_sql("growth"), {
+    "rows": "count(*)",
+    **{f"stage: {s}": f"count(*) FILTER (WHERE growth_stage = '{s}')" for s in S.GROWTH_STAGES},
+    **{f"action: {a}": f"count(*) FILTER (WHERE growth_action = '{a}')"
+       for a in [n for _, n in D.GROWTH_ACTIONS] + [D.GROWTH_ACTION_ELSE]},
+    "jumps": "sum(will_jump_category)", "jump share": "avg(will_jump_category)",
+    "mean rate": "avg(predicted_6m_growth_rate)", "median rate": "median(predicted_6m_growth_rate)"}), [GROWTH_CTE]))
+def q_growth_summary(spark, sf_dir):
+    return _summary(spark, D.growth_decisions(growth_table(spark, sf_dir)), JB.growth_summary(), "growth_summary")
+
+
+@register("m20_health_summary", with_sme(_summary_sql(O.health_decisions_sql("health"), {
+    "rows": "count(*)",
+    **{f"category: {c}": f"count(*) FILTER (WHERE health_category = '{c}')" for c in S.HEALTH_CATEGORIES},
+    "flags: 0": "count(*) FILTER (WHERE total_risk_flags = 0)",
+    "flags: 1-2": "count(*) FILTER (WHERE total_risk_flags BETWEEN 1 AND 2)",
+    "flags: 3+": "count(*) FILTER (WHERE total_risk_flags >= 3)"}), [HEALTH_CTE]))
+def q_health_batch_summary(spark, sf_dir):
+    return _summary(spark, D.health_decisions(health_table(spark, sf_dir)), JB.health_summary(), "health_summary")
+
+
+@register("j3_stored_results", with_sme(
+    f"SELECT h.sme_id, health_category, total_risk_flags, growth_stage, growth_action, compliance_risk, reasons "
+    f"FROM ({O.health_decisions_sql('health')}) h JOIN ({O.growth_decisions_sql('growth')}) g USING (sme_id) "
+    f"JOIN ({O.compliance_decisions_sql('sme')}) c USING (sme_id)", [HEALTH_CTE, GROWTH_CTE], keep_scores=True))
+def q_stored_results(spark, sf_dir):
+    """Three result tables, each stored bucketed by business, joined without a shuffle."""
+    made = {"health": D.health_decisions(health_table(spark, sf_dir)),
+            "growth": D.growth_decisions(growth_table(spark, sf_dir)),
+            "compliance": D.compliance_decisions(sme_table(spark, sf_dir, keep_scores=True), "default_risk_score")}
+    run = uuid.uuid4().hex
+    stored = {n: JB.store_result(df, f"result_{n}_{run}", scratch_path(spark, f"result_{n}_{run}")) for n, df in made.items()}
+    return JB.combine_stored(stored).select(
+        "sme_id", "health.health_category", "health.total_risk_flags", "growth.growth_stage", "growth.growth_action",
+        "compliance.compliance_risk", "compliance.reasons")
+
+
+# ------------------------------------------------------------------ checks of the models that SQL can state
+
+
+def _as_many_rows(*zero: str) -> str:
+    """What a check must give: a row for each business, and none with a fault."""
+    return "SELECT COUNT(*) AS rows, " + ", ".join(f"0 AS {z}" for z in zero) + " FROM customer"
+
+
+@register("m12_probability_check", _as_many_rows("bad_sums", "other_labels"))
+def q_probability_check(spark, sf_dir):
+    """Four-class boosting: probabilities sum to 1 and the label is the likeliest class's."""
+    bundle = bundles_for(spark, sf_dir)["health"]
+    p = bundle.predict(health_table(spark, sf_dir))
+    prob = F.col("pred_health_category_probability")
+    labels = F.array(*[F.lit(v) for v in bundle.labels["health_category"]])
+    best = F.element_at(labels, F.array_position(prob, F.array_max(prob)).cast("int"))
+    total = F.aggregate(prob, F.lit(0.0), lambda a, x: a + x)
+    return p.agg(F.count("*").alias("rows"), F.count_if(F.abs(total - 1) > 1e-9).alias("bad_sums"),
+                 F.count_if(~F.col("pred_health_category").eqNullSafe(best)).alias("other_labels"))
+
+
+@register("s3_reload_check", _as_many_rows("other_scores"))
+def q_reload_check(spark, sf_dir):
+    """Every model's scores are the same after the bundles are saved and loaded once more."""
+    bundles = bundles_for(spark, sf_dir)
+    again = {}
+    for name, b in bundles.items():
+        path = scratch_path(spark, f"reload_{name}_{uuid.uuid4().hex}")
+        b.save(spark, path)
+        again[name] = MD.Bundle.load(spark, path)
+    sme = sme_table(spark, sf_dir)
+    a, b = (JB.score_all(x, sme).select("sme_id", F.to_json(F.struct("growth", "health", "funding", "compliance")).alias(n))
+            for x, n in ((bundles, "kept"), (again, "loaded")))
+    return a.join(b, "sme_id", "left").agg(F.count("*").alias("rows"),
+                                           F.count_if(~F.col("kept").eqNullSafe(F.col("loaded"))).alias("other_scores"))
+
+
+@register("m20_decision_check", _as_many_rows("other_levels", "other_actions"))
+def q_decision_check(spark, sf_dir):
+    """Levels, reasons and actions of the batch jobs follow from the models' scores of the same rows."""
+    bundles, sme = bundles_for(spark, sf_dir), sme_table(spark, sf_dir)
+    fund = bundles["funding"].add_predictions(sme)
+    level, reasons = D.compliance(bundles["funding"].probability_of("default_risk", JB.RISK_CLASS),
+                                  F.col("pred_eligibility") == 1, "pred_business_health")
+    own = fund.select("sme_id", F.concat_ws("|", level, reasons).alias("own_level"))
+    rate = bundles["growth"].predict(growth_table(spark, sf_dir)).select("sme_id", D.growth_action("pred_growth_rate").alias("own_action"))
+    done = JB.score_compliance(bundles["funding"], sme).select("sme_id", F.concat_ws("|", "compliance_risk", "reasons").alias("level"))
+    acts = JB.score_growth(bundles["growth"], sme).select("sme_id", "growth_action")
+    both = done.join(own, "sme_id", "left").join(acts, "sme_id", "left").join(rate, "sme_id", "left")
+    return both.agg(F.count("*").alias("rows"), F.count_if(~F.col("level").eqNullSafe(F.col("own_level"))).alias("other_levels"),
+                    F.count_if(~F.col("growth_action").eqNullSafe(F.col("own_action"))).alias("other_actions"))
+
+
+@register("st1_stream_check", _as_many_rows("other_results"))
+def q_stream_check(spark, sf_dir):
+    """Streamed results are those of the batch over the same requests."""
+    bundles = bundles_for(spark, sf_dir)
+    streamed = q_stream_scores(spark, sf_dir).withColumnRenamed("result", "streamed")
+    valid, _ = RQ.split_requests(parsed_requests(spark, sf_dir))
+    batch = ST.result_json(ST.score_requests(bundles, valid))
+    return batch.join(streamed, "sme_id", "left").agg(
+        F.count("*").alias("rows"), F.count_if(~F.col("result").eqNullSafe(F.col("streamed"))).alias("other_results"))

@@ -108,87 +108,16 @@ def pick(key: str, salt: str, values: Sequence[str]) -> str:
 
 def profile_sql(start: str = P.PERIOD_START, months: int = P.PERIOD_MONTHS) -> str:
     cur_start, prev_start, cur_end = P._period_bounds(start, months)
-    k = "custkey"
-
-    def hh(s):
-        return h(k, s)
-
-    def floor_of(s, n, off=0):
-        return f"CAST({off} + floor({hh(s)} * {n}) AS BIGINT)"
-
-    def money(c):
-        return f"COALESCE(CAST({c} AS DOUBLE), 0.0) / {lit(months / P.MONTHS_PER_YEAR)}"
-
-    def count(c):
-        return f"CAST(COALESCE({c}, 0) AS BIGINT)"
-
-    def spend(s):
-        return f"(CASE WHEN {hh('z')} < 0.1 THEN 0.0 ELSE {hh(s)} * 50000 END)"
-
-    def flag_col(name):
-        return f"CAST({hh(name)} < {P.FLAG_RATES[name]} AS INTEGER)"
-
-    cols = {
-        "sme_id": f"CAST({k} AS BIGINT)",
-        "business_name": "c_name",
-        "revenue": money("net_cur"),
-        "profit_margin": f"{hh('pm')} * 0.35 - 0.03",
-        "debt_ratio": f"{hh('dr')} * 0.9",
-        "collateral_value": f"{hh('cv')} * 200000",
-        "marketing_spend": spend("ms"),
-        "employee_count": floor_of("emp", 100),
-        "staff_count": floor_of("st", 50),
-        "age_of_business": floor_of("ag", 25),
-        "sector": pick(k, "sector", S.SECTORS),
-        "previous_funding_received": flag_col("previous_funding_received"),
-        "previous_funding_amount": f"10000 + {hh('pf')} * 490000",
-        "default_history": flag_col("default_history"),
-        "loan_applications_count": floor_of("lc", 10),
-        "funding_requested_amount": f"20000 + {hh('fr')} * 980000",
-        "expected_roi": f"{hh('er')} * 0.4",
-        "project_duration_months": floor_of("pd", 33, 3),
-        "business_stage": pick(k, "business_stage", S.BUSINESS_STAGES),
-        "collateral_offered": flag_col("collateral_offered"),
-        "business_registration_uploaded": flag_col("business_registration_uploaded"),
-        "tax_clearance_uploaded": flag_col("tax_clearance_uploaded"),
-        "financial_statements_uploaded": flag_col("financial_statements_uploaded"),
-        "tax_registered": flag_col("tax_registered"),
-        "tax_paid_last_year": flag_col("tax_paid_last_year"),
-        "licenses_required": floor_of("lr", 4, 1),
-        "licenses_up_to_date": flag_col("licenses_up_to_date"),
-        "total_payroll": f"50000 + {hh('tp')} * 450000",
-        "cost_per_hire": f"5000 + {hh('ch')} * 45000",
-        "nssf_contribution_percent": f"0.05 + {hh('ns')} * 0.07",
-        "nhif_contribution_percent": f"0.02 + {hh('nh')} * 0.03",
-        "staff_turnover_rate": f"{hh('tr')} * 0.3",
-        "bank_balance": "CASE WHEN c_acctbal > 0 THEN c_acctbal * 20 ELSE 0.0 END",
-        "m_pesa_balance": f"{hh('mp')} * 50000",
-        "pending_invoices": count("n_o"),
-        "paid_invoices": count("n_f"),
-        "late_payments": count("n_r"),
-        "campaign_spend": spend("cs"),
-        "clicks": count("n_click"),
-        "impressions": count("n_view"),
-        "conversions": count("n_purchase"),
-        "target_segment": pick(k, "target_segment", S.TARGET_SEGMENTS),
-        "total_customers": f"{count('parts_cur')} * {P.CUSTOMERS_PER_PART}",
-        "active_customers": floor_of("ac", 600),
-        "repeat_customers": floor_of("rc", 500),
-        "channels_used": pick(k, "channels_used", S.CHANNELS),
-        "owner_age": floor_of("oa", 40, 20),
-        "owner_gender": pick(k, "owner_gender", S.OWNER_GENDERS),
-        "education_level": pick(k, "education_level", S.EDUCATION_LEVELS),
-        "employment_status": pick(k, "employment_status", S.EMPLOYMENT_STATUSES),
-        "location": pick(k, "location", S.LOCATIONS),
-        "revenue_6m_ago": money("net_prev"),
-        "customers_6m_ago": f"{count('parts_prev')} * {P.CUSTOMERS_PER_PART}",
-        "marketing_spend_6m_ago": spend("mq"),
-    }
     sql_types = {"LongType()": "BIGINT", "DoubleType()": "DOUBLE", "IntegerType()": "INTEGER",
                  "StringType()": "VARCHAR"}
-    select = ",\n  ".join(
-        f"CAST({cols[f.name]} AS {sql_types[repr(f.dataType)]}) AS {f.name}"
-        for f in S.PROFILE_SCHEMA.fields)
+    made = P.attributes(months)
+    select = ",\n  ".join(f"CAST({made[f.name]} AS {sql_types[repr(f.dataType)]}) AS {f.name}"
+                          for f in S.PROFILE_SCHEMA.fields)
+    whole = ", ".join(f"CAST(COALESCE({c}, 0) AS BIGINT) AS {c}" for c in P.COUNTS)
+
+    def units(x: str) -> str:
+        return f"CAST(floor({x} * {P.NET_SCALE} + 0.5) AS BIGINT)"
+
     return f"""
 WITH o AS (
   SELECT o_orderkey AS orderkey, o_custkey AS custkey,
@@ -197,39 +126,89 @@ WITH o AS (
               WHEN o_orderdate >= TIMESTAMP '{prev_start:%Y-%m-%d}' THEN 2 ELSE 0 END AS period
   FROM orders),
 li AS (
-  SELECT l_orderkey AS orderkey, l_partkey,
-         CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4)) AS net,
+  SELECT l_orderkey AS orderkey, l_partkey, CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4)) AS net,
+         {units('l_extendedprice * l_discount')} AS off, {units('l_extendedprice * l_tax')} AS tax,
+         CAST(floor(l_discount * 100 + 0.5) AS BIGINT) AS off_pct, CAST(l_quantity AS BIGINT) AS pieces,
          l_returnflag, l_linestatus
   FROM lineitem),
 st AS (
   SELECT custkey,
-         SUM(CASE WHEN period = 1 THEN net END) AS net_cur,
-         SUM(CASE WHEN period = 2 THEN net END) AS net_prev,
-         COUNT(*) FILTER (WHERE l_linestatus = 'F') AS n_f,
-         COUNT(*) FILTER (WHERE l_linestatus = 'O') AS n_o,
-         COUNT(*) FILTER (WHERE l_returnflag = 'R') AS n_r,
+         SUM(net) FILTER (WHERE period = 1) * {P.NET_SCALE} AS net_cur,
+         SUM(net) FILTER (WHERE period = 2) * {P.NET_SCALE} AS net_prev,
+         SUM(off) FILTER (WHERE period = 1) AS off_cur, SUM(off) FILTER (WHERE period = 2) AS off_prev,
+         SUM(tax) FILTER (WHERE period = 1) AS tax_cur, SUM(off_pct) AS off_pct, SUM(pieces) AS pieces,
+         COUNT(*) AS n_lines,
+         COUNT(*) FILTER (WHERE l_linestatus = 'F') AS n_f, COUNT(*) FILTER (WHERE l_linestatus = 'O') AS n_o,
+         COUNT(*) FILTER (WHERE l_returnflag = 'R') AS n_r, COUNT(*) FILTER (WHERE l_returnflag = 'A') AS n_a,
+         COUNT(*) FILTER (WHERE l_returnflag = 'N') AS n_n,
+         COUNT(*) FILTER (WHERE pieces > {P.BIG_LINE}) AS n_big,
+         COUNT(*) FILTER (WHERE pieces <= {P.SMALL_LINE}) AS n_small,
          COUNT(DISTINCT CASE WHEN period = 1 THEN l_partkey END) AS parts_cur,
-         COUNT(DISTINCT CASE WHEN period = 2 THEN l_partkey END) AS parts_prev
+         COUNT(DISTINCT CASE WHEN period = 2 THEN l_partkey END) AS parts_prev,
+         COUNT(DISTINCT l_partkey) AS parts_all
   FROM li JOIN o USING (orderkey)
   GROUP BY custkey),
+os AS (
+  SELECT o_custkey AS custkey, COUNT(*) AS n_orders,
+         {', '.join(f"COUNT(*) FILTER (WHERE o_orderstatus = '{x}') AS n_s{x.lower()}" for x in 'FOP')},
+         {', '.join(f"COUNT(*) FILTER (WHERE o_orderpriority = '{p}') AS n_p{i}" for i, p in enumerate(P.PRIORITIES, 1))},
+         SUM(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS cents,
+         MAX(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS cents_max,
+         MIN(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS cents_min,
+         date_diff('month', MIN(o_orderdate), MAX(o_orderdate)) AS span
+  FROM orders GROUP BY o_custkey),
+tp AS (
+  SELECT o_custkey AS custkey, o_orderpriority AS top_priority FROM orders GROUP BY o_custkey, o_orderpriority
+  QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY COUNT(*) DESC, o_orderpriority) = 1),
+e AS (
+  SELECT user_id AS custkey, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events
+  WHERE event_type IN ('click', 'view', 'purchase')),
 ev AS (
-  SELECT user_id AS custkey,
+  SELECT custkey,
          COUNT(*) FILTER (WHERE event_type = 'click') AS n_click,
          COUNT(*) FILTER (WHERE event_type = 'view') AS n_view,
          COUNT(*) FILTER (WHERE event_type = 'purchase') AS n_purchase
-  FROM events GROUP BY user_id),
+  FROM e GROUP BY custkey),
+tk AS (
+  SELECT custkey, k AS top_k FROM e WHERE k IS NOT NULL GROUP BY custkey, k
+  QUALIFY row_number() OVER (PARTITION BY custkey ORDER BY COUNT(*) DESC, k) = 1),
 base AS (
-  SELECT c.c_custkey AS custkey, c.c_name, c.c_acctbal,
-         st.net_cur, st.net_prev, st.n_f, st.n_o, st.n_r, st.parts_cur, st.parts_prev,
-         ev.n_click, ev.n_view, ev.n_purchase
+  SELECT c.c_custkey AS custkey, c.c_name, c.c_acctbal, c.c_nationkey AS nationkey, n.n_regionkey AS regionkey,
+         tp.top_priority, tk.top_k, {whole}
   FROM customer c
+  LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey
   LEFT JOIN st ON st.custkey = c.c_custkey
-  LEFT JOIN ev ON ev.custkey = c.c_custkey)
+  LEFT JOIN os ON os.custkey = c.c_custkey
+  LEFT JOIN tp ON tp.custkey = c.c_custkey
+  LEFT JOIN ev ON ev.custkey = c.c_custkey
+  LEFT JOIN tk ON tk.custkey = c.c_custkey)
 SELECT
   {select}
 FROM base"""
 
 
+def monthly_series_sql(first: str, last: str, trailing: int = 6) -> str:
+    return f"""
+WITH m AS (
+  SELECT o_custkey AS custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
+         SUM(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS net
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+g AS (SELECT c_custkey AS custkey, CAST(unnest(generate_series(DATE '{first}-01' - INTERVAL {2 * trailing} MONTH,
+             DATE '{last}-01', INTERVAL 1 MONTH)) AS DATE) AS month FROM customer),
+f AS (SELECT g.custkey, g.month, COALESCE(net, 0) AS net FROM g LEFT JOIN m USING (custkey, month)),
+s AS (SELECT a.custkey, a.month, any_value(a.net) AS net,
+        SUM(b.net) FILTER (WHERE b.month > a.month - INTERVAL {trailing} MONTH) AS trail,
+        SUM(b.net) FILTER (WHERE b.month <= a.month - INTERVAL {trailing} MONTH) AS before
+      FROM f a JOIN f b ON b.custkey = a.custkey AND b.month <= a.month
+        AND b.month > a.month - INTERVAL {2 * trailing} MONTH
+      WHERE a.month >= DATE '{first}-01' GROUP BY a.custkey, a.month)
+SELECT custkey AS sme_id, strftime(month, '%Y-%m') AS month, CAST(net * {P.NET_SCALE} AS DOUBLE) / {P.NET_SCALE} AS revenue,
+       CAST(trail * {P.NET_SCALE} AS DOUBLE) / {P.NET_SCALE} AS trailing_revenue,
+       CAST(before * {P.NET_SCALE} AS DOUBLE) / {P.NET_SCALE} AS previous_revenue,
+       CASE WHEN before > 0 THEN CAST(trail * {P.NET_SCALE} AS DOUBLE) / CAST(before * {P.NET_SCALE} AS DOUBLE) - 1 END AS growth
+FROM s"""
+
+
 def with_profile(body: str, extra_ctes: Sequence[tuple[str, str]] = ()) -> str:
     """``WITH profile AS (...) [, name AS (...)]* body``."""
     ctes = [("profile", profile_sql())] + list(extra_ctes)

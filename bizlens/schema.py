@@ -42,7 +42,7 @@ CATEGORICAL_VOCAB = {
 
 _D, _L, _I, _S = T.DoubleType(), T.LongType(), T.IntegerType(), T.StringType()
 
-# Base SME table, in contract order (targets separate).
+# Base SME table, in contract order (targets separate).
 SME_COLUMNS: list[tuple[str, T.DataType]] = [
     ("sme_id", _L), ("business_name", _S),
     ("revenue", _D), ("profit_margin", _D), ("debt_ratio", _D), ("collateral_value", _D),
@@ -67,10 +67,11 @@ SME_COLUMNS: list[tuple[str, T.DataType]] = [
     ("owner_age", _L), ("owner_gender", _S), ("education_level", _S), ("employment_status", _S),
     ("location", _S),
 ]
-# History columns the profile derives from the previous period.
+# History columns the profile derives from the previous period.
 HISTORY_COLUMNS: list[tuple[str, T.DataType]] = [
     ("revenue_6m_ago", _D), ("customers_6m_ago", _L), ("marketing_spend_6m_ago", _D),
 ]
+# Targets.
 TARGET_COLUMNS: list[tuple[str, T.DataType]] = [
     ("eligible_for_funding", _I), ("default_risk", _S), ("business_health_score", _D),
 ]
@@ -163,12 +164,13 @@ GROWTH_FEATURES = {
 
 
 # What a bundle's features take for a column that a table or request
-# lacks, and for a null (None: the first value of the ordinal's order).
+# lacks, and for a null (None: the first value of the ordinal's order, as in funding,
+# whose encoder knows no other values).
 SERVING_DEFAULTS = {
     "growth": {"absent": {"ordinal": "startup", "onehot": "unknown"},
                "null": {"ordinal": "startup", "onehot": "unknown"}},
     "health": {"absent": {"ordinal": None, "onehot": "missing"},
                "null": {"ordinal": "startup", "onehot": "missing"}},
-    "funding": {"absent": {"ordinal": "0", "onehot": "0"},
-                "null": {"ordinal": "startup", "onehot": "unknown"}},
+    "funding": {"absent": {"ordinal": None, "onehot": "0"},
+                "null": {"ordinal": None, "onehot": "unknown"}},
 }

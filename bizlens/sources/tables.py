@@ -36,6 +36,7 @@ TABLE_TYPES = {
                  "l_linestatus": "STRING", "l_shipdate": "TIMESTAMP_NTZ"},
     "events": {"event_id": "BIGINT", "ts": "TIMESTAMP_NTZ", "user_id": "BIGINT",
                "event_type": "STRING", "value": "DOUBLE", "props": "STRING"},
+    "nation": {"n_nationkey": "INT", "n_name": "STRING", "n_regionkey": "INT"},
 }
 
 

@@ -26,7 +26,8 @@ def test_profile_with_hot_keys_matches_sql(spark):
                                                         F.lit(hot_order)).otherwise(F.col("l_orderkey")))
     for name, df in [("orders", orders), ("lineitem", lineitem),
                      ("customer", read_table(spark, SF001, "customer")),
-                     ("events", read_table(spark, SF001, "events"))]:
+                     ("events", read_table(spark, SF001, "events")),
+                     ("nation", read_table(spark, SF001, "nation"))]:
         df.repartition(6).write.parquet(os.path.join(base, f"{name}.parquet"))
 
     conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -38,7 +39,7 @@ def test_profile_with_hot_keys_matches_sql(spark):
         spark.conf.set(k, v)
     try:
         got = profile_from_frames(*[spark.read.parquet(os.path.join(base, f"{t}.parquet"))
-                                    for t in ("customer", "orders", "lineitem", "events")])
+                                    for t in ("customer", "orders", "lineitem", "events", "nation")])
         srows = sorted(tuple(r) for r in got.collect())
         plan = got._jdf.queryExecution().executedPlan().toString()
     finally:
@@ -46,7 +47,7 @@ def test_profile_with_hot_keys_matches_sql(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
     con = duckdb.connect()
-    for t in ("customer", "orders", "lineitem", "events"):
+    for t in ("customer", "orders", "lineitem", "events", "nation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{base}/{t}.parquet/*.parquet')")
     rel = con.sql(O.profile_sql())
     order = [rel.columns.index(c) for c in got.columns]
