@@ -1019,7 +1019,7 @@ def q_stored_results(spark, sf_dir):
 
 def _as_many_rows(*zero: str) -> str:
     """What a check must give: a row for each business, and none with a fault."""
-    return "SELECT COUNT(*) AS rows, " + ", ".join(f"0 AS {z}" for z in zero) + " FROM customer"
+    return "SELECT COUNT(*) AS rows, " + ", ".join(f"CAST(0 AS BIGINT) AS {z}" for z in zero) + " FROM customer"
 
 
 @register("m12_probability_check", _as_many_rows("bad_sums", "other_labels"))
