@@ -302,17 +302,42 @@ class PhraseTrie:
 
 
 def _count(shared):
+    """A task's occurrences of every candidate, by slices of the candidates: a bounded number of rows a task."""
     def run(batches):
         trie, maps = shared.value
         total = np.zeros(len(trie.words), np.int64)
         for block in _read(batches):
             trie.counted(block, maps, total)
-        some = np.flatnonzero(total)
+        parts = [(i, x) for i, x in enumerate(np.array_split(total, SLICES)) if x.any()]
+        wide = [x.tobytes() if x.max() >> 31 else x.astype(np.int32).tobytes() for _, x in parts]
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([i for i, _ in parts], pa.int32()),
+                                          "n": pa.array(wide, pa.binary())})
+    return run
+
+
+def _frequent(shared, least: int):
+    """Of rows sorted by slice: the candidates whose counts, added up over the tasks, reach the least count."""
+    def run(batches):
+        trie, _ = shared.value
+        cut = np.cumsum([0, *(len(x) for x in np.array_split(np.zeros(len(trie.words)), SLICES))])
         names = np.array(sorted(trie.langs), dtype=object)
-        for i in range(0, len(some), 1 << 16):
-            part = some[i:i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(names[trie.lang[part]], pa.string()), _lists(trie.words[part]),
-                                              pa.array(total[part])], names=["lang", "w", "f"])
+
+        def made(part, total):
+            some = np.flatnonzero(total >= least)
+            at = some + cut[part]
+            return pa.RecordBatch.from_arrays([pa.array(names[trie.lang[at]], pa.string()), _lists(trie.words[at]),
+                                               pa.array(total[some])], names=["lang", "w", "f"])
+
+        part, total = None, None
+        for batch in batches:
+            for p, n in zip(batch.column("slice").to_pylist(), batch.column("n").to_pylist()):
+                if p != part:
+                    if part is not None:
+                        yield made(part, total)
+                    part, total = p, np.zeros(cut[p + 1] - cut[p], np.int64)
+                total += np.frombuffer(n, np.int64 if len(n) == 8 * len(total) else np.int32)
+        if part is not None:
+            yield made(part, total)
     return run
 
 
@@ -354,9 +379,10 @@ class PhraseMiner:
         found = []
         for trie in self.tries(candidates, k):
             broadcast = self.sc.broadcast((trie, maps))
-            found.append(saved(read.mapInArrow(_count(broadcast), "lang string, w array<long>, f long")
-                               .groupBy("lang", "w").agg(F.sum("f").alias("f"))
-                               .where(F.col("f") >= self.least), "phrases"))
+            counts = (read.mapInArrow(_count(broadcast), "slice int, n binary").repartition("slice")
+                      .sortWithinPartitions("slice"))
+            found.append(saved(counts.mapInArrow(_frequent(broadcast, self.least), "lang string, w array<long>, f long"),
+                               "phrases"))
             broadcast.unpersist()
         drop_saved(candidates)
         out = found[0] if found else None
