@@ -23,6 +23,8 @@ their training counts, with half a count for each and for one unseen word.
 4. Scoring reads blocks with their counts, in batches.
 
 The base score is that of the add-one-half unigram model on the same counts.
+The order in which tasks' changes are added follows the shuffle, so ``score`` is
+repeatable to rounding, not to the last bit; all other columns are exact.
 Defined results: a null or empty text is the end token alone. Rows without
 an id are training rows. Repeated rows are scored and counted each. Without
 training rows the counts are 0 and nothing is learned. Words are told apart by
@@ -189,27 +191,53 @@ def sub_features(at: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return np.stack(rows).astype(np.uint16)
 
 
-def class_log_probabilities(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
-    x = weights[at[0]]
+def _summed(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The classes' scores of each token (less the largest): the sum of its features' rows."""
+    x = weights.take(at[0], axis=0)
     for row in at[1:]:
-        x = x + weights[row]
+        x += weights.take(row, axis=0)
     x -= x.max(axis=1, keepdims=True)
+    return x
+
+
+def class_log_probabilities(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    x = _summed(weights, at)
     x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
     return x
 
 
+def log_probability(weights: np.ndarray, at: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """The log-probability of each token's own class."""
+    x = _summed(weights, at)
+    own = x[np.arange(len(kind)), kind]
+    return own - np.log(np.exp(x, out=x).sum(axis=1))
+
+
 def update(weights: np.ndarray, squares: np.ndarray, at: np.ndarray, kind: np.ndarray) -> None:
-    """One mini-batch step in place: the softmax's gradient, summed by feature."""
-    g = np.exp(class_log_probabilities(weights, at))
+    """One mini-batch step in place: the softmax's gradient, summed by feature.
+
+    The features' rows lie in ranges of their own, so all of them are sorted and summed together.
+    """
+    g = _summed(weights, at)
+    np.exp(g, out=g)
+    g /= g.sum(axis=1, keepdims=True)
     g[np.arange(len(kind)), kind] -= 1.0
-    for row in at:
-        order = np.argsort(row, kind="stable")
-        sorted_ = row[order]
-        cut = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-        grad = np.add.reduceat(g[order], cut, axis=0)
-        used = sorted_[cut]
-        squares[used] += (grad * grad).mean(axis=1)
-        weights[used] -= RATE * grad / np.sqrt(squares[used] + 1e-6)[:, None]
+    rows = at.ravel()
+    order = np.argsort(rows, kind="stable")
+    sorted_ = rows.take(order)
+    cut = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+    g = g.take(order % len(kind), axis=0)
+    grad, rest = g.take(cut, axis=0), np.ones(len(g), dtype=bool)
+    rest[cut] = False
+    more = np.diff(np.r_[cut, len(g)]) - 1              # most rows are met once: only the others are summed
+    many = np.flatnonzero(more)
+    if len(many):
+        grad[many] += np.add.reduceat(g[rest], (np.cumsum(more) - more)[many], axis=0)
+    used = sorted_.take(cut)
+    total = squares.take(used) + np.einsum("ij,ij->i", grad, grad) / np.float32(grad.shape[1])
+    squares[used] = total
+    grad *= (RATE / np.sqrt(total + 1e-6)).astype(np.float32)[:, None]
+    weights[used] -= grad
 
 
 def _unpacked(row: dict):
@@ -226,13 +254,14 @@ def _train(shared):
             for row in batch.to_pylist():
                 word, kind, _, sizes = _unpacked(row)
                 at = features(word, kind, sizes)
+                sub_at, sub = sub_features(at, kind), _sub(word)
                 train = np.flatnonzero(~np.repeat(np.array(row["held_out"], dtype=bool), sizes))
                 for i in range(0, len(train), BATCH):
                     mine = train[i:i + BATCH]
                     update(weights, squares, at[:, mine], kind[mine].astype(np.int64))
                     mine = mine[kind[mine] < CLASSES - 1]       # the end's class has one word
                     if len(mine):
-                        update(weights, squares, sub_features(at[:, mine], kind[mine]), _sub(word[mine]))
+                        update(weights, squares, sub_at[:, mine], sub[mine])
                 tokens += len(train)
         if tokens:
             delta = ((weights - shared.value) * np.float32(tokens)).astype(np.float32)
@@ -256,6 +285,15 @@ def _sum_deltas(batches):
                                           "delta": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
+def _sum_by_sub(batches):
+    """One task's sums by class and sub-class."""
+    total = np.zeros(2 * CLASSES * SUBS, np.int64)
+    for batch in batches:
+        for x in batch.column("totals").to_pylist():
+            total += np.frombuffer(x, np.int64)
+    yield pa.RecordBatch.from_pydict({"totals": pa.array([total.tobytes()], pa.binary())})
+
+
 def _score(shared):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -273,11 +311,11 @@ def _score(shared):
         within = np.log10((total + 0.5) / share)
         at = features(word, kind, sizes)
         chosen = np.empty(len(code))
-        for i in range(0, len(code), 16 * BATCH):
-            j = min(i + 16 * BATCH, len(code))
-            chosen[i:j] = class_log_probabilities(weights, at[:, i:j])[np.arange(j - i), kind[i:j]]
-            sub = class_log_probabilities(weights, sub_features(at[:, i:j], kind[i:j]))
-            chosen[i:j] += np.where(kind[i:j] < CLASSES - 1, sub[np.arange(j - i), _sub(word[i:j])], 0.0)
+        for i in range(0, len(code), 2 * BATCH):
+            j = min(i + 2 * BATCH, len(code))
+            chosen[i:j] = log_probability(weights, at[:, i:j], kind[i:j])
+            words = np.flatnonzero(kind[i:j] < CLASSES - 1) + i         # the end's class has one word
+            chosen[words] += log_probability(weights, sub_features(at[:, words], kind[words]), _sub(word[words]))
         first = np.cumsum(sizes) - sizes
         sums = lambda x: np.add.reduceat(x, first)
         known = sums((total > 0)[code].astype(np.int64))
@@ -312,7 +350,7 @@ def scored_texts(docs: DataFrame, folds: int = 5, held_out_fold: int = 1, id_col
     totals = saved(sent.repartition("part").sortWithinPartitions("part").mapInArrow(
         _add, "block long, part int, totals binary"), "totals")
     by_sub = np.zeros((2, CLASSES, SUBS), np.int64)
-    for r in totals.where("block = -1").select("totals").toLocalIterator():       # one small row a range
+    for r in totals.where("block = -1").select("totals").mapInArrow(_sum_by_sub, "totals binary").collect():
         by_sub += np.frombuffer(r.totals, np.int64).reshape(2, CLASSES, SUBS)
 
     weights = np.zeros((ALL_ROWS, CLASSES), np.float32)     # the shares, before any context is learned
