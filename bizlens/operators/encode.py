@@ -347,9 +347,8 @@ def vocabulary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def class_weight_table(df: DataFrame, label: str) -> DataFrame:
     """M8 as a table: label, count, weight = n / (k * count)."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).count()
-    whole = counts.agg(F.sum("count").alias("_n"), F.count("*").alias("_k"))        # one row
-    return counts.join(F.broadcast(whole)).withColumn(
-        "weight", F.col("_n") / (F.col("_k") * F.col("count"))).drop("_n", "_k")
+    n, k = counts.agg(F.sum("count")).scalar(), counts.agg(F.count("*")).scalar()
+    return counts.withColumn("weight", n / (k * F.col("count")))
 
 
 def label_index_table(df: DataFrame, label: str) -> DataFrame:

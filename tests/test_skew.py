@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bizlens.functions.exprs import hash01
 from bizlens.plans import oracle as O
-from bizlens.sources.profile import profile_from_frames
+from bizlens.sources.profile import monthly_series, profile_from_frames
 from bizlens.sources.tables import read_table
 from tests.conftest import SF001
 
@@ -60,3 +60,24 @@ def test_profile_with_hot_keys_matches_sql(spark):
     for a, b in zip(srows, drows):
         for x, y in zip(a, b):
             assert x == y or (isinstance(x, float) and math.isclose(x, y, rel_tol=0, abs_tol=0)), (a, b)
+
+
+def test_monthly_series_with_a_hot_customer_matches_sql(spark):
+    """A third of all orders are one customer's; each business still has a row for every month."""
+    base = tempfile.mkdtemp(prefix="bizlens-months-")
+    orders = read_table(spark, SF001, "orders").withColumn(
+        "o_custkey", F.when(hash01("o_orderkey", "skew") < 1 / 3, F.lit(1)).otherwise(F.col("o_custkey")))
+    frames = {"customer": read_table(spark, SF001, "customer"), "orders": orders,
+              "lineitem": read_table(spark, SF001, "lineitem")}
+    con = duckdb.connect()
+    for name, df in frames.items():
+        df.repartition(5).write.parquet(os.path.join(base, f"{name}.parquet"))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{base}/{name}.parquet/*.parquet')")
+    for first, last, trailing in (("1996-01", "1997-12", 6), ("1995-01", "1995-03", 3)):
+        got = monthly_series(*[spark.read.parquet(os.path.join(base, f"{t}.parquet")) for t in frames], first, last, trailing)
+        rel = con.sql(O.monthly_series_sql(first, last, trailing))
+        order = [rel.columns.index(c) for c in got.columns]
+        rows = sorted(tuple(r) for r in got.select("sme_id", "month", "revenue", "trailing_revenue", "previous_revenue").collect())
+        assert rows == sorted(tuple(r[i] for i in order[:5]) for r in rel.fetchall())
+        months = (int(last[:4]) - int(first[:4])) * 12 + int(last[5:]) - int(first[5:]) + 1
+        assert len(rows) == frames["customer"].count() * months
