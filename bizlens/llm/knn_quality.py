@@ -116,13 +116,20 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality", sample: int = SAMPLE, rank: int = RANK) -> Voters:
-    """``labels``: the rows to learn from. At most ``sample`` of them are used."""
+    """``labels``: the rows to learn from. At most ``sample`` ids are used, each once.
+
+    An id with several labels counts with the lowest, one with several texts with
+    the lowest of these; so no id decides by being repeated, and no more than
+    ``sample`` texts reach the driver. The voters' order is that of their ids.
+    """
     frequency, n = document_frequencies(docs, text_col)
     idf = np.log((n + 1) / (frequency + 1)).astype(np.float32) + np.float32(0.1)
-    chosen = (labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("label"))
-              .orderBy(F.xxhash64("_id"), "_id", "label").limit(sample))
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id"))
-    table = rows.select(F.col(text_col).cast("string").alias("text"), "label").toArrow()
+    chosen = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
+              .groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("label"))
+              .orderBy(F.xxhash64("_id"), "_id").limit(sample))
+    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text")).join(
+        F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+    table = (rows.groupBy("_id", "label").agg(F.min("text").alias("text")).toArrow().sort_by("_id"))
     label = table.column("label").to_numpy().astype(np.float64)
     if not len(label):
         return Voters(idf, np.zeros((TERMS, 0), np.float32), np.zeros((0, 0), np.float32), label, 0.5)

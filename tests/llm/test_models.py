@@ -145,3 +145,110 @@ def test_quality_edges(spark, hard, empty):
 def test_remainder_of_ids(spark):
     df = spark.createDataFrame([(5,), (None,)], "doc_id long").select(id_remainder(F.col("doc_id"), 4).alias("r"))
     assert [r.r for r in df.collect()] == [zlib.crc32(b"5") % 4, -1]
+
+
+def naive_update(weights, squares, at, kind):
+    """``maxent_lm.update`` a token at a time."""
+    grads = {}
+    for t, k in enumerate(kind.tolist()):
+        x = sum(weights[r].astype(np.float64) for r in at[:, t])
+        p = np.exp(x - x.max())
+        g = p / p.sum()
+        g[k] -= 1
+        for r in at[:, t].tolist():
+            grads[r] = grads.get(r, 0) + g
+    for r, g in grads.items():
+        squares[r] += (g * g).mean()
+        weights[r] -= (maxent_lm.RATE * g / math.sqrt(squares[r] + 1e-6)).astype(np.float32)
+
+
+def test_score_is_that_of_a_model_written_out_token_by_token(spark, monkeypatch):
+    """One block, one task, one round: features, updates, shares and sums in plain Python."""
+    m = maxent_lm
+    monkeypatch.setattr(m, "ROUNDS", 1)
+    monkeypatch.setattr(m, "BATCH", 64)
+    r = __import__("random").Random(2)
+    rows = [(i, " ".join(r.choice(["the", "cat", "sat", "on", "a", "mat", "x1", "läuft", "END"]) for _ in range(r.randint(0, 12))))
+            for i in range(60)]
+    got = {x.doc_id: x.score for x in m.scored_texts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    texts = [t.translate(LOWER).encode() for _, t in rows]
+    h, first, size, tail = m._words(texts)
+    n = np.diff(first)
+    word = np.insert(h, first[1:], m.END)
+    kind = np.insert(m._class(size, tail), first[1:], m.CLASSES - 1).astype(np.uint8)
+    sub, sizes = m._sub(word), n + 1
+    held = np.repeat([zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows], sizes)
+    count = Counter(word[~held].tolist())
+    by_sub, known = np.zeros((m.CLASSES, m.SUBS)), np.zeros((m.CLASSES, m.SUBS))
+    for w, k, s in {(w, k, s) for w, k, s in zip(word.tolist(), kind.tolist(), sub.tolist())}:
+        by_sub[k, s] += count[w]
+        known[k, s] += count[w] > 0
+    weights, squares = np.zeros((m.ALL_ROWS, m.CLASSES), np.float32), np.zeros(m.ALL_ROWS, np.float32)
+    by_class = by_sub.sum(axis=1)
+    weights[2 * m.WORD_BUCKETS:2 * m.WORD_BUCKETS + m.PAIRS] = np.log((by_class + 1) / (by_class.sum() + m.CLASSES))
+    weights[m.ROWS:m.ROWS + m.CLASSES] = np.log((by_sub + 1) / (by_class + m.SUBS)[:, None])
+    at = m.features(word, kind, sizes)
+    both = m.sub_features(at, kind)
+    train = np.flatnonzero(~held)
+    for i in range(0, len(train), 64):
+        mine = train[i:i + 64]
+        naive_update(weights, squares, at[:, mine], kind[mine])
+        mine = mine[kind[mine] < m.CLASSES - 1]
+        if len(mine):
+            naive_update(weights, squares, both[:, mine], sub[mine])
+    start = 0
+    for (i, _), size_ in zip(rows, sizes.tolist()):
+        total = 0.0
+        for t in range(start, start + size_):
+            total += m.class_log_probabilities(weights, at[:, t:t + 1])[0, kind[t]] / math.log(10)
+            if kind[t] < m.CLASSES - 1:
+                total += m.class_log_probabilities(weights, both[:, t:t + 1])[0, sub[t]] / math.log(10)
+            share = by_sub[kind[t], sub[t]] + 0.5 * (known[kind[t], sub[t]] + 1)
+            total += math.log10((count[int(word[t])] + 0.5) / share)
+        start += size_
+        assert got[i] == pytest.approx(total, abs=2e-3), i
+
+
+def test_an_id_that_is_repeated_votes_once(spark):
+    rows = [(1, "good prose of one kind")] * 500 + [(2, "bad junk $$ of another kind")] + [(1, "good text")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, quality int")
+    voters = knn_quality.fit(docs, labels)
+    assert voters.labels.tolist() == [0.0, 0.0] and len(voters.vectors) == 2
+
+
+def naive_grams(text):
+    out, mask = Counter(), (1 << 32) - 1
+    for order in range(1, 4):
+        for i in range(len(text) - order + 1):
+            h = 0
+            for c in text.lower()[i:i + order]:
+                h = (h * 0x01000193 & mask) ^ (ord(c) * 0x9E3779B1 & mask)
+            h = ((h ^ h >> 15) * 0x85EBCA6B + order) & mask
+            out[(h >> 16) % language_id.BUCKETS] += 1
+    return out
+
+
+def test_naive_bayes_is_that_of_counts_in_plain_python(spark):
+    """Bayes' rule over hashed n-grams, written out per document."""
+    r = __import__("random").Random(7)
+    letters = {"aa": "abcde ", "bb": "cdefg ", "cc": "\u00fc\u00f6\u00e4 g"}
+    rows = []
+    for i in range(90):
+        lang = r.choice(list(letters))
+        rows.append((i, "".join(r.choice(letters[lang]) for _ in range(r.randint(1, 60))), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.train(docs)
+    per, many = {}, Counter(lang for *_, lang in rows)
+    for _, text, lang in rows:
+        per.setdefault(lang, Counter()).update(naive_grams(text))
+    for row in docs.select("doc_id", language_id.predicted(docs, model).alias("p")).collect():
+        text = rows[row.doc_id][1]
+        if not any(c.isalpha() for c in text):
+            assert row.p.lang_pred == "und" and row.p.score == 0
+            continue
+        logs = {x: math.log(many[x] / 90) + sum(k * math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * language_id.BUCKETS))
+                                                for g, k in naive_grams(text).items()) for x, c in per.items()}
+        best = max(logs, key=logs.get)
+        share = 1 / sum(math.exp(v - logs[best]) for v in logs.values())
+        assert logs[row.p.lang_pred] == pytest.approx(logs[best], abs=1e-3) and row.p.score == pytest.approx(share, abs=1e-3)
