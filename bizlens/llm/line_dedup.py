@@ -7,7 +7,7 @@ it far below; lines between get an exact distinct count. A line on ``min_sites``
 or more sites is boilerplate: its first occurrence (lowest id, then place)
 stays, the others go.
 
-Defined results: lines are compared without spaces at their ends; a line
+Defined results: lines are compared without white space at their ends; a line
 without a word is never removed; a null source isn't a site; a null text stays
 null. The first occurrence stays in each row that repeats its row. A document
 may become empty. Lines are told apart by 64-bit hashes.
@@ -29,7 +29,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(source_col).cast("string").alias("site"),
                     F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     return (d.where(F.length(F.translate("line", BLANK, "")) > 0)
-            .select("id", "th", "site", "pos", F.xxhash64(F.trim("line")).alias("h")))
+            .select("id", "th", "site", "pos", F.xxhash64(F.trim("line", F.lit(BLANK))).alias("h")))
 
 
 def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:

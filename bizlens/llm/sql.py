@@ -5,10 +5,12 @@ from __future__ import annotations
 from bizlens.llm.adaptive_rules import LEAST as LEAST_GROUP
 from bizlens.llm.adaptive_rules import RATES, SPREAD
 from bizlens.llm.decontaminate import DENOMINATOR, NUMERATOR, REACH, WORDS
-from bizlens.llm.line_dedup import MIN_SITES
+from bizlens.llm.line_dedup import BLANK, MIN_SITES
 from bizlens.llm.phrase_mining import INSIDE, LEAST, LONGEST, SCALE, TOP
 from bizlens.llm.weighted_mix import BUDGET, EPOCHS, SEED, WEIGHTS
 
+BLANKS = " || ".join(f"chr({ord(c)})" for c in BLANK)
+
 
 def adaptive_rules_sql() -> str:
     rates = " UNION ALL ".join(
@@ -89,10 +91,10 @@ def line_dedup_sql() -> str:
     return f"""
 WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
                   unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents),
-b AS (SELECT trim(line, ' ') AS line, min((doc_id, pos)) AS first FROM l
+b AS (SELECT trim(line, {BLANKS}) AS line, min((doc_id, pos)) AS first FROM l
       WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1 HAVING count(DISTINCT source) >= {MIN_SITES}),
 m AS (SELECT l.doc_id, l.pos, l.line, b.line IS NOT NULL AND (l.doc_id, l.pos) <> b.first AS gone
-      FROM l LEFT JOIN b ON trim(l.line, ' ') = b.line)
+      FROM l LEFT JOIN b ON trim(l.line, {BLANKS}) = b.line)
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text,
        count(*) FILTER (gone) AS n_removed_lines FROM m GROUP BY doc_id"""
 
