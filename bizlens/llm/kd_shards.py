@@ -4,8 +4,9 @@ A node is split along its widest dimension (its range as a share of the
 table's) at the median weighted by size in bytes, until the leaves reach the
 target. The dimensions are the text's length on a log scale, its language, its
 source and its id. In each, a row's key is 30 bits of its value and then 32
-bits of a hash of the row, so a value that a third of all rows share is split
-as evenly as any other. The medians of a level's nodes are found together, by
+bits of a hash of the row and of its number among equal rows, so a value that a
+third of all rows share, or a row that is repeated as often, is split as evenly
+as any other. The medians of a level's nodes are found together, by
 sums over 4,096 bins of the key, again inside the bin that holds the median,
 until that bin weighs next to nothing: no sort and no collected rows. Per node
 its bounds and its median reach the driver, nothing else.
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bizlens.llm.common import saved, small_table
+from bizlens.operators.ranking import global_position
 
 VALUE_BITS, TIE_BITS, STEP_BITS = 30, 32, 12
 SLOT_BLOCK = 4096               # rows numbered together
@@ -39,8 +41,22 @@ def _metadata(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source
                        F.coalesce(F.crc32(data), F.lit(0).cast("long")).alias("text_crc32"),
                        F.log2(size).alias("length"), name(lang_col).cast("double").alias("lang"),
                        name(source_col).cast("double").alias("source"))
-    tie = F.xxhash64("doc_id", "text_crc32", "lang", "source").bitwiseAND((1 << TIE_BITS) - 1)
-    return rows.withColumns({"id": F.col("doc_id").cast("double"), "tie": tie})
+    return rows.withColumn("id", F.col("doc_id").cast("double"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``tie``, a hash of the row and of its place among the rows that are equal to it.
+
+    The places come from a global order, in which equal rows are cut anywhere:
+    no window or task holds all of them. Which of them gets which place doesn't matter.
+    """
+    same = ["doc_id", "size", "text_crc32", "lang", "source"]
+    alike = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in same])
+    rows = rows.withColumns({"alike": alike, "_salt": F.monotonically_increasing_id()})
+    placed = global_position(rows, "alike", *same, "_salt", name="_place")
+    first = placed.groupBy("alike").agg(F.min("_place").alias("_first"))
+    tie = F.xxhash64("alike", F.col("_place") - F.col("_first")).bitwiseAND((1 << TIE_BITS) - 1)
+    return placed.join(first, "alike").withColumn("tie", tie).drop("alike", "_salt", "_place", "_first")
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -96,7 +112,8 @@ def kd_shards(docs: DataFrame, target_bytes: int | None = None, shards: int | No
     Give the number of shards, or the bytes that a shard should reach.
     """
     spark = docs.sparkSession
-    keyed = saved(_keyed(saved(_metadata(docs, id_col, text_col, lang_col, source_col), "metadata")), "keys")
+    keyed = saved(_keyed(saved(_numbered(saved(
+        _metadata(docs, id_col, text_col, lang_col, source_col), "metadata")), "numbered")), "keys")
     total = keyed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     count = shards or max(1, -(-total // target_bytes))
     tolerance = total // (count * 4096)

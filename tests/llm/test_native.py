@@ -94,3 +94,19 @@ def test_pipeline_run_keeps_what_its_stages_keep(spark):
     rows = QUERIES["pipeline"](spark, SF01).collect()
     docs = spark.read.parquet(f"{SF01}/documents.parquet").count()
     assert 0.8 * docs < len(rows) < docs and len({r.doc_id for r in rows}) == len(rows)
+
+
+def test_repeated_rows_are_spread_over_the_shards(spark):
+    rows = [(7, "same text " * 30, "en", "s")] * 3000 + [(100 + i, "other " * (i % 60), "de", f"s{i % 9}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    results = []
+    for parts in (3, 7):
+        got = kd_shards(docs.repartition(parts), shards=16).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.shard, []).append(r)
+        size = [sum(r.size for r in by.get(k, [])) for k in range(16)]
+        assert len(by) == 16 and max(size) < 1.1 * min(size)
+        assert all(sorted(r.slot for r in x) == list(range(len(x))) for x in by.values())
+        results.append(sorted((r.doc_id, r.size, r.shard) for r in got))
+    assert results[0] == results[1]         # as many copies in each shard, however the rows are dealt
