@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from bizlens.plans import catalog as C
@@ -10,7 +11,7 @@ from bizlens.plans import jobs as J
 from bizlens.plans.models import Bundle
 from bizlens.sources import requests as RQ
 from bizlens.streaming import scoring as ST
-from tests.conftest import SF01
+from tests.conftest import SF001, SF01
 
 SMALL = {"eligibility": {"numTrees": 20}, "default_risk": {"numTrees": 20},
          "business_health": {"numTrees": 20}, "health_category": {"maxIter": 10},
@@ -102,6 +103,19 @@ def test_absent_columns_and_nulls_take_the_bundle_defaults(spark):
         map(str, J.score_funding(b["funding"], full).select(key).collect()))
 
 
+def test_training_takes_missing_ordinals_as_scoring_does_and_raises_on_unknown_ones(spark):
+    from bizlens.plans import models as MD
+    small = {n: {"numTrees": 2, "maxDepth": 3} for n in ("eligibility", "default_risk", "business_health")}
+    sme = C.sme_table(spark, SF001)
+    level = lambda odd: F.when(F.col("sme_id") % 9 != 0, F.col("education_level")).otherwise(F.lit(odd))
+    none, null = (sme.withColumn("education_level", level(v)).checkpoint() for v in ("none", None))
+    x, y = (J.score_funding(MD.train_bundle(spark, t, "funding", overrides=small), t).orderBy("sme_id").collect()
+            for t in (none, null))
+    assert x == y and len(x) == sme.count()
+    with pytest.raises(Exception, match="unknown education_level: diploma"):
+        MD.train_bundle(spark, sme.withColumn("education_level", level("diploma")), "funding", overrides=small)
+
+
 def test_hold_out_reports_and_encoder_rows(spark):
     from bizlens.plans import models as MD
     bundles = list(_bundles(spark).values())
