@@ -1,6 +1,9 @@
 """Plan properties that must hold at any scale."""
 
 import __spark_entry__ as E
+import pytest
+
+from bizlens.plans import catalog as C
 from tests.conftest import SF001
 
 # these score the four-class boosted model, an Arrow-batched expression
@@ -62,3 +65,10 @@ def test_rejected_rows_leave_the_others_scored(spark):
     assert got == {1: 4.0, 2: 0.0, 3: -1.0}
     absent = df.select("sme_id").withColumn("one", F.lit(1))
     assert {r[1] for r in EN.encode(absent, state, defaults=S.SERVING_DEFAULTS["funding"]).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("name", ["m1_m5_encoded_growth", "m1_m5_encoded_health", "m1_m5_encoded_funding", "p4_p5_serving_features",
+                                  "p4_p5_serving_health", "p4_p5_serving_funding", "m6_pad_trim"])
+def test_a_fitted_encoder_reads_the_stored_profile_again_not_the_facts(spark, name):
+    read = C.QUERIES[name](spark, SF001).inputFiles()
+    assert read and not any("lineitem" in f or "orders" in f for f in read)
