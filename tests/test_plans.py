@@ -72,3 +72,11 @@ def test_rejected_rows_leave_the_others_scored(spark):
 def test_a_fitted_encoder_reads_the_stored_profile_again_not_the_facts(spark, name):
     read = C.QUERIES[name](spark, SF001).inputFiles()
     assert read and not any("lineitem" in f or "orders" in f for f in read)
+
+
+def test_stored_results_come_from_one_profile(spark, monkeypatch):
+    read, store = [], C.JB.store_result
+    monkeypatch.setattr(C.JB, "store_result", lambda df, *a, **k: read.append(df.inputFiles()) or store(df, *a, **k))
+    assert C.QUERIES["j3_stored_results"](spark, SF001).count() == 150
+    assert len(read) == 3 and all(r and sorted(r) == sorted(read[0]) for r in read)
+    assert not any("lineitem" in f for f in read[0])
