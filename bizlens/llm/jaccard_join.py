@@ -11,7 +11,9 @@ least 0.85, and get the smallest id they reach by links.
    copies with a few comparisons a document.
 4. What is then still in different components is compared in full, in bounded
    squares of a bucket: a pair whose sketches' Hamming distance already shows
-   too many different shingles is passed over, the rest is verified.
+   too many different shingles is passed over, the rest is verified. Near
+   copies meet in many buckets: each class brings its ``LOW`` lowest ones, and
+   a bucket leaves a pair to a lower one that both have.
 5. Every pair is first tried by its dense sketches, a bit a shingle: their
    Hamming distance never exceeds the sets' difference. Only for what is left
    both whole texts are read and their exact sets compared; a text that is
@@ -38,6 +40,7 @@ from bizlens.llm.jaccard_sketch import (FULL, LINK, WORDS, Bands, block_keys, cl
                                         parity_bits, running_xor, shingle_sets)
 
 SQUARE = 512            # classes on a side of a square of comparisons
+LOW = 64                # of a class's buckets, how many every bucket knows, so that a pair is not given by each of them
 FAN = 256               # texts that are compared with one copy of another, on average at most
 
 
@@ -148,7 +151,10 @@ def _sketches(words: int):
 
 
 def _square(link: int, full: int):
-    """Pairs of one square's classes that are in different components and may be linked."""
+    """Pairs of one square's classes that are in different components, may be linked and have no lower bucket in ``low``.
+
+    The lowest bucket of both never leaves a pair out, so each is given at least once.
+    """
     def run(batches):
         for group in _groups(batches, ("key", "left", "right")):
             c, comp, n = (group.column(x).to_numpy() for x in ("c", "comp", "n"))
@@ -156,7 +162,12 @@ def _square(link: int, full: int):
             bits = [np.frombuffer(x, np.uint64) for x in group.column("bits").to_pylist()]
             width = min(len(x) for x in bits)
             bits = np.stack([folded(x, width) for x in bits])
-            left, right = group.column("left")[0].as_py(), group.column("right")[0].as_py()
+            key, left, right = (group.column(x)[0].as_py() for x in ("key", "left", "right"))
+            lower = [np.array(x, dtype=np.int64) for x in group.column("low").to_pylist()]
+            lower = [x[x < key] for x in lower]
+            known = np.full((len(c), max(len(x) for x in lower)), key, dtype=np.int64)     # the rest of a row: no lower key
+            for x, row in zip(lower, known):
+                row[:len(x)] = x
             rows, cols = np.flatnonzero(part == left), np.flatnonzero(part == right)
             a, b = [], []
             for r in rows:
@@ -166,8 +177,10 @@ def _square(link: int, full: int):
                       & (full * np.minimum(n[cols], n[r]) >= link * np.maximum(n[cols], n[r])))
                 if left == right:
                     ok &= cols > r
-                a.append(np.full(int(ok.sum()), c[r]))
-                b.append(c[cols[ok]])
+                met = cols[ok]
+                met = met[~np.isin(known[met], lower[r]).any(axis=1)]
+                a.append(np.full(len(met), c[r]))
+                b.append(c[met])
             a, b = np.concatenate(a), np.concatenate(b)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))],
                                              names=["a", "b"])
@@ -249,11 +262,13 @@ class JaccardJoin:
                                             F.count("*").alias("size")).where("lo != hi and size > 2")
                  .select("key", F.ceil(F.col("size") / SQUARE).alias("parts")))
         m = members.join(open_, "key").withColumn("part", F.expr("pmod(xxhash64(c), parts)"))
+        low = m.groupBy("c").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOW).alias("low"))
+        sketches = sketches.select("c", "bits").join(low.hint("merge"), "c")
         m = (m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
              .select("key", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"),
                      "part", "c", "comp", "n"))
         keys = ["key", "left", "right"]
-        return (m.join(sketches.select("c", "bits").hint("merge"), "c").repartition(*keys).sortWithinPartitions(*keys)
+        return (m.join(sketches.hint("merge"), "c").repartition(*keys).sortWithinPartitions(*keys)
                 .mapInArrow(_square(self.link, self.full), "a long, b long").distinct())
 
     def run(self) -> DataFrame:

@@ -6,8 +6,11 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from bizlens.llm import jaccard_join as JJ
 from bizlens.llm.components import components
 from bizlens.llm.decontaminate import REACH, contaminated, without_benchmark
 from bizlens.llm.jaccard_join import jaccard_components, one_per_component
@@ -252,3 +255,39 @@ def test_a_text_with_many_near_copies_is_sent_in_parts(spark, monkeypatch):
     rows = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1:])) for i in range(20)] + [(99, "far away from all of it")]
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id: r.component_id for r in got.collect()} == {**dict.fromkeys(range(20), 0), 99: 99}
+
+
+def test_a_pair_that_meets_in_many_buckets_is_given_by_the_lowest_only():
+    """Forty near copies in eight buckets; of two classes only higher buckets are known, so all of theirs give the pair."""
+    rng = np.random.default_rng(3)
+    n, keys, low = 40, range(10, 18), list(range(10, 18))
+    bits = [rng.integers(0, 2, 4).astype(np.uint64).tobytes() for _ in range(n)]
+    part = {"c": range(n), "comp": range(n), "n": [100] * n, "bits": bits, "part": [0] * n,
+            "low": [low if i < n - 2 else [16 + i] for i in range(n)]}
+    types = pa.schema([("key", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("c", pa.int64()), ("comp", pa.int64()),
+                       ("n", pa.int64()), ("bits", pa.binary()), ("part", pa.int64()), ("low", pa.list_(pa.int64()))])
+    squares = [pa.RecordBatch.from_pydict({"key": [k] * n, "left": [0] * n, "right": [0] * n, **part}, types) for k in keys]
+    got = [p for b in JJ._square(85, 100)(iter(squares)) for p in zip(*(x.to_pylist() for x in b.columns))]
+    pairs = {(i, j) for i in range(n) for j in range(i + 1, n)}
+    assert set(got) == pairs
+    assert all(got.count(p) == (1 if p[1] < n - 2 else len(keys)) for p in list(pairs)[:60] + [(0, n - 1), (n - 2, n - 1)])
+
+
+def test_pairs_of_many_shared_buckets_leave_no_link_out(spark, monkeypatch):
+    """Without the star rounds and with a single known bucket a class, the squares alone find every link."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 120)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.choice(120, int(rng.integers(0, 5)), replace=False):
+            words[at] = f"x{rng.integers(0, 10 ** 6)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    want = {i: lowest for i, _, lowest in brute_components(list(enumerate(texts)))}
+    monkeypatch.setattr(JJ.JaccardJoin, "star", lambda self, members, turn: members.select(
+        F.col("c").alias("a"), F.col("c").alias("b")).limit(0))
+    for known in (1, 64):
+        monkeypatch.setattr(JJ, "LOW", known)
+        got = {r.doc_id: r.component_id for r in JJ.jaccard_components(docs).collect()}
+        assert got == want
