@@ -116,6 +116,19 @@ def test_training_takes_missing_ordinals_as_scoring_does_and_raises_on_unknown_o
         MD.train_bundle(spark, sme.withColumn("education_level", level("diploma")), "funding", overrides=small)
 
 
+def test_training_after_an_observation_in_the_same_session(spark):
+    from pyspark.sql import Observation
+
+    from bizlens.plans import models as MD
+    watch = Observation("before-training")
+    spark.range(3).observe(watch, F.count(F.lit(1)).alias("n")).count()
+    assert watch.get == {"n": 3}
+    small = {n: {"numTrees": 2, "maxDepth": 3} for n in ("eligibility", "default_risk", "business_health")}
+    b = MD.train_bundle(spark, C.sme_table(spark, SF001), "funding", overrides=small)
+    assert J.score_funding(b, C.sme_table(spark, SF001)).count() == 150
+    assert not b.models["eligibility"].hasSummary
+
+
 def test_hold_out_reports_and_encoder_rows(spark):
     from bizlens.plans import models as MD
     bundles = list(_bundles(spark).values())
