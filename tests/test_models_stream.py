@@ -120,6 +120,7 @@ def test_training_after_an_observation_in_the_same_session(spark):
     from pyspark.sql import Observation
 
     from bizlens.plans import models as MD
+    spark = spark.newSession()          # other tests' models may hold the shared one
     watch = Observation("before-training")
     spark.range(3).observe(watch, F.count(F.lit(1)).alias("n")).count()
     assert watch.get == {"n": 3}
