@@ -1,6 +1,7 @@
 """Adaptive rules (3), k-d shards (7) and the pipeline."""
 
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -110,3 +111,24 @@ def test_repeated_rows_are_spread_over_the_shards(spark):
         assert all(sorted(r.slot for r in x) == list(range(len(x))) for x in by.values())
         results.append(sorted((r.doc_id, r.size, r.shard) for r in got))
     assert results[0] == results[1]         # as many copies in each shard, however the rows are dealt
+
+
+def test_saved_tables_leave_no_shuffle_files(spark):
+    from pyspark.sql import functions as F
+
+    from bizlens.llm.common import CLEANUP
+
+    def left():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    rows = spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    before, setting = left(), spark.conf.get(CLEANUP, None)
+    table = saved(rows, "cleaned")
+    for _ in range(20):                 # executors are told, not waited for
+        if left() <= before:
+            break
+        time.sleep(0.5)
+    assert left() <= before
+    assert spark.conf.get(CLEANUP, None) == setting
+    assert table.count() == rows.count() == 7       # what was saved can still be computed again
