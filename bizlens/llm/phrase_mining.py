@@ -453,7 +453,10 @@ def collocations(docs: DataFrame, top: int = TOP, **options) -> DataFrame:
     words, frequent = PhraseMiner(docs, **options).run()
     sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
     often = words.join(frequent.where(F.size("w") == 1).select("lang", F.col("w")[0].alias("h")), ["lang", "h"], "left_semi")
-    best = spelled(kept(scored(frequent)), often)
+    every = saved(scored(frequent), "scored")       # read twice by the next step, which is read twice by the one after:
+    best = saved(kept(every), "kept")               # as one query they would be four times the joins, planned and run at once
+    drop_saved(every)
+    best = spelled(best, often)
     place = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = best.withColumn("rank", F.row_number().over(place).cast("long")).where(F.col("rank") <= top)
     return best.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -261,6 +261,14 @@ def test_collocations_are_those_of_brute_force(spark, shard):
         assert sorted(tuple(x) for x in got.collect()) == mined(rows, least, top)
 
 
+def test_phrases_are_scored_once(spark):
+    df = spark.createDataFrame([("one two three four. " * 40, "en"), ("of the one two. " * 40, "de")], "text string, lang string")
+    got = collocations(df)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    joins = sum("Join " in line for line in plan.splitlines())      # spelling's and the sizes' joins, none of the scores'
+    assert joins <= 4 and got.count() > 0
+
+
 def test_collocations_of_nothing(spark, empty):
     assert collocations(empty).collect() == []
     few = spark.createDataFrame([("too few words", "en"), (None, None)], "text string, lang string")
