@@ -256,12 +256,18 @@ class JaccardJoin:
         return (members.join(lead, "key").where((F.col("comp") != F.col("lcomp")) & near)
                 .select(F.least("c", "lc").alias("a"), F.greatest("c", "lc").alias("b")).distinct())
 
-    def rest(self, members: DataFrame, sketches: DataFrame) -> DataFrame:
-        """Pairs of classes of a bucket in different components that their sketches allow to be linked."""
+    def mixed(self, members: DataFrame) -> DataFrame:
+        """The members of buckets with classes of different components, each with one of its bucket's ``parts``.
+
+        Saved, so that the shuffles that lead to it are gone when the comparisons need the disk.
+        """
         open_ = (members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                             F.count("*").alias("size")).where("lo != hi and size > 2")
                  .select("key", F.ceil(F.col("size") / SQUARE).alias("parts")))
-        m = members.join(open_, "key").withColumn("part", F.expr("pmod(xxhash64(c), parts)"))
+        return saved(members.join(open_, "key").withColumn("part", F.expr("pmod(xxhash64(c), parts)")), "mixed")
+
+    def rest(self, m: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Pairs of classes of a mixed bucket in different components that their sketches allow to be linked."""
         low = m.groupBy("c").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOW).alias("low"))
         sketches = sketches.select("c", "bits").join(low.hint("merge"), "c")
         m = (m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -285,7 +291,7 @@ class JaccardJoin:
                       .select("c", "n", "text").dropDuplicates(["c"]), "texts")
         sketches = saved(texts.mapInArrow(_sketches(self.words), "c long, n long, bits binary"), "sketches")
         members = buckets.join(found.select("c", "n").hint("merge"), "c")
-        links, inner = None, [buckets, found, texts, sketches]
+        links, inner = None, [texts, sketches]
         for turn in range(3):
             if links is None:
                 now = members.withColumn("comp", F.col("c"))
@@ -293,7 +299,14 @@ class JaccardJoin:
                 root = components(links)
                 now = (members.join(root, members.c == root.node, "left")
                        .select("key", "c", "n", F.coalesce("root", "c").alias("comp")))
-            pairs = self.near(self.star(now, turn) if turn < 2 else self.rest(now, sketches), sketches)
+            if turn < 2:
+                near = self.star(now, turn)
+            else:
+                mixed = self.mixed(now)
+                inner.append(mixed)
+                drop_saved(buckets, found)          # the members were all that still read them
+                near = self.rest(mixed, sketches)
+            pairs = self.near(near, sketches)
             more = self.verified(pairs, texts)
             inner += [pairs, more]
             links = more if links is None else links.unionByName(more)

@@ -291,3 +291,19 @@ def test_pairs_of_many_shared_buckets_leave_no_link_out(spark, monkeypatch):
         monkeypatch.setattr(JJ, "LOW", known)
         got = {r.doc_id: r.component_id for r in JJ.jaccard_components(docs).collect()}
         assert got == want
+
+
+def test_mixed_buckets_are_saved_before_the_squares(spark, monkeypatch):
+    """The squares' query reads a saved table: the joins that lead to it have left no shuffle files beside the squares'."""
+    plans, rest = [], JJ.JaccardJoin.rest
+
+    def watched(self, m, sketches):
+        plans.append(m._jdf.queryExecution().optimizedPlan().toString())
+        return rest(self, m, sketches)
+
+    monkeypatch.setattr(JJ.JaccardJoin, "rest", watched)
+    rows = hub_rows()
+    got = {r.doc_id: r.component_id for r in jaccard_components(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: lowest for i, _, lowest in brute_components(rows)}
+    assert len(plans) == 1 and "Join" not in plans[0] and "parquet" in plans[0]
