@@ -28,10 +28,11 @@ document, unless it has such rows only: its id is null then.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bizlens.llm.common import byte_rows, chunked, drop_saved, free_name, saved
@@ -42,6 +43,7 @@ from bizlens.llm.jaccard_sketch import (FULL, LINK, WORDS, Bands, block_keys, cl
 SQUARE = 512            # classes on a side of a square of comparisons
 LOW = 64                # of a class's buckets, how many every bucket knows, so that a pair is not given by each of them
 FAN = 256               # texts that are compared with one copy of another, on average at most
+SLICE = 1 << 17         # members of squares that are always compared in one go; more only up to half of the mixed buckets' members
 
 
 def _sets(batches: Iterator[pa.RecordBatch], column: str, words: int):
@@ -206,6 +208,19 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _row_hash(id_: Column, th: Column) -> Column:
+    return F.xxhash64(id_, th)
+
+
+def _same_row(id_a: Column, th_a: Column, id_b: Column, th_b: Column) -> Column:
+    """Equal text hashes and ids (null and null too), told by exclusive or: so only the row hash is the join's key,
+    and what is grouped by it afterwards needs no second shuffle of the texts."""
+    none, zero = lambda x: x.isNull().cast("long"), F.lit(0).cast("long")
+    differ = (th_a.bitwiseXOR(th_b).bitwiseOR(none(id_a).bitwiseXOR(none(id_b)))
+              .bitwiseOR(F.coalesce(id_a, zero).bitwiseXOR(F.coalesce(id_b, zero))))
+    return differ == 0
+
+
 class JaccardJoin:
     """The join over a table of texts; intermediate tables lie in the shared folder."""
 
@@ -267,15 +282,29 @@ class JaccardJoin:
         return saved(members.join(open_, "key").withColumn("part", F.expr("pmod(xxhash64(c), parts)")), "mixed")
 
     def rest(self, m: DataFrame, sketches: DataFrame) -> DataFrame:
-        """Pairs of classes of a mixed bucket in different components that their sketches allow to be linked."""
+        """Pairs of classes of a mixed bucket in different components that their sketches allow to be linked.
+
+        A bucket's members come once for each of its parts, with their sketches, so what is shuffled grows with the
+        square of a large bucket. The squares are dealt into slices by their hash, each compared and saved before the next:
+        the disk holds one slice, of about half as many rows as the buckets have members, however large a bucket is.
+        """
         low = m.groupBy("c").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOW).alias("low"))
-        sketches = sketches.select("c", "bits").join(low.hint("merge"), "c")
+        known = saved(sketches.select("c", "bits").join(low.hint("merge"), "c"), "known")
+        members, rows = m.agg(F.count("*"), F.coalesce(F.sum("parts"), F.lit(0))).first()
+        slices = max(1, -(-rows // max(members // 2, SLICE)))
         m = (m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
              .select("key", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"),
                      "part", "c", "comp", "n"))
         keys = ["key", "left", "right"]
-        return (m.join(sketches.hint("merge"), "c").repartition(*keys).sortWithinPartitions(*keys)
-                .mapInArrow(_square(self.link, self.full), "a long, b long").distinct())
+        found = []
+        for i in range(slices):
+            some = m.where(F.pmod(F.xxhash64(*keys), F.lit(slices)) == i).join(known.hint("merge"), "c")
+            some = some.withColumn("low", F.filter("low", lambda x: x < F.col("key")))
+            found.append(saved(some.repartition(*keys).sortWithinPartitions(*keys)
+                               .mapInArrow(_square(self.link, self.full), "a long, b long").distinct(), "squares"))
+        drop_saved(known)
+        self.squares = found                # what the result still reads
+        return reduce(DataFrame.unionByName, found).distinct()
 
     def run(self) -> DataFrame:
         """``doc_id, n_shingles, component_id`` of every row, its text's hash, and whether it is its component's first."""
@@ -287,8 +316,10 @@ class JaccardJoin:
         found = saved(classes.join(buckets.select("c").distinct(), "c", "left_semi")
                       .select("c", "n", "r.id", "r.th"), "classes")
         # both sides grow with the table: joined by a shuffle at every size
-        texts = saved(self.docs.join(found.hint("merge"), self.docs.id.eqNullSafe(found.id) & (self.docs.th == found.th))
-                      .select("c", "n", "text").dropDuplicates(["c"]), "texts")
+        docs = self.docs.withColumn("k", _row_hash(F.col("id"), F.col("th")))
+        lead = found.withColumn("k", _row_hash(F.col("id"), F.col("th")))
+        texts = saved(docs.join(lead.hint("merge"), (docs.k == lead.k) & _same_row(docs.id, docs.th, lead.id, lead.th))
+                      .select(lead.k, "c", "n", "text").dropDuplicates(["k", "c"]).drop("k"), "texts")
         sketches = saved(texts.mapInArrow(_sketches(self.words), "c long, n long, bits binary"), "sketches")
         members = buckets.join(found.select("c", "n").hint("merge"), "c")
         links, inner = None, [texts, sketches]
@@ -303,9 +334,10 @@ class JaccardJoin:
                 near = self.star(now, turn)
             else:
                 mixed = self.mixed(now)
-                inner.append(mixed)
                 drop_saved(buckets, found)          # the members were all that still read them
                 near = self.rest(mixed, sketches)
+                drop_saved(mixed)
+                inner += self.squares
             pairs = self.near(near, sketches)
             more = self.verified(pairs, texts)
             inner += [pairs, more]
@@ -337,9 +369,10 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     join = JaccardJoin(docs, id_col=id_col, text_col=text_col, **options)
     found = saved(join.run().where("is_first").select("doc_id", "text_hash").distinct(), "firsts")
     drop_saved(*join.inner)
-    key = free_name(docs, "_row")
-    named = docs.withColumn(key, F.struct(F.col(id_col).cast("long").alias("id"),
-                                          F.xxhash64(F.col(text_col).cast("string")).alias("th")))
-    first = found.select(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("th")).alias("first"))
-    kept = named.join(first, named[key].eqNullSafe(first["first"]), "left_semi")
-    return kept.dropDuplicates([key]).drop(key)
+    key, hashed = free_name(docs, "_row"), free_name(docs, "_row_hash")
+    id_, th = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
+    named = docs.withColumn(key, F.struct(id_.alias("id"), th.alias("th"))).withColumn(hashed, _row_hash(id_, th))
+    first = found.select("doc_id", "text_hash", _row_hash(F.col("doc_id"), F.col("text_hash")).alias("_hash"))
+    kept = named.join(first, (named[hashed] == first["_hash"]) & _same_row(
+        named[key]["id"], named[key]["th"], first["doc_id"], first["text_hash"]), "left_semi")
+    return kept.dropDuplicates([hashed, key]).drop(key, hashed)

@@ -307,3 +307,31 @@ def test_mixed_buckets_are_saved_before_the_squares(spark, monkeypatch):
         spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: lowest for i, _, lowest in brute_components(rows)}
     assert len(plans) == 1 and "Join" not in plans[0] and "parquet" in plans[0]
+
+
+def test_squares_are_compared_in_slices(spark, monkeypatch):
+    """A large bucket's squares are saved slice by slice, whatever their number; no link is left out."""
+    names, real = [], JJ.saved
+    monkeypatch.setattr(JJ, "saved", lambda df, name: (names.append(name), real(df, name))[1])
+    monkeypatch.setattr(JJ.JaccardJoin, "star", lambda self, members, turn: members.where("false").selectExpr("c AS a", "c AS b"))
+    monkeypatch.setattr(JJ, "SQUARE", 16)
+    monkeypatch.setattr(JJ, "SLICE", 500, raising=False)
+    rows = hub_rows() + [(None, " ".join(words(150, 7)))]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert Counter(got) == Counter(brute_components(rows))
+    assert names.count("squares") > 2
+
+
+def test_kept_documents_are_shuffled_once(spark):
+    """The first of equal rows is taken where the join has put them: one shuffle of the documents, one of the ids."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = hub_rows() + [(None, "a b c d"), (None, "a b c d"), (1000, "a b c d"), (1000, "a b c d"), (0, None), (None, None)]
+        kept = one_per_component(spark.createDataFrame(rows, "doc_id long, text string"), words=4, link=85, full=100)
+        assert kept._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        got = Counter((r.doc_id, r.text) for r in kept.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got[1000, "a b c d"] == 1 and (None, "a b c d") not in got and got[0, None] == 1 and got[None, None] == 1
